@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from missiva.llm import bpe, leakage, splitting, termcounts
+from missiva.llm import bpe, leakage, neighbours, pii, splitting, termcounts
 from missiva.operators import letters
 from missiva.plans.records import REFS_SQL
 from missiva.sources.tables import fresh_path, table
@@ -71,7 +71,29 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "item_id").distinct()
 
 
+def p10_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every place of personal information."""
+    return pii.find(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p10_places(spark, sf_dir).select("doc_id", "kind", "val").distinct()
+
+
+def p10_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The texts with placeholders."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.redact(docs, pii.find(docs))
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spaces = {"letter": "letter_vectors", "chunk": "chunk_vectors"}
+    parts = [neighbours.nearest(table(spark, sf_dir, t)).select(F.lit(s).alias("space"), "vec_a", "vec_b") for s, t in spaces.items()]
+    return parts[0].unionByName(parts[1])
+
+
 QUERIES = {
+    "p1_found": p1_found,
     "p5_found": p5_found,
     "p5_counts": p5_counts,
     "p6_found": p6_found,
@@ -79,6 +101,8 @@ QUERIES = {
     "p8_ids": p8_ids,
     "p9_found": p9_found,
     "p9_alignments": p9_alignments,
+    "p10_found": p10_found,
+    "p10_redacted": p10_redacted,
 }
 
 _WHITE = r"[\s\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
@@ -93,7 +117,15 @@ _P5 = (
 SELECT feld, ref_id, occurrences, briefs, CASE WHEN briefs <= 2 THEN 'rare' WHEN briefs > 0.02 * total THEN 'common' END AS mark FROM c, n"""
 )
 
+_P1 = """SELECT DISTINCT '{space}' AS space, least(a, b) AS vec_a, greatest(a, b) AS vec_b FROM (
+  SELECT x.vec_no AS a, y.vec_no AS b, row_number() OVER (PARTITION BY x.vec_no ORDER BY list_cosine_similarity(x.e, y.e) DESC, y.vec_no) AS k
+  FROM {t} x JOIN {t} y ON x.vec_no <> y.vec_no) WHERE k <= 5"""
+_VECTORS = """{t} AS (SELECT vec_no, any_value(embedding)::DOUBLE[] AS e FROM {table} WHERE embedding IS NOT NULL AND len(embedding) = dim
+  AND len(list_filter(embedding, lambda v: v IS NULL OR isnan(v) OR isinf(v))) = 0 AND len(list_filter(embedding, lambda v: v <> 0)) > 0 GROUP BY vec_no)"""
+
 SQL = {
+    "p1_found": f"WITH {_VECTORS.format(t='l', table='letter_vectors')}, {_VECTORS.format(t='c', table='chunk_vectors')} "
+    f"{_P1.format(space='letter', t='l')} UNION ALL {_P1.format(space='chunk', t='c')}",
     "p5_counts": _P5,
     "p5_found": f"SELECT feld, ref_id, mark FROM ({_P5}) WHERE mark IS NOT NULL",
     "p6_found": "SELECT DISTINCT id, kind FROM (SELECT id, 'volltext' AS kind, volltext AS t FROM fulltext UNION ALL SELECT id, 'erlaeuterung', erlaeuterung FROM fulltext) "
