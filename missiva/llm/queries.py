@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from missiva.llm import bpe, leakage, neighbours, pii, splitting, termcounts
+from missiva.llm import bpe, leakage, neighbours, pii, samename, splitting, termcounts
 from missiva.operators import letters
 from missiva.plans.records import REFS_SQL
 from missiva.sources.tables import fresh_path, table
@@ -92,7 +92,21 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts[0].unionByName(parts[1])
 
 
+def p7_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every spelling in senders and recipients with the entity it belongs to; all revisions count, as all were typed."""
+    briefs = table(spark, sf_dir, "briefs")
+    typed = [briefs.select(F.explode(c).alias("x")).select(F.col("x.v.namemitamt.combi").alias("name")) for c in ("verfasser", "adressat")]
+    names = typed[0].unionByName(typed[1]).filter(F.length(F.trim("name")) > 0).distinct()
+    return samename.entities(names)
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return samename.pairs(p7_entities(spark, sf_dir))
+
+
 QUERIES = {
+    "p7_found": p7_found,
+    "p7_entities": p7_entities,
     "p1_found": p1_found,
     "p5_found": p5_found,
     "p5_counts": p5_counts,
