@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from missiva.llm import bpe, leakage, neighbours, pii, samename, splitting, termcounts
+from missiva.llm import bpe, language, leakage, neighbours, pii, samename, splitting, termcounts
 from missiva.operators import letters
 from missiva.plans.records import REFS_SQL
 from missiva.sources.tables import fresh_path, table
@@ -17,6 +17,43 @@ def _tagged(feld: str, ids: Column) -> Column:
     return F.transform(ids, lambda x: F.struct(F.lit(feld).alias("feld"), x.alias("term")))
 
 
+def p2_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages of one language of every incipit and full text, in order, each with a confidence."""
+    docs = table(spark, sf_dir, "documents").filter("lang IS NOT NULL").select("kind", "lang", "text")
+    texts = _letter_texts(spark, sf_dir)
+    codes = {w: k for k, ws in language.NAMES.items() for w in ws.split()}
+    code = F.create_map(*(F.lit(x) for kv in codes.items() for x in kv))
+    # Labels of letters are doubted more than those of the corpus ("+"), see language.fit.
+    own = texts.select(F.concat(F.lit("+"), "tbl").alias("kind"), code[F.lower(F.trim("label"))].alias("lang"), "text")
+    field = language.fit(language.sample(docs.unionByName(own)))
+    return language.tag(texts, field)
+
+
+def p2_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of each text: that of most of its words, with the mean confidence of these passages."""
+    per = p2_segments(spark, sf_dir).groupBy("tbl", "id", "label", "lang").agg(
+        F.sum("words").alias("words"), (F.sum(F.col("words") * F.col("confidence")) / F.sum("words")).alias("confidence")
+    )
+    best = per.groupBy("tbl", "id", "label").agg(F.max(F.struct("words", "confidence", "lang")).alias("b"), F.sum("words").alias("all_words"))
+    return best.select("tbl", "id", "label", "b.lang", "b.confidence", (F.col("b.words") / F.col("all_words")).alias("share"))
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages of passages of at least eight words that the label doesn't name."""
+    long = p2_segments(spark, sf_dir).filter("words >= 8").select("tbl", "id", "label", "lang").distinct()
+    return long.filter(~language.names_language(F.col("label"), F.col("lang"))).select("tbl", "id", "lang").distinct()
+
+
+def _letter_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(tbl, id, label, text), distinct, of incipits and full texts."""
+    sources = {"corpus": "incipit", "fulltext": "volltext"}
+    parts = [
+        table(spark, sf_dir, t).select(F.lit(t).alias("tbl"), "id", F.col("sprache").alias("label"), F.col(c).alias("text"))
+        for t, c in sources.items()
+    ]
+    return parts[0].unionByName(parts[1]).distinct()
+
+
 def p5_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts of all keyword ids. Letters are loaded as they came: first what was there when nine tenths had been
     loaded, then the rest, which changes and adds letters."""
@@ -105,6 +142,9 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "p2_found": p2_found,
+    "p2_segments": p2_segments,
+    "p2_texts": p2_texts,
     "p7_found": p7_found,
     "p7_entities": p7_entities,
     "p1_found": p1_found,
