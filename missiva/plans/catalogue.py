@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from missiva.plans import records
+from missiva.plans import records, retrieval
 
-QUERIES = {**records.QUERIES}
-SQL = {**records.SQL}
+QUERIES = {**records.QUERIES, **retrieval.QUERIES}
+SQL = {**records.SQL, **retrieval.SQL}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return records.p3_found(spark, sf_dir)
+    """Hybrid retrieval of a batch of questions."""
+    return retrieval.fuse_hits(spark, sf_dir)
