@@ -13,6 +13,7 @@ from missiva.operators import archive as A
 from missiva.operators import match as M
 from missiva.operators import vectors as X
 from missiva.operators.archive import DEFAULT, Params
+from missiva.sources.tables import cut
 
 
 @dataclass
@@ -45,16 +46,16 @@ def fuse(index: Index, questions: DataFrame, chunk_questions: DataFrame, p: Para
     Keyword evidence (subject, person, year, number, text) first, then what is similar enough; within it the more
     specific, then the higher score. A letter without a vector has similarity 0. Everything is keyed by (qid, id), so
     the paths meet in one aggregation."""
-    q = M.features(questions)
-    found_ids = M.ids(q, index.letters)
+    q = cut(M.features(questions))
+    found_ids = cut(M.ids(q, index.letters))
     plain = q.join(found_ids.select("qid").distinct(), "qid", "left_anti")  # a number named turns the other matchers off
     found = {
         "subject": M.subjects(plain, index.subjects, p),
-        "person": M.persons(plain, index.senders, index.recipients, p),
+        "person": cut(M.persons(plain, index.senders, index.recipients, p)),
         "year": M.years(plain, index.letters),
         "number": found_ids,
     }
-    gates = M.gates(q, index.letters, found["person"], found["year"], found_ids)
+    gates = cut(M.gates(q, index.letters, found["person"], found["year"], found_ids))
     open_q = q.join(gates.filter("NOT closed"), "qid")
     loose = open_q.filter("NOT structured")
     found["text"] = M.texts(loose.select(*q.columns), index.stems, index.stem_text, p)
@@ -69,7 +70,7 @@ def fuse(index: Index, questions: DataFrame, chunk_questions: DataFrame, p: Para
         .unionByName(path("text", 5, F.lit(1)))
     )
     evidence = evidence.join(open_q.select("qid"), "qid", "left_semi")
-    keyword = evidence.groupBy("qid", "id").agg(F.sum("weight").alias("specificity"), F.sort_array(F.collect_set("ord")).alias("paths"))
+    keyword = cut(evidence.groupBy("qid", "id").agg(F.sum("weight").alias("specificity"), F.sort_array(F.collect_set("ord")).alias("paths")))
     any_keyword = keyword.select("qid").distinct().withColumn("any", F.lit(True))
 
     scores = X.ranked(X.score(index.vectors.join(index.letters.select("id"), "id"), questions, ["id"]), "id")
@@ -77,7 +78,7 @@ def fuse(index: Index, questions: DataFrame, chunk_questions: DataFrame, p: Para
         "qid", F.when(F.col("structured"), 0).when(F.col("any"), p.extra_k).otherwise(p.top_k).alias("k"), "structured"
     )
     near = scores.join(wanted, "qid").filter(F.col("rank") <= F.col("k")).select("qid", "id", F.lit(True).alias("near"))
-    chunk = best_chunks(index, chunk_questions, p)
+    chunk = cut(best_chunks(index, chunk_questions, p))
     order = Window.partitionBy("qid").orderBy(F.col("chunk_score").desc(), "chunkid")
     by_chunk = (
         chunk.join(wanted.filter("NOT structured"), "qid")

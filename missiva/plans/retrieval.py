@@ -12,7 +12,7 @@ from missiva.operators import retrieve as R
 from missiva.operators import vectors as X
 from missiva.plans import records
 from missiva.plans import sqltext as S
-from missiva.sources.tables import table
+from missiva.sources.tables import cut, table
 
 QUESTIONS = [
     ("q01", "Welche Briefe behandeln die Jagdordnung?"),
@@ -45,19 +45,21 @@ def _with_vectors(spark: SparkSession, vectors: DataFrame) -> DataFrame:
     return spark.createDataFrame(rows, "qid string, text string, vector array<double>")
 
 
-def index(spark: SparkSession, sf_dir: str) -> R.Index:
-    pub = A.public(A.corpus(spark, sf_dir))
+def index(spark: SparkSession, sf_dir: str, *parts: str) -> R.Index:
+    """The index, built once in the shared folder as an archive would keep it; only the parts named, all if none is."""
+    want = lambda part, build: cut(build()) if not parts or part in parts else None
+    pub = cut(A.public(A.corpus(spark, sf_dir)))
     variants = A.labels(spark, sf_dir, "saches").select(F.col("short").alias("label"), F.explode("variants").alias("variant"))
-    texts = A.stem_texts(pub, A.fulltexts(spark, sf_dir))
+    texts = want("texts", lambda: A.stem_texts(pub, A.fulltexts(spark, sf_dir)))
     return R.Index(
         pub,
-        A.subject_postings(pub, variants),
-        A.person_postings(pub, "senders"),
-        A.person_postings(pub, "recipients"),
+        want("subjects", lambda: A.subject_postings(pub, variants)),
+        want("persons", lambda: A.person_postings(pub, "senders")),
+        want("persons", lambda: A.person_postings(pub, "recipients")),
         texts,
-        A.stem_postings(texts),
-        X.usable(table(spark, sf_dir, "letter_vectors"), "id"),
-        X.usable(table(spark, sf_dir, "chunk_vectors"), "chunkid"),
+        want("texts", lambda: A.stem_postings(texts)),
+        want("vectors", lambda: X.usable(table(spark, sf_dir, "letter_vectors"), "id")),
+        want("chunks", lambda: X.usable(table(spark, sf_dir, "chunk_vectors"), "chunkid")),
     )
 
 
@@ -127,20 +129,20 @@ def text_subject_forms(spark, d):
 
 
 def postings_subject(spark, d):
-    return index(spark, d).subjects
+    return index(spark, d, "subjects").subjects
 
 
 def postings_person(spark, d):
-    i = index(spark, d)
+    i = index(spark, d, "persons")
     return i.senders.select("form", "id", F.lit("sender").alias("side")).unionByName(i.recipients.select("form", "id", F.lit("recipient").alias("side")))
 
 
 def postings_stem(spark, d):
-    return index(spark, d).stems.groupBy("stem").agg(F.count("*").alias("letters"))
+    return index(spark, d, "texts").stems.groupBy("stem").agg(F.count("*").alias("letters"))
 
 
 def stem_text_phrase(spark, d):
-    return index(spark, d).stem_text.filter(F.contains("stem_text", F.concat(F.lit(" "), T.stem_phrase(F.lit("frühen Rat")), F.lit(" ")))).select("id", "stem_text")
+    return index(spark, d, "texts").stem_text.filter(F.contains("stem_text", F.concat(F.lit(" "), T.stem_phrase(F.lit("frühen Rat")), F.lit(" ")))).select("id", "stem_text")
 
 
 def chunk_documents(spark, d):
@@ -163,33 +165,33 @@ def question_features(spark, d):
 
 
 def match_subject_forms(spark, d):
-    return M.subject_candidates(_q(spark), index(spark, d).subjects)
+    return M.subject_candidates(_q(spark), index(spark, d, "subjects").subjects)
 
 
 def match_subjects(spark, d):
-    return M.subjects(_q(spark), index(spark, d).subjects)
+    return M.subjects(_q(spark), index(spark, d, "subjects").subjects)
 
 
 def match_persons(spark, d):
-    i = index(spark, d)
+    i = index(spark, d, "persons")
     return M.persons(_q(spark), i.senders, i.recipients)
 
 
 def match_years(spark, d):
-    return M.years(_q(spark), index(spark, d).letters)
+    return M.years(_q(spark), index(spark, d, "letters").letters)
 
 
 def match_ids(spark, d):
-    return M.ids(_q(spark), index(spark, d).letters)
+    return M.ids(_q(spark), index(spark, d, "letters").letters)
 
 
 def match_texts(spark, d):
-    i = index(spark, d)
+    i = index(spark, d, "texts")
     return M.texts(_q(spark), i.stems, i.stem_text)
 
 
 def gates(spark, d):
-    i, q = index(spark, d), _q(spark)
+    i, q = index(spark, d, "persons"), _q(spark)
     return M.gates(q, i.letters, M.persons(q, i.senders, i.recipients), M.years(q, i.letters), M.ids(q, i.letters))
 
 
@@ -197,25 +199,26 @@ def gates(spark, d):
 
 
 def cosine_top30(spark, d):
-    i = index(spark, d)
+    i = index(spark, d, "vectors")
     scores = X.score(i.vectors.join(i.letters.select("id"), "id"), _with_vectors(spark, i.vectors), ["id"])
     return X.top(scores, PARAMS.top_k, "id")
 
 
 def cosine_expression(spark, d):
-    v = index(spark, d).vectors
-    nxt = v.select((F.col("vec_no") - 1).alias("vec_no"), F.col("embedding").alias("other"))
-    return v.join(nxt, "vec_no").select("vec_no", F.round(X.cosine(F.col("embedding"), F.col("other")), 6).alias("score"))
+    """Every vector against the first, as a plain expression."""
+    v = index(spark, d, "vectors").vectors
+    first = v.orderBy("vec_no").limit(1).select(F.col("embedding").alias("other"))
+    return v.join(F.broadcast(first)).select("vec_no", F.round(X.cosine(F.col("embedding"), F.col("other")), 6).alias("score"))
 
 
 def chunk_best(spark, d):
-    i = index(spark, d)
+    i = index(spark, d, "chunks")
     return R.best_chunks(i, _with_vectors(spark, i.chunk_vectors))
 
 
 def dedup_by_score(spark, d):
     """Letters scored by their passages: of each letter only the best passage stays."""
-    i = index(spark, d)
+    i = index(spark, d, "chunks")
     scores = X.score(i.chunk_vectors.withColumnRenamed("letterid", "id"), _with_vectors(spark, i.chunk_vectors), ["id", "chunkid"])
     return M.first_by_score(scores, "id", "chunkid")
 
@@ -396,7 +399,7 @@ SQL = {
     "match_texts": _with(*_BASE, *_MATCH, then="SELECT * FROM tm"),
     "gates": _with(*_BASE, *_MATCH, then="SELECT * FROM ga"),
     "cosine_top30": _with(*_ALL, then="SELECT * FROM sco WHERE rank <= 30"),
-    "cosine_expression": _with(S.VECTORS, then="SELECT v.vec_no, round(list_cosine_similarity(v.embedding::DOUBLE[], w.embedding::DOUBLE[]), 6) AS score FROM lv v JOIN lv w ON w.vec_no = v.vec_no + 1"),
+    "cosine_expression": _with(S.VECTORS, then="SELECT v.vec_no, round(list_cosine_similarity(v.embedding::DOUBLE[], w.embedding::DOUBLE[]), 6) AS score FROM lv v, (FROM lv ORDER BY vec_no LIMIT 1) w"),
     "chunk_best": _with(*_ALL, then="SELECT * FROM cb"),
     "dedup_by_score": _with(*_ALL, then="SELECT qid, id, chunkid, score FROM (SELECT *, row_number() OVER (PARTITION BY qid, id ORDER BY score DESC, chunkid) AS r FROM cs) WHERE r = 1"),
     "fuse_hits": _with(*_ALL, then="SELECT * FROM hi"),
