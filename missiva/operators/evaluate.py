@@ -104,9 +104,9 @@ def stability(outcomes: DataFrame) -> DataFrame:
     return outcomes.groupBy("qid").agg(F.count_distinct("outcome").alias("outcomes")).filter("outcomes > 1")
 
 
-def citation_recall(answers: DataFrame, gold: DataFrame) -> DataFrame:
-    """answers(qid, cited array<string>, shown array<string>), gold(qid, id): share of the gold letters shown that are
-    cited, and whether nothing was cited although gold was shown."""
-    shown = gold.join(answers, "qid").filter(F.array_contains("shown", F.col("id")))
-    hit = F.array_contains("cited", F.col("id"))
-    return shown.groupBy("qid").agg(F.count("*").alias("shown_gold"), F.round(F.avg(hit.cast("double")), 6).alias("citation_recall"), (F.count_if(hit) == 0).alias("false_refusal"))
+def citation_recall(shown_gold: DataFrame, cited: DataFrame) -> DataFrame:
+    """shown_gold(qid, id) gold letters that were shown, cited(qid, id) letters an answer cites: share of the shown that
+    are cited, and whether nothing was cited although gold was shown."""
+    both = shown_gold.join(cited.distinct().withColumn("hit", F.lit(1)), ["qid", "id"], "left")
+    n = F.count("hit")
+    return both.groupBy("qid").agg(F.count("*").alias("shown_gold"), F.round(n / F.count("*"), 6).alias("citation_recall"), (n == 0).alias("false_refusal"))

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from missiva.plans import records, retrieval
+from missiva.plans import evaluation, records, retrieval
 
-QUERIES = {**records.QUERIES, **retrieval.QUERIES}
-SQL = {**records.SQL, **retrieval.SQL}
+QUERIES = {**records.QUERIES, **retrieval.QUERIES, **evaluation.QUERIES}
+SQL = {**records.SQL, **retrieval.SQL, **evaluation.SQL}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
