@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from missiva.plans import evaluation, records, retrieval
+from missiva.plans import evaluation, records, retrieval, streams
 
-QUERIES = {**records.QUERIES, **retrieval.QUERIES, **evaluation.QUERIES}
+QUERIES = {**records.QUERIES, **retrieval.QUERIES, **evaluation.QUERIES, **streams.QUERIES}
 SQL = {**records.SQL, **retrieval.SQL, **evaluation.SQL}
 
 
