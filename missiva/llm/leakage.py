@@ -8,7 +8,7 @@
 The test set is a query set: it is split into blocks of BLOCK_ITEMS, each small enough to broadcast (some MB), so that
 its size isn't assumed. The corpus is never shuffled nor collected.
 
-Defined cases: null, empty and short items leak nowhere; null and empty documents hold nothing; repeated items count
+Defined cases: null, empty and short items leak nowhere; null and empty documents and rows without id hold nothing; repeated items count
 once; items of one id with different texts all count under that id.
 """
 
@@ -164,8 +164,8 @@ def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     (doc_id, item_id, score, aligned, item_words, run). aligned is how many of the item's words the alignment spans,
     run the longest run of equal words."""
     hasher = Hasher()
-    texts = items.filter(F.col("text").isNotNull()).select("item_id", "text").distinct()
-    docs = docs.filter(F.col("text").isNotNull())
+    texts = items.filter(F.col("text").isNotNull() & F.col("item_id").isNotNull()).select("item_id", "text").distinct()
+    docs = docs.filter(F.col("text").isNotNull() & F.col("doc_id").isNotNull())
     kind = docs.schema["doc_id"].dataType.simpleString()
     blocks = max(1, -(-texts.count() // BLOCK_ITEMS))
     parts = []

@@ -9,7 +9,7 @@
 3. A candidate is taken if its pattern or its instance scored high enough; so names and shapes that are in no list are
    found by where they stand.
 
-Defined cases: null, empty and blank texts give no row and stay as they are; a repeated finding in a text counts once;
+Defined cases: null, empty and blank texts give no row and stay as they are; rows without doc_id are left out; a repeated finding in a text counts once;
 overlapping findings are replaced by the longer one.
 """
 
@@ -218,7 +218,7 @@ def extract(docs: DataFrame) -> DataFrame:
             rows = [(d, *c) for d, t in b.itertuples(index=False) for c in candidates(t)]
             yield pd.DataFrame(rows, columns=["doc_id", "kind", "beg", "fin", "val", "inst", "pats"])
 
-    texts = docs.filter(F.col("text").isNotNull()).select("doc_id", "text")
+    texts = docs.filter(F.col("text").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "text")
     return texts.mapInPandas(run, COLUMNS.replace("doc_id", f"doc_id {key}", 1))
 
 
@@ -344,4 +344,4 @@ def redact(docs: DataFrame, found: DataFrame) -> DataFrame:
                 texts.append(text)
             yield pd.DataFrame({"doc_id": b["doc_id"], "text": texts})
 
-    return docs.select("doc_id", "text").join(spans, "doc_id", "left").mapInPandas(run, f"doc_id {key}, text string")
+    return docs.filter(F.col("doc_id").isNotNull()).select("doc_id", "text").join(spans, "doc_id", "left").mapInPandas(run, f"doc_id {key}, text string")

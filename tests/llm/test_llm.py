@@ -78,7 +78,7 @@ def test_leaks_equal_brute_force(spark):
     runs = lambda w: {tuple(w[i : i + 12]) for i in range(len(w) - 11)}
     want = {(d, i) for d, w in docs for i, s in items if runs(w) & runs(s)}
     text = lambda w: " ".join(w).replace("wort1 ", "WORT-\n1, ").replace("wort2 ", "„Wört2“ ")
-    df = spark.createDataFrame([(d, text(w)) for d, w in docs] + [(98, None), (99, "")], "doc_id bigint, text string")
+    df = spark.createDataFrame([(d, text(w)) for d, w in docs] + [(98, None), (99, ""), (None, text(items[0][1]))], "doc_id bigint, text string")
     it = spark.createDataFrame([(i, " ".join(s)) for i, s in items] * 2 + [(50, None), (51, "")], "item_id bigint, text string")
     got = {(r.doc_id, r.item_id) for r in leakage.leaks(df, it).filter("run >= 12").collect()}
     assert want and got == want
@@ -200,7 +200,7 @@ def test_bootstrapped_findings(spark):
     known, new = ["Uwe", "Petra", "Jonas"], ["Torsten", "Svenja"]
     docs = [f"Bearbeitung: {g} {s}. Erneut. Tel. +49 69 9000{i}{j}77. Reisepass 756.1234.567{i}.0{j}, vorgelegt von {g} {s}." for i, g in enumerate(known + new) for j, s in enumerate(surnames)]
     docs += ["Die Kirche St. Georg zu Eck. Herr Schmidt kam. Film 20213 12 030.", "Tel. 069 9000 1234. Reisepass 991234567, vorgelegt von Torsten Neu.", None, "", "Magister Norz"]
-    df = spark.createDataFrame(list(enumerate(docs)), "doc_id bigint, text string")
+    df = spark.createDataFrame([*enumerate(docs), (None, "Bearbeitung: Uwe Norz")], "doc_id bigint, text string")
     found = pii.find(df)
     got = {(r.doc_id, r.kind, r.val) for r in found.collect()}
     n = len(docs)
