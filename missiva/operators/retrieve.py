@@ -13,7 +13,7 @@ from missiva.operators import archive as A
 from missiva.operators import match as M
 from missiva.operators import vectors as X
 from missiva.operators.archive import DEFAULT, Params
-from missiva.sources.tables import cut
+from missiva.sources.tables import cut, cut_all
 
 
 @dataclass
@@ -49,16 +49,23 @@ def fuse(index: Index, questions: DataFrame, chunk_questions: DataFrame, p: Para
     q = cut(M.features(questions))
     found_ids = cut(M.ids(q, index.letters))
     plain = q.join(found_ids.select("qid").distinct(), "qid", "left_anti")  # a number named turns the other matchers off
-    found = {
-        "subject": M.subjects(plain, index.subjects, p),
-        "person": cut(M.persons(plain, index.senders, index.recipients, p)),
-        "year": M.years(plain, index.letters),
-        "number": found_ids,
-    }
+    vectors = index.vectors.join(index.letters.select("id"), "id")
+    found = cut_all(
+        {
+            "subject": lambda: M.subjects(plain, index.subjects, p),
+            "person": lambda: M.persons(plain, index.senders, index.recipients, p),
+            "year": lambda: M.years(plain, index.letters),
+            "text": lambda: M.texts(plain, index.stems, index.stem_text, p),
+            "scores": lambda: X.ranked(X.score(vectors, questions, ["id"]), "id"),
+            "chunk": lambda: best_chunks(index, chunk_questions, p),
+        }
+    )
+    scores, chunk = found.pop("scores"), found.pop("chunk")
+    found["number"] = found_ids
     gates = cut(M.gates(q, index.letters, found["person"], found["year"], found_ids))
     open_q = q.join(gates.filter("NOT closed"), "qid")
     loose = open_q.filter("NOT structured")
-    found["text"] = M.texts(loose.select(*q.columns), index.stems, index.stem_text, p)
+    found["text"] = found["text"].join(loose.select("qid"), "qid", "left_semi")
     path = lambda name, order, weight, extra=None: found[name].select(
         "qid", "id", F.lit(order).alias("ord"), (weight if extra is None else extra).cast("int").alias("weight")
     )
@@ -73,12 +80,10 @@ def fuse(index: Index, questions: DataFrame, chunk_questions: DataFrame, p: Para
     keyword = cut(evidence.groupBy("qid", "id").agg(F.sum("weight").alias("specificity"), F.sort_array(F.collect_set("ord")).alias("paths")))
     any_keyword = keyword.select("qid").distinct().withColumn("any", F.lit(True))
 
-    scores = X.ranked(X.score(index.vectors.join(index.letters.select("id"), "id"), questions, ["id"]), "id")
     wanted = open_q.join(any_keyword, "qid", "left").select(
         "qid", F.when(F.col("structured"), 0).when(F.col("any"), p.extra_k).otherwise(p.top_k).alias("k"), "structured"
     )
     near = scores.join(wanted, "qid").filter(F.col("rank") <= F.col("k")).select("qid", "id", F.lit(True).alias("near"))
-    chunk = cut(best_chunks(index, chunk_questions, p))
     order = Window.partitionBy("qid").orderBy(F.col("chunk_score").desc(), "chunkid")
     by_chunk = (
         chunk.join(wanted.filter("NOT structured"), "qid")

@@ -12,7 +12,7 @@ from missiva.operators import retrieve as R
 from missiva.operators import vectors as X
 from missiva.plans import records
 from missiva.plans import sqltext as S
-from missiva.sources.tables import cut, table
+from missiva.sources.tables import cut, cut_all, table
 
 QUESTIONS = [
     ("q01", "Welche Briefe behandeln die Jagdordnung?"),
@@ -47,20 +47,20 @@ def _with_vectors(spark: SparkSession, vectors: DataFrame) -> DataFrame:
 
 def index(spark: SparkSession, sf_dir: str, *parts: str) -> R.Index:
     """The index, built once in the shared folder as an archive would keep it; only the parts named, all if none is."""
-    want = lambda part, build: cut(build()) if not parts or part in parts else None
     pub = cut(A.public(A.corpus(spark, sf_dir)))
     variants = A.labels(spark, sf_dir, "saches").select(F.col("short").alias("label"), F.explode("variants").alias("variant"))
-    texts = want("texts", lambda: A.stem_texts(pub, A.fulltexts(spark, sf_dir)))
-    return R.Index(
-        pub,
-        want("subjects", lambda: A.subject_postings(pub, variants)),
-        want("persons", lambda: A.person_postings(pub, "senders")),
-        want("persons", lambda: A.person_postings(pub, "recipients")),
-        texts,
-        want("texts", lambda: A.stem_postings(texts)),
-        want("vectors", lambda: X.usable(table(spark, sf_dir, "letter_vectors"), "id")),
-        want("chunks", lambda: X.usable(table(spark, sf_dir, "chunk_vectors"), "chunkid")),
-    )
+    builds = {
+        "subjects": ("subjects", lambda: A.subject_postings(pub, variants)),
+        "senders": ("persons", lambda: A.person_postings(pub, "senders")),
+        "recipients": ("persons", lambda: A.person_postings(pub, "recipients")),
+        "texts": ("texts", lambda: A.stem_texts(pub, A.fulltexts(spark, sf_dir))),
+        "vectors": ("vectors", lambda: X.usable(table(spark, sf_dir, "letter_vectors"), "id")),
+        "chunks": ("chunks", lambda: X.usable(table(spark, sf_dir, "chunk_vectors"), "chunkid")),
+    }
+    done = cut_all({name: build for name, (part, build) in builds.items() if not parts or part in parts})
+    texts = done.get("texts")
+    stems = cut(A.stem_postings(texts)) if texts is not None else None
+    return R.Index(pub, done.get("subjects"), done.get("senders"), done.get("recipients"), texts, stems, done.get("vectors"), done.get("chunks"))
 
 
 # --- ETL --------------------------------------------------------------------------------------------------------------
