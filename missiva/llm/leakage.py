@@ -1,8 +1,9 @@
 """Test passages inside a training corpus: rare n-gram seeds, then Smith-Waterman alignment.
 
 1. Every run of SEED words of the test items is counted in the whole corpus (map-side sums; only runs that items have).
-2. Of each window of MIN_RUN item words the rarest run is a seed. So a document that holds any MIN_RUN consecutive
-   words of an item holds one of the item's seeds: nothing is lost, and common phrases seed nothing.
+2. Of each window of MIN_RUN item words the rarest run that the corpus has is a seed. So a document that holds any
+   MIN_RUN consecutive words of an item holds one of the item's seeds: nothing is lost. A window whose other runs occur
+   nowhere, as in an edited copy, is sought by what is left of it, be that a common phrase.
 3. Documents are matched against the seeds where they stand; only (document, item) pairs with a seed are aligned.
 
 The test set is a query set: it is split into blocks of BLOCK_ITEMS, each small enough to broadcast (some MB), so that
@@ -122,9 +123,11 @@ def _block(docs: DataFrame, items: list[tuple[int, np.ndarray]], kind: str) -> D
         rank = frequency[np.searchsorted(every, runs)]
         width = MIN_RUN - SEED + 1
         for i in range(len(runs) - width + 1):
-            j = min(range(i, i + width), key=lambda x: (rank[x], runs[x]))
-            if frequency[np.searchsorted(every, runs[j])] and (not seeds[runs[j]] or seeds[runs[j]][-1] != k):
-                seeds[int(runs[j])].append(k)
+            there = [x for x in range(i, i + width) if rank[x]]
+            if there:
+                seed = int(runs[min(there, key=lambda x: (rank[x], runs[x]))])
+                if not seeds[seed] or seeds[seed][-1] != k:
+                    seeds[seed].append(k)
     table = sc.broadcast((np.array(sorted(seeds), np.int64), [sorted(set(seeds[s])) for s in sorted(seeds)], items))
 
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

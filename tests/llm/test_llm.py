@@ -85,6 +85,14 @@ def test_leaks_equal_brute_force(spark):
     assert leakage.leaks(df, it.limit(0)).count() == 0
 
 
+def test_edited_copies_are_aligned(spark):
+    item = [f"wort{i}" for i in range(40)]
+    copy = ["anders" if i % 8 == 7 else w for i, w in enumerate(item)]
+    docs = spark.createDataFrame([(1, " ".join(copy)), (2, "ganz fremde worte stehen hier und sonst nichts")], "doc_id bigint, text string")
+    items = spark.createDataFrame([(7, " ".join(item))], "item_id bigint, text string")
+    assert [(r.doc_id, r.item_id, r.aligned, r.run) for r in leakage.leaks(docs, items).collect()] == [(1, 7, 39, 7)]
+
+
 def test_words_of_old_texts():
     assert words.words("Vnd Waſſer-\nſtraß, l'Été 12") == ["und", "wasserstrass", "l", "ete", "12"]
 
