@@ -269,14 +269,25 @@ def find(docs: DataFrame) -> DataFrame:
         hits = name_edges.join(given, "inst", "left_semi").groupBy("pat").agg(F.count("*").alias("hits"))
         good = hits.join(size, "pat").filter("hits >= 2 AND hits / n >= 0.25").select("pat")
         support = name_edges.join(good, "pat", "left_semi").groupBy("inst").agg(F.count("*").alias("good"))
-        fresh = support.join(every, "inst").filter("good >= 3 AND good / all >= 0.15").select("inst")
+        likely = support.join(every, "inst").filter("good / all >= 0.15")
+        fresh = likely.filter("good >= 3").select("inst")
         given = cut(fresh.unionByName(seeds.select("inst")).distinct())
-    named = (
-        names.select("doc_id", "beg", "fin", "val", F.posexplode(_parts(F.col("inst"))).alias("i", "inst"))
-        .filter("i = 0")
-        .join(given, "inst", "left_semi")
-        .select("doc_id", F.lit("name").alias("kind"), "beg", "fin", "val")
+    firsts = names.select("doc_id", "beg", "fin", "val", F.element_at(_parts(F.col("inst")), 1).alias("inst"), "pats")
+    # A given name too rare to be known is taken where both patterns of its place are mostly filled by known ones, itself not
+    # counted; unless its other places speak against it.
+    hits = name_edges.join(given, "inst", "left_semi").groupBy("pat").agg(F.count("*").alias("hits"))
+    scored = hits.join(size, "pat").filter("hits >= 2").select("pat", (F.col("hits") / (F.col("n") - 1 + 0.3)).alias("score"))
+    rare = firsts.join(likely.select("inst").join(given, "inst", "left_anti"), "inst", "left_semi")
+    placed = (
+        rare.select("doc_id", "beg", "fin", "val", F.explode(F.filter("pats", lambda p: ~p.startswith("1 "))).alias("pat"))
+        .distinct()
+        .join(scored, "pat", "left")
+        .groupBy("doc_id", "beg", "fin", "val")
+        .agg(F.avg(F.coalesce("score", F.lit(0.0))).alias("score"))
+        .filter("score >= 0.5")
     )
+    named = firsts.join(given, "inst", "left_semi").select("doc_id", "beg", "fin", "val").unionByName(placed.drop("score"))
+    named = named.select("doc_id", F.lit("name").alias("kind"), "beg", "fin", "val")
 
     # Numbers: the instances are shapes; each kind is scored against the other and against other numbers.
     edges = numbers.select("inst", F.explode("pats").alias("pat")).distinct()

@@ -217,3 +217,11 @@ def test_bootstrapped_findings(spark):
     assert sum(k == "name" for _, k, _ in got) == len(known + new) * len(surnames) + 1
     texts = {r.doc_id: r.text for r in pii.redact(df, found).collect()}
     assert texts[0].startswith("Bearbeitung: [NAME]. Erneut. Tel. [PHONE].") and texts[n - 3] is None and texts[n - 1] == "Magister Norz"
+
+
+def test_rare_given_names_are_found_by_their_place(spark):
+    docs = [f"Mit besten Grüßen\n{g} Norz\n" for g in ("Uwe", "Petra", "Jonas", "Anna", "Karl")]
+    docs += ["Mit besten Grüßen\nRosalind Bär\n", "Die Rosalia Stadt liegt fern."]
+    df = spark.createDataFrame(list(enumerate(docs)), "doc_id bigint, text string")
+    names = {(r.doc_id, r.val) for r in pii.find(df).filter("kind = 'name'").collect()}
+    assert (5, "Rosalind Bär") in names and not [n for n in names if n[0] == 6] and len(names) == 6
