@@ -81,17 +81,21 @@ _NO = r"\d{1,3}(?:\s?[a-z](?![\p{L}\d]))?(?:\s?[–-]\s?\d{1,3}(?:\s?[a-z](?![\p
 _CAP = r"\p{Lu}[\p{L}'’]*"
 _CAPS = rf"{_CAP}(?:-{_CAP})*"
 _SUFFIX = "|".join(sorted({s.replace(".", r"\.") for k in ("de", "nl") for s in STREETS[k]}, key=len, reverse=True))
+#: What a named street may begin with, and the street words that stand apart from their name.
+_PLACED = "Am|Im|Zum|Zur|An der|An den|An dem|Auf der|Auf dem|In der|In den|Bei der|Hinter der|Hinter dem|Unter den|Unter der|Vor dem|Op de|Op den|Aan de|Aan den|Aan het"
+_APART = r"Straße|Strasse|Str\.|Landstraße|Landstr\.|Chaussee|Allee|Weg|Platz|Gasse|Ring|Damm|Ufer|Markt|Tor"
+_JOINED = r"straße|strasse|str\.|gasse|weg|platz|allee|straat|gracht|kade|plein|laan"
 _OF = r"(?:(?:de la|de l['’]|des|du|de|d['’]|della|delle|dello|dell['’]|dei|degli|del|di|da|dal|dalla)\s?)?"
 ADDRESS = regex.compile(
     "|".join(
         [
             # Am Lindenhof 16; An der Badermühle 51: a place named by a preposition.
-            rf"(?<![\p{{L}}\d])(?:Am|Im|Zum|Zur|An der|An den|An dem|Auf der|Auf dem|In der|In den|Bei der|Hinter der|Hinter dem|Unter den|Unter der|Vor dem|Op de|Op den|Aan de|Aan den|Aan het)\s{_CAPS}\s{_NO}",
+            rf"(?<![\p{{L}}\d])(?:{_PLACED})\s{_CAPS}\s{_NO}",
             # Badergasse 12; Haferstr. 4a; with an ending that towns have too only where nothing is counted by the number
             rf"(?<![\p{{L}}\d-])\p{{Lu}}[\p{{L}}-]*?(?:{_SUFFIX})\s{_NO}(?!\s\p{{L}})",
-            rf"(?<![\p{{L}}\d-])\p{{Lu}}[\p{{L}}-]*?(?:straße|strasse|str\.|gasse|weg|platz|allee|straat|gracht|kade|plein|laan)\s{_NO}",
+            rf"(?<![\p{{L}}\d-])\p{{Lu}}[\p{{L}}-]*?(?:{_JOINED})\s{_NO}",
             # Hallecker Straße 137
-            rf"(?<![\p{{L}}\d-])(?:{_CAPS}\s){{1,2}}(?:Straße|Strasse|Str\.|Landstraße|Landstr\.|Chaussee|Allee|Weg|Platz|Gasse|Ring|Damm|Ufer|Markt|Tor)\s{_NO}",
+            rf"(?<![\p{{L}}\d-])(?:{_CAPS}\s){{1,2}}(?:{_APART})\s{_NO}",
             # 105 Candle Close
             rf"(?<![\p{{L}}\d,.-])\d{{1,3}}[a-z]?(?:\s?[–-]\s?\d{{1,3}})?\s(?:{_CAPS}\s){{1,3}}(?:{'|'.join(STREETS['en'])})(?!\p{{L}})",
             # 88 bis, quai de la Corderie
@@ -103,12 +107,19 @@ ADDRESS = regex.compile(
 )
 # A street of no known form, between a line's start, bracket or verb and a postcode with a town.
 ADDRESS_BY_TOWN = regex.compile(rf"(?:(?<=\()|(?<=^)|(?<=\n)|(?<=wohnt )|(?<=woont )|(?<=abita in )|(?<=demeure )|(?<=lives at )|(?<=geht an ))((?:\p{{L}}[\p{{L}}'’-]*\.?[ ]){{1,4}}(?:n\.[ ])?{_NO})(?=(?:,\s|\n)\d{{5}}\s\p{{Lu}})")
-_HOUSE = regex.compile(r"(?<![\d.])\d{1,3}(?!\d)")
-_TOWN = regex.compile(r"(?:,[ ]|\n)\d{5}[ ]\p{Lu}")
-#: What a house number has near it in any of the forms above; only there the long patterns are tried.
-_ENDS = tuple(t.replace("\\", "") for k in ("de", "nl") for t in STREETS[k])
-_BEFORE = ("Am ", "Im ", "Zum ", "Zur ", " der ", " den ", " dem ", " de ", " het ", *(t.replace("\\", "") + " " for t in STREETS["it"]))
-_AFTER = tuple(t.replace("\\", "") for k in ("en", "fr") for t in STREETS[k])
+_TOWN = regex.compile(r"(?:,\s|\n)\d{5}\s\p{Lu}")
+#: What an address of ADDRESS consists of: none goes beyond such a stretch. In it, what a house number has beside it in any
+#: of the forms above, by their own words; only such stretches are searched with the long patterns.
+_STRETCH = regex.compile(r"[\p{L}\d \u00A0\u2009'’.,/–-]+")
+_HOUSE = regex.compile(r"(?<!\d)\d{1,3}(?!\d)")
+_plain = lambda words: tuple(sorted({w.replace("\\", "").casefold() for w in words}))
+_ENDS = _plain(f"{_SUFFIX}|{_JOINED}|{_APART}".split("|"))
+_PLACED_ENDS = _plain(x.split()[-1] for x in _PLACED.split("|"))
+_AFTER = _plain(STREETS["en"] + STREETS["fr"])
+_ITALIAN = regex.compile(rf"(?<![\p{{L}}\d])(?i:{'|'.join(STREETS['it'])})[ \u00A0\u2009]")
+#: From the house number on: a range, a letter, three names and the street word.
+_NEXT = regex.compile(r"(?:\S+\s+){0,8}\S*")
+_EMAIL_MARK = regex.compile(r"[@＠(\[{]|\s(?:AT|at|arobase|chiocciola|apenstaartje)\s")
 NOT_STREET = regex.compile(r"^(?:Platz|Zeile|Hof|Turm|Weg|Markt|Bogen)\s|\b(?:Lesesaal|Raum|Saal|Kasten|Blatt|Zeile)\s")
 
 NUMBER = regex.compile(
@@ -145,22 +156,25 @@ def _around(text: str, beg: int, fin: int) -> list[str]:
     return [f"1 {before}", f"2 {two}", f"3 {before}|{after}"]
 
 
-def _street_windows(text: str) -> list[list[int]]:
-    """Stretches around house numbers that may belong to a street, joined where they overlap."""
-    windows: list[list[int]] = []
-    for m in _HOUSE.finditer(text):
-        before, after = text[max(0, m.start() - 50) : m.start()], text[m.end() : m.end() + 45]
-        if (
-            before.rstrip().endswith(_ENDS + ("Straße", "Str.", "Chaussee", "Landstraße", "Allee", "Weg", "Platz", "Tor"))
-            or any(x in before for x in _BEFORE)
-            or any(x in after for x in _AFTER)
-        ):
-            b, e = max(0, m.start() - 80), min(len(text), m.end() + 80)
-            if windows and b <= windows[-1][1]:
-                windows[-1][1] = e
-            else:
-                windows.append([b, e])
-    return windows
+def _street_windows(text: str) -> Iterator[tuple[int, int]]:
+    """Stretches with a house number that may belong to a street."""
+    for stretch in _STRETCH.finditer(text):
+        b, e = stretch.span()
+        italian = None
+        for m in _HOUSE.finditer(text, b, e):
+            p = m.start()
+            if italian is None:
+                first = _ITALIAN.search(text, b, e)
+                italian = first.end() if first else e
+            words = text[b:p].rsplit(None, 2)
+            if (
+                italian <= p
+                or text[max(b, p - 24) : p].rstrip().casefold().endswith(_ENDS)
+                or (len(words) > 1 and words[-2].casefold().endswith(_PLACED_ENDS))
+                or any(x in after for after in (_NEXT.match(text, p, e).group().casefold(),) for x in _AFTER)
+            ):
+                yield b, e
+                break
 
 
 def candidates(text: str) -> list[tuple]:
@@ -170,7 +184,7 @@ def candidates(text: str) -> list[tuple]:
     def free(b: int, e: int) -> bool:
         return all(e <= x or b >= y for x, y in taken)
 
-    if any(m in text for m in ("@", "＠", "(", "[", "{", " AT ", " at ", "arobase", "chiocciola")):
+    if _EMAIL_MARK.search(text):
         for m in EMAIL.finditer(text):
             out.append(("email", m.start(), m.end(), m.group(), None, None))
             taken.append(m.span())
@@ -179,8 +193,8 @@ def candidates(text: str) -> list[tuple]:
             if free(*m.span()) and not NOT_STREET.search(m.group()):
                 out.append(("address", m.start(), m.end(), m.group(), None, None))
                 taken.append(m.span())
-    for t in _TOWN.finditer(text):
-        for m in ADDRESS_BY_TOWN.finditer(text, max(0, t.start() - 80), t.end()):
+    if _TOWN.search(text):
+        for m in ADDRESS_BY_TOWN.finditer(text):
             if free(*m.span()) and not NOT_STREET.search(m.group()):
                 out.append(("address", m.start(), m.end(), m.group(), None, None))
                 taken.append(m.span())

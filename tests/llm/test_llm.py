@@ -225,3 +225,18 @@ def test_rare_given_names_are_found_by_their_place(spark):
     df = spark.createDataFrame(list(enumerate(docs)), "doc_id bigint, text string")
     names = {(r.doc_id, r.val) for r in pii.find(df).filter("kind = 'name'").collect()}
     assert (5, "Rosalind Bär") in names and not [n for n in names if n[0] == 6] and len(names) == 6
+
+
+def test_prefilters_lose_nothing():
+    streets = (
+        "Via Roma 12|Piazza Vecchia 3|via Roma n.64|Lange Strasse 5|Alte Gasse 12|Neuer Markt 3|Hoher Ring 7|Alter Damm 9|Oberes Ufer 2|"
+        "Am Lindenhof 16–18|An der Badermühle 51|Badergasse 12|Haferstr. 4a|105 Candle Close|12 – 14 Old Candle Close|88 bis, quai de la Corderie|"
+        f"piazza del Pozzo Vecchio, n. 64|Am {'Lang' * 30} 5|Via {'Lunga ' * 20}4|Am\u00a0Lindenhof\u00a016|via\u2009Roma\u20093"
+    ).split("|")
+    for x in streets:
+        t = f"Er wohnt hier ({x}), im Jahr 1563; 12 Briefe."
+        whole = [m.span() for m in pii.ADDRESS.finditer(t)]
+        assert whole and [m.span() for b, e in pii._street_windows(t) for m in pii.ADDRESS.finditer(t, b, e)] == whole
+        assert [(b, e) for k, b, e, *_ in pii.candidates(t) if k == "address"] == whole
+    found = [(k, v) for t in ("Uwe apenstaartje archief punt nl", "wohnt Lange Zeilen Beim Bache 5,\u00a012345 Eck") for k, _, _, v, *_ in pii.candidates(t)]
+    assert ("email", "Uwe apenstaartje archief punt nl") in found and ("address", "Lange Zeilen Beim Bache 5") in found
