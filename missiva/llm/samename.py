@@ -2,11 +2,11 @@
 
 1. Every distinct spelling is read into parts (names.py). Spellings that read the same form one node: surname (or town),
    given names (or kind of body), generation. A node whose given names are all written out is a person.
-2. Trie join: surname keys are sharded by length (long shards further by hash) into tries; a key that few spellings
-   have is run through the tries of its own and the neighbouring lengths by a Levenshtein automaton, which gives all
-   keys within the distance without comparing it with each.
+2. Trie join: surname keys are sharded by length (long shards further by hash) into tries; every key is
+   run through the tries of its own and the neighbouring lengths by a Levenshtein automaton, which gives all keys within
+   the distance without comparing it with each. Of two keys the less established may be the slip.
 3. A node points to one other at most: a person with less said to the one person that says more (second given name,
-   generation), a rare surname to the person of the same given names under the surname it may be a slip of, initials
+   generation), a surname to the person of the same given names under the surname it may be a slip of, initials
    and abbreviations to the only person they can stand for, token order and titles having been read either way.
    Where several are possible, office or town decide, else there is no link.
 4. Pointers are followed to their ends; spellings with the same end are one entity.
@@ -27,8 +27,9 @@ from pyspark.sql import functions as F
 from missiva.llm import names as N
 from missiva.sources.tables import cut
 
-#: Keys of at most so many spellings may be slips; distance of folded keys; keys of a trie and queries against it.
-RARE, DISTANCE, SHARD, QUERIES = 2, 2, 20_000, 400
+#: A key with more than RARE spellings, or of under 4 letters, is a slip only of one with WEIGHT times as many; distance of
+#: folded keys; keys of a trie and queries against it.
+RARE, WEIGHT, DISTANCE, SHARD, QUERIES = 2, 4, 2, 20_000, 400
 
 
 class Trie:
@@ -70,11 +71,11 @@ class Trie:
         return found
 
 
-def neighbours(rare: DataFrame, keys: DataFrame) -> DataFrame:
-    """rare(s), keys(s): (s, t, distance) with t another key within DISTANCE."""
+def neighbours(asking: DataFrame, keys: DataFrame) -> DataFrame:
+    """asking(s), keys(s): (s, t, distance) with t another key within DISTANCE."""
     sized = keys.select("s", F.length("s").alias("len"))
     counts = {r["len"]: r["count"] for r in sized.groupBy("len").count().collect()}  # a row for each length
-    asked = {r["len"]: r["count"] for r in rare.groupBy(F.length("s").alias("len")).count().collect()}
+    asked = {r["len"]: r["count"] for r in asking.groupBy(F.length("s").alias("len")).count().collect()}
     spark = keys.sparkSession
     plan = []
     for n, c in counts.items():
@@ -84,7 +85,7 @@ def neighbours(rare: DataFrame, keys: DataFrame) -> DataFrame:
     layout = F.broadcast(spark.createDataFrame(plan or [(0, 1, 1)], "len int, shards int, queries int"))  # a row for each length
     both = F.explode(F.sequence(F.lit(0), F.col("n") - 1))
     left = (
-        rare.select("s", F.explode(F.sequence(F.length("s") - DISTANCE, F.length("s") + DISTANCE)).alias("len"))
+        asking.select("s", F.explode(F.sequence(F.length("s") - DISTANCE, F.length("s") + DISTANCE)).alias("len"))
         .join(layout, "len")
         .withColumn("block", F.pmod(F.xxhash64("s"), F.col("queries")).cast("int"))
         .withColumn("n", F.col("shards"))
@@ -150,12 +151,14 @@ def _decide(cands: DataFrame, keys: list[str]) -> DataFrame:
     return per.select(*keys, to.alias("to")).filter(F.col("to").isNotNull())
 
 
-def _follow(pointers: DataFrame, rounds: int) -> DataFrame:
+def _follow(pointers: DataFrame) -> DataFrame:
     """(node, to) to (node, end): each round doubles the way covered; pointers go from less to more, so none circle."""
-    for _ in range(rounds):
+    while True:
         nxt = pointers.select(F.col("node").alias("to"), F.col("to").alias("further"))
-        pointers = pointers.join(nxt, "to", "left").select("node", F.coalesce("further", "to").alias("to"))
-    return pointers.withColumnRenamed("to", "end")
+        pairs = cut(pointers.select("node", "to").join(nxt, "to", "left"))
+        if pairs.filter("further IS NOT NULL").isEmpty():
+            return pairs.select("node", F.col("to").alias("end"))
+        pointers = pairs.select("node", F.coalesce("further", "to").alias("to"))
 
 
 def entities(names: DataFrame) -> DataFrame:
@@ -179,13 +182,13 @@ def entities(names: DataFrame) -> DataFrame:
     places = parsed.filter("place <> ''").select(F.col("place").alias("s"), F.lit(1).alias("k"))
     counted = nodes.select("s", F.col("spellings").alias("k")).unionByName(places).groupBy("s").agg(F.sum("k").alias("known"))
     keys = cut(nodes.select("s").distinct().join(counted, "s"))
-    rare = keys.filter((F.col("known") <= RARE) & (F.length("s") >= 4)).select("s")
-    near = neighbours(rare, keys.select("s"))
+    near = neighbours(keys.select("s"), keys.select("s"))
     size = keys.select("s", "known")
+    heavier = (F.col("t_known") > F.col("known")) | ((F.col("t_known") == F.col("known")) & (F.col("t") < F.col("s")))
     near = (
         near.join(size, "s")
         .join(size.toDF("t", "t_known"), "t")
-        .filter((F.col("t_known") > F.col("known")) | ((F.col("t_known") == F.col("known")) & (F.col("t") < F.col("s"))))
+        .filter(F.when((F.col("known") <= RARE) & (F.length("s") >= 4), heavier).otherwise(F.col("t_known") >= WEIGHT * F.col("known")))
         .select("s", "t", "d")
     )
     near = cut(near)
@@ -231,7 +234,7 @@ def entities(names: DataFrame) -> DataFrame:
     twofold = titled.join(people, on).filter((F.col("node") != F.col("to")) & F.array_contains("g2", F.col("p_g2")) & (same_gen | no_gen))
     spare = twofold.filter("full").join(full_points, "node", "left_anti")
     full_points = cut(full_points.unionByName(_decide(spare.select("node", "to", F.lit(0).alias("level"), F.lit(0).alias("hint")), ["node"])))
-    ends = cut(_follow(full_points, 2))  # no way is longer than four steps: slip, initials, second name, generation
+    ends = _follow(full_points)
     people_end = people.join(ends.select(F.col("node").alias("to"), "end"), "to", "left").withColumn("end", F.coalesce("end", "to"))
 
     # Initials and abbreviations: the ends of the persons they can stand for have to be one.

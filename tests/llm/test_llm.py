@@ -188,6 +188,19 @@ def test_entities(spark):
     assert got == {tuple(sorted(x)) for g in groups for x in itertools.combinations(g, 2)}
 
 
+def test_slips_typed_in_several_ways(spark):
+    right = [f"{g} Bullinger" for g in "Heinrich Anna Georg Konrad Barbara Ulrich Thomas Peter Maria Johann Jakob Elisabeth".split()]
+    slip = ["Bullniger, Heinrich", "Heinrich Bullniger", "Heinrich Bullniger, Pfarrer"]
+    rows = spark.createDataFrame([(n,) for n in right + slip], "name string")
+    got = {tuple(r) for r in samename.pairs(samename.entities(rows)).collect()}
+    assert got == {tuple(sorted(x)) for x in itertools.combinations(["Heinrich Bullinger", *slip], 2)}
+
+
+def test_pointers_are_followed_to_the_end(spark):
+    chain = spark.createDataFrame([(str(k), str(k + 1)) for k in range(9)], "node string, to string")
+    assert {tuple(r) for r in samename._follow(chain).select("node", "end").collect()} == {(str(k), "9") for k in range(9)}
+
+
 def test_trie_equals_brute_force():
     rng = random.Random(4)
     keys = sorted({"".join(rng.choice("abc") for _ in range(rng.randint(3, 7))) for _ in range(150)})
