@@ -1,21 +1,26 @@
 """The k most similar vectors of every vector, by randomly rotated one-bit codes.
 
-A unit vector is padded into BITS x dim dimensions by a random rotation and kept as its signs, packed, with one
-correction scalar, the inner product of the vector with its own code. From the packed bits of one vector and the exact
-other one follows an unbiased estimate of their inner product with an error bound that shrinks with the root of the
-code's length. Only vectors whose estimate plus bound reaches the k-th best exact similarity so far are reranked.
+A unit vector is padded into about LENGTH dimensions by a random rotation and kept as its signs, packed, with one
+correction scalar, the inner product of the vector with its own code. Two packed codes are compared by XOR and bit
+count: the share of differing signs estimates the angle, within BOUND standard deviations. What that leaves is
+estimated again from the one code, its scalar and the exact other vector, whose error shrinks with the root of the
+code's length, and then from bytes; only what can still reach the k best is fetched and reranked exactly.
 
 1. Exact copies form one class; a class takes part once, by its smallest key, with its k + 1 smallest keys as members.
    So a vector that a third of the rows share is one vector here, and is expanded at the end only, k pairs a row.
-2. Classes are put in cells by centroids fitted on at most SAMPLE of them (all are indexed). Cells are cut into pieces
-   by a hash, pieces filled into blocks of about BLOCK classes, so that no block grows with a hot cell.
-3. Each block is compared with itself first, which gives every vector a k-th best similarity to beat, then with the
-   blocks of the PROBES cells whose centroids are nearest to one of its own. Up to PROBES cells, that is about PROBES x
-   PIECE classes, all blocks meet; beyond that the work per vector stays about constant.
-4. Results are merged per class and expanded to rows.
-
-Ties go to the smaller key. Defined cases: null, zero, non-finite and wrongly sized vectors are left out; a repeated
-key counts once, in its latest row; an empty table gives no row; with fewer than k others all of them count.
+2. Cells of about CELL classes, in proportion to their number, by centroids on two levels: at most TOP coarse ones, fitted
+   on a bounded sample on the driver and broadcast; and in each coarse cell as many fine ones as its size asks for,
+   fitted by a task on a bounded sample of it and joined by key, never collected. Every class is in one cell. A cell
+   beyond PIECE classes is cut by a hash into pieces, all of which are searched by whoever searches the cell.
+3. At home each class is compared exactly with its own piece; that gives the similarity others have to beat.
+4. Each class visits the nearest fine cells of its nearest coarse ones, len(VISITS) coarse and sum(VISITS) fine cells at
+   most, whatever the number of classes. Its code, scalar, similarity to beat and a vector of rounded bytes travel.
+5. What may be better is sent back by key; the vectors of what can still be among the k best are fetched
+   and compared exactly.
+
+Work and shuffled bytes for each vector are thus constant. Ties go to the smaller key. Defined cases: null, zero,
+non-finite and wrongly sized vectors are left out; a repeated key counts once, in its latest row; an empty table gives
+no row; with fewer than k others all of them count.
 """
 
 from __future__ import annotations
@@ -30,19 +35,27 @@ from pyspark.sql import functions as F
 
 from missiva.sources.tables import cut, latest
 
-#: Classes the centroids are fitted on, at most; classes a cell and a piece of one hold; classes of a block; cells at most.
-SAMPLE, PIECE, BLOCK, CELLS = 16_384, 1_024, 8_192, 1_024
-#: Nearest cells whose blocks are searched; code bits for each dimension; width of the error bound in standard deviations.
-PROBES, BITS, BOUND = 256, 2, 2.5
+#: Classes of a cell; of a piece at most; coarse cells at most; fine cells in a coarse one at most.
+CELL, PIECE, TOP, FINE = 512, 4_096, 1_024, 1_024
+#: Fine cells visited in the nearest coarse cell, the next, and so on; a coarse cell that isn't divided has one.
+VISITS = (5, 3, 2, 2, 1, 1, 1, 1)
+#: Sampled classes for each centroid, and bytes of a sample; bits of a code at least; standard deviations of the bounds.
+PER_CENTROID, SAMPLE_BYTES, LENGTH, BOUND = 32, 1 << 26, 256, 3.0
+#: Classes of one task where rows meet the centroids of their coarse cell or the vectors to be compared exactly.
+SALT = 16_384
 SEED = 20_260
-#: Rows of one matrix step: 1024 x 8192 estimates are 32 MB.
-STEP = 1_024
+#: Rows of one step of bit counts: 256 x 512 words are 1 MB.
+STEP = 256
+
+
+def bits(dim: int) -> int:
+    return dim * -(-LENGTH // dim)
 
 
 @cache
 def rotation(dim: int) -> np.ndarray:
-    """dim orthonormal rows of length BITS x dim, the same in every process."""
-    q, r = np.linalg.qr(np.random.default_rng(SEED).standard_normal((BITS * dim, BITS * dim)))
+    """dim orthonormal rows of length bits(dim), the same in every process."""
+    q, r = np.linalg.qr(np.random.default_rng(SEED).standard_normal((bits(dim), bits(dim))))
     return (q * np.sign(np.diag(r)))[:dim].astype(np.float32)
 
 
@@ -53,78 +66,131 @@ def unit(x: np.ndarray) -> np.ndarray:
 
 
 def encode(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(packed signs, correction) of unit vectors."""
+    """(signs packed into words, correction) of unit vectors."""
     r = x.astype(np.float32) @ rotation(x.shape[1])
-    return np.packbits(r > 0, axis=1), np.abs(r).sum(1) / np.sqrt(r.shape[1])
+    packed = np.packbits(r > 0, axis=1)
+    words = np.zeros((len(x), -(-packed.shape[1] // 8) * 8), np.uint8)
+    words[:, : packed.shape[1]] = packed
+    return words.view(np.uint64), (np.abs(r).sum(1) / np.sqrt(r.shape[1])).astype(np.float32)
+
+
+def signs(words: np.ndarray, length: int) -> np.ndarray:
+    return np.unpackbits(np.ascontiguousarray(words).view(np.uint8), axis=1, count=length).astype(np.float32) * 2 - 1
+
+
+@cache
+def reach(length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Highest and lowest similarity that so many differing signs admit."""
+    share = np.arange(length + 1) / length
+    off = BOUND * np.sqrt(np.maximum(share * (1 - share), 1 / length) / length)
+    return np.cos(np.pi * np.clip(share - off, 0, 1)), np.cos(np.pi * np.clip(share + off, 0, 1))
 
 
 def centroids(sample: np.ndarray, cells: int) -> np.ndarray:
-    rng = np.random.default_rng(SEED)
-    c = sample[rng.choice(len(sample), cells, replace=False)]
+    """Spherical k-means over unit vectors; an empty centroid stays where it was."""
+    sample = sample.astype(np.float32)
+    c = sample[np.random.default_rng(SEED).choice(len(sample), min(cells, len(sample)), replace=False)]
     for _ in range(8):
-        near = (sample @ c.T).argmax(1)
-        sums = np.zeros_like(c)
-        np.add.at(sums, near, sample)
+        near = np.concatenate([(sample[i : i + 8_192] @ c.T).argmax(1) for i in range(0, len(sample), 8_192)])
+        order = np.argsort(near, kind="stable")
+        own, at = np.unique(near[order], return_index=True)
+        sums = np.add.reduceat(sample[order], at, axis=0)
         norm = np.linalg.norm(sums, axis=1, keepdims=True)
-        c = np.where(norm > 0, sums / np.maximum(norm, 1e-30), c)
+        c[own] = np.where(norm > 0, sums / np.maximum(norm, 1e-30), c[own])
     return c
 
 
-class Block:
-    """Classes of one block: keys, unit vectors in both precisions, codes, and the similarity each has to beat."""
-
-    def __init__(self, keys: np.ndarray, x: np.ndarray, beat: np.ndarray | None = None):
-        self.keys, self.x = keys, unit(x)
-        self.bits, self.own = encode(self.x)
-        self.beat = np.full(len(keys), -2.0) if beat is None else beat
-
-    def signs(self) -> np.ndarray:
-        n = BITS * self.x.shape[1]
-        return np.unpackbits(self.bits, axis=1, count=n).astype(np.float32) * 2 - 1
-
-
-def search(q: Block, d: Block, k: int) -> pd.DataFrame:
-    """(key, other, sim): of each class of q its at most k best in d that reach q.beat."""
-    length = BITS * q.x.shape[1]
-    codes = (d.signs() / (np.sqrt(length) * d.own[:, None])).T
-    bound = (BOUND * np.sqrt(np.maximum(0, 1 - d.own**2)) / d.own / np.sqrt(length - 1)).astype(np.float32)
-    turned = q.x.astype(np.float32) @ rotation(q.x.shape[1])
-    out = []
-    for lo in range(0, len(q.keys), STEP):
-        hi = min(lo + STEP, len(q.keys))
-        high = turned[lo:hi] @ codes
-        beat = q.beat[lo:hi].copy()
-        # A first exact look at the best estimates raises what has to be beaten, where nothing is known yet.
-        new = np.flatnonzero(beat < -1)
-        if len(new):
-            take = min(4 * k + 1, len(d.keys))
-            best = np.argpartition(-high[new], take - 1, axis=1)[:, :take]
-            sims = np.einsum("ij,ikj->ik", q.x[lo:hi][new], d.x[best])
-            sims[d.keys[best] == q.keys[lo:hi][new][:, None]] = -2
-            sims.sort(axis=1)
-            if take > k:
-                beat[new] = np.maximum(beat[new], sims[:, -k] - 1e-9)
-        high += bound
-        i, j = np.nonzero(high >= beat[:, None].astype(np.float32) - 1e-6)
-        keep = q.keys[lo:hi][i] != d.keys[j]
+def _stack(values: pd.Series, kind=np.float32) -> np.ndarray:
+    return np.frombuffer(b"".join(values), kind).reshape(len(values), -1)
+
+
+def _best(sim: np.ndarray, k: int) -> np.ndarray:
+    """Columns of the k highest of each row, highest first."""
+    k = min(k, sim.shape[1])
+    top = np.argpartition(-sim, k - 1, axis=1)[:, :k]
+    return np.take_along_axis(top, np.argsort(-np.take_along_axis(sim, top, 1), axis=1, kind="stable"), 1)
+
+
+def at_home(keys: np.ndarray, x: np.ndarray, k: int) -> tuple[np.ndarray, list, list]:
+    """(what each class has to beat, its best others, their similarities) within one piece."""
+    beat, others, sims = np.full(len(keys), -2.0), [], []
+    for lo in range(0, len(keys), STEP):
+        s = np.round(x[lo : lo + STEP] @ x.T, 12)
+        s[np.arange(len(s)), np.arange(lo, lo + len(s))] = -3
+        edge = min(k, len(keys) - 1)
+        least = np.partition(s, -edge, axis=1)[:, -edge] if edge else np.full(len(s), 9.0)
+        for i, row in enumerate(s):
+            j = np.flatnonzero(row >= least[i])  # all ties, of which the smaller keys count
+            j = j[np.lexsort((keys[j], -row[j]))][:k]
+            others.append(keys[j])
+            sims.append(row[j])
+            if len(j) == k:
+                beat[lo + i] = row[j[-1]]
+    return beat, others, sims
+
+
+class Visitors:
+    """What travels of a class: code, scalar, the similarity to beat, and its vector rounded to bytes for a second look."""
+
+    COLUMNS = ("rep", "code", "own", "beat", "rough", "scale", "err")
+    SCHEMA = "rep bigint, code binary, own float, beat double, rough binary, scale float, err float"
+
+    def __init__(self, rows: pd.DataFrame):
+        self.words = _stack(rows["code"], np.uint64)
+        self.own, self.beat = rows["own"].to_numpy(np.float32), rows["beat"].to_numpy(np.float64)
+        self.x = _stack(rows["rough"], np.int8).astype(np.float32) * rows["scale"].to_numpy(np.float32)[:, None]
+        self.err = rows["err"].to_numpy(np.float32) + 1e-6
+
+    @staticmethod
+    def of(x: np.ndarray) -> dict[str, list]:
+        words, own = encode(x)
+        scale = np.abs(x).max(1) / 127
+        rough = np.rint(x / scale[:, None]).astype(np.int8)
+        err = np.linalg.norm(x - rough * scale[:, None], axis=1)  # no inner product with a unit vector is further off
+        return {"code": [w.tobytes() for w in words], "own": own, "rough": [r.tobytes() for r in rough], "scale": scale.astype(np.float32), "err": err.astype(np.float32)}
+
+
+def _dots(a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Inner products of rows i of a with rows j of b; of all rows at once where many are wanted."""
+    if len(i) > len(a) * len(b) // 50:
+        return (a @ b.T)[i, j]
+    return np.concatenate([np.empty(0, np.float32), *(np.einsum("ij,ij->i", a[i[p : p + 65_536]], b[j[p : p + 65_536]]) for p in range(0, len(i), 65_536))])
+
+
+def visit(v: Visitors, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Visitors and the unit vectors of a piece: (visitor, vector, similarity up to the visitor's err), by position, of all
+    that may be among the visitor's k best."""
+    length = bits(x.shape[1])
+    high, low = reach(length)
+    theirs, _ = encode(x)
+    exact = x.astype(np.float32)
+    turned = exact @ rotation(x.shape[1])
+    spread = (BOUND * np.sqrt(np.maximum(0, 1 - v.own**2)) / v.own / np.sqrt(length - 1)).astype(np.float32)
+    found = [(np.empty(0, int), np.empty(0, int), np.empty(0, np.float32))]
+    for lo in range(0, len(v.words), STEP):
+        w, b = v.words[lo : lo + STEP], v.beat[lo : lo + STEP].copy()
+        differ = np.zeros((len(w), len(x)), np.uint16)
+        for n in range(w.shape[1]):
+            differ += np.bitwise_count(w[:, n, None] ^ theirs[None, :, n])
+        if len(x) >= k:  # the k-th best of this piece is at least that good
+            b = np.maximum(b, low[np.partition(differ, k - 1, axis=1)[:, k - 1]])
+        # high falls with the number of differing signs, so what may reach b differs in at most so many
+        most = np.searchsorted(-high, -(b - 1e-9), "right") - 1
+        i, j = np.nonzero(differ <= most[:, None])
+        estimate = _dots(signs(w, length), turned, i, j) / (np.sqrt(length) * v.own[lo + i])
+        keep = estimate + spread[lo + i] >= b[i] - 1e-6
         i, j = i[keep], j[keep]
-        sim = np.empty(len(i))
-        for a in range(0, len(i), 65_536):
-            s = slice(a, a + 65_536)
-            sim[s] = (q.x[lo:hi][i[s]] * d.x[j[s]]).sum(1)
-        sim = np.round(sim, 12)
-        good = sim >= beat[i] - 1e-9
-        i, j, sim = i[good], j[good], sim[good]
-        order = np.lexsort((d.keys[j], -sim, i))
-        i, j, sim = i[order], j[order], sim[order]
-        rank = np.arange(len(i)) - np.searchsorted(i, i)
-        top = rank < k
-        out.append(pd.DataFrame({"key": q.keys[lo:hi][i[top]], "other": d.keys[j[top]], "sim": sim[top]}))
-    return pd.concat(out, ignore_index=True)
-
-
-def _vectors(raw: bytes, n: int) -> np.ndarray:
-    return np.frombuffer(raw, np.float32).reshape(n, -1)
+        sim, err = _dots(v.x[lo : lo + STEP], exact, i, j), v.err[lo + i]
+        keep = sim + err >= b[i]
+        i, j, sim, err = i[keep], j[keep], sim[keep], err[keep]
+        order = np.lexsort((-sim, i))
+        i, j, sim, err = i[order], j[order], sim[order], err[order]
+        # What is surely behind k others of this piece falls out.
+        kth = np.searchsorted(i, i) + k - 1
+        full = kth < np.searchsorted(i, i, "right")
+        keep = ~full | (sim + 2 * err >= sim[np.minimum(kth, max(len(i) - 1, 0))]) if len(i) else full
+        found.append((lo + i[keep], j[keep], sim[keep]))
+    return tuple(np.concatenate(c) for c in zip(*found))
 
 
 def _clean(df: DataFrame, key: str) -> DataFrame:
@@ -152,97 +218,169 @@ def nearest(df: DataFrame, key: str = "vec_no", k: int = 5) -> DataFrame:
     return result
 
 
+def _meet(left: DataFrame, right: DataFrame, keys: list[str], run, schema: str) -> DataFrame:
+    """Groups of both sides by key, run together; the right side's columns are renamed, as both may have one origin."""
+    right = right.toDF(*(f"r_{c}" for c in right.columns))
+    return left.groupBy(*keys).cogroup(right.groupBy(*(f"r_{k}" for k in keys))).applyInPandas(run, schema)
+
+
+def _coarse(classes: DataFrame, n: int, dim: int) -> np.ndarray:
+    """Coarse centroids, from a bounded sample by hash."""
+    cells = max(1, min(TOP, n // CELL))
+    size = max(1, min(n, cells * PER_CENTROID * 4, SAMPLE_BYTES // (4 * dim)))
+    share = min(1.0, 1.2 * size / max(n, 1))
+    picked = classes.filter(F.pmod(F.xxhash64("rep"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).select("raw").limit(size).collect()
+    return centroids(unit(_stack([bytes(r["raw"]) for r in picked])), cells)
+
+
+def _fine(placed: DataFrame, plan: list[tuple[int, int, int]]) -> DataFrame:
+    """(coarse, fine centroids as bytes) of the coarse cells that are divided; plan has (coarse, classes, fine cells)."""
+    spark = placed.sparkSession
+    rows = [(c, f, min(1.0, f * PER_CENTROID / m)) for c, m, f in plan]
+    wanted = F.broadcast(spark.createDataFrame(rows, "coarse int, fine int, share double"))  # at most TOP rows
+    chosen = placed.select("raw", "rep", F.col("near")[0].alias("coarse")).join(wanted, "coarse")
+    chosen = chosen.filter(F.pmod(F.xxhash64("rep"), F.lit(1 << 20)) < F.col("share") * (1 << 20) + 1)
+
+    def fit(group: pd.DataFrame) -> pd.DataFrame:
+        c = centroids(unit(_stack(group["raw"])), int(group["fine"].iloc[0]))
+        return pd.DataFrame([(int(group["coarse"].iloc[0]), c.tobytes())], columns=["coarse", "middle"])
+
+    return chosen.select("coarse", "fine", "raw").groupBy("coarse").applyInPandas(fit, "coarse int, middle binary")
+
+
+def _choose(rows: DataFrame, fine: DataFrame, plan: list[tuple[int, int, int]], schema: str, pick) -> DataFrame:
+    """Rows meet the fine centroids of their coarse cell, as many tasks to a cell as its rows ask for."""
+    spark = rows.sparkSession
+    salts = F.broadcast(spark.createDataFrame([(c, -(-m // SALT)) for c, m, _ in plan], "coarse int, salts int"))  # at most TOP rows
+    left = rows.join(salts, "coarse").withColumn("salt", F.pmod(F.xxhash64("rep"), F.col("salts")).cast("int")).drop("salts")
+    right = fine.join(salts, "coarse").select("coarse", "middle", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+
+    def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if not len(a):
+            return pd.DataFrame(columns=[c.split()[0] for c in schema.split(", ")])
+        return pick(a, np.frombuffer(b["r_middle"].iloc[0], np.float32))
+
+    return _meet(left, right, ["coarse", "salt"], run, schema)
+
+
 def _nearest(rows: DataFrame, dim: int, k: int) -> DataFrame:
     spark = rows.sparkSession
     sc = spark.sparkContext
     first = Window.partitionBy("h1", "h2").orderBy("key")
     heads = rows.withColumn("r", F.row_number().over(first)).filter(F.col("r") <= k + 1)
-    classes = cut(
-        heads.groupBy("h1", "h2").agg(
-            F.min("key").alias("rep"), F.sort_array(F.collect_list("key")).alias("members"), F.min_by("embedding", "key").alias("embedding")
-        )
+    classes = heads.groupBy("h1", "h2").agg(
+        F.min("key").alias("rep"), F.sort_array(F.collect_list("key")).alias("members"), F.min_by("embedding", "key").alias("embedding")
     )
+
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            b["raw"] = [np.asarray(v, np.float32).tobytes() for v in b.pop("embedding")]
+            yield b
+
+    classes = cut(classes.mapInPandas(pack, "h1 bigint, h2 int, rep bigint, members array<bigint>, raw binary"))
     n = classes.count()
-    picked = classes.orderBy(F.xxhash64("rep"), "rep").select("embedding").limit(SAMPLE).toPandas()
-    sample = unit(np.array(picked["embedding"].tolist(), np.float32).reshape(-1, dim)).astype(np.float32)
-    cells = max(1, min(CELLS, n // PIECE, len(sample)))
-    middle = sc.broadcast(centroids(sample, cells))
+    middle = sc.broadcast(_coarse(classes, n, dim))  # at most TOP rows
+    # Unlike fine cells, a coarse cell is chosen by the exact vector, as it is here.
 
     def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             if len(b):
-                x = unit(np.array(b["embedding"].tolist(), np.float32)).astype(np.float32)
-                b["cell"] = (x @ middle.value.T).argmax(1).astype(np.int32)
-                b["raw"] = [np.asarray(v, np.float32).tobytes() for v in b["embedding"]]
-                yield b[["rep", "raw", "cell"]]
-
-    placed = cut(classes.select("rep", "embedding").mapInPandas(assign, "rep bigint, raw binary, cell int"))
-    sizes = placed.groupBy("cell").count().orderBy("cell").collect()  # at most CELLS rows
-    pieces, offset, plan = 0, [], []
-    for r in sizes:
-        own = -(-r["count"] // PIECE)
-        plan.append((r["cell"], own, pieces))
-        pieces += own
-    layout = F.broadcast(spark.createDataFrame(plan, "cell int, own int, start int"))  # at most CELLS rows
-    piece = F.col("start") + F.pmod(F.xxhash64("rep"), F.col("own"))
-    placed = placed.join(layout, "cell").select("rep", "raw", "cell", F.floor(piece / (BLOCK // PIECE)).cast("int").alias("blk"))
-
-    def pack(group: pd.DataFrame) -> pd.DataFrame:
-        """One block, compared with itself: its vectors, what each has to beat, and its pairs so far."""
-        group = group.sort_values("rep")
-        keys = group["rep"].to_numpy(np.int64)
-        raw = b"".join(group["raw"])
-        block = Block(keys, _vectors(raw, len(keys)))
-        pairs = search(block, block, k)
-        full = pairs.groupby("key")["sim"].agg(["min", "size"])
-        full = full[full["size"] >= k]["min"]
-        beat = full.reindex(keys).fillna(-2.0).to_numpy(np.float64)
-        columns = [pairs["key"].to_numpy(np.int64), pairs["other"].to_numpy(np.int64), pairs["sim"].to_numpy(np.float64)]
-        return pd.DataFrame(
-            [(int(group["blk"].iloc[0]), len(keys), keys.tobytes(), raw, beat.tobytes(), *(c.tobytes() for c in columns))],
-            columns=["blk", "n", "keys", "raw", "beat", "pk", "po", "ps"],
-        )
-
-    schema = "blk int, n int, keys binary, raw binary, beat binary, pk binary, po binary, ps binary"
-    blocks = cut(placed.groupBy("blk").applyInPandas(pack, schema))
-
-    def unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for pk, po, ps in b.itertuples(index=False):
-                yield pd.DataFrame({"key": np.frombuffer(pk, np.int64), "other": np.frombuffer(po, np.int64), "sim": np.frombuffer(ps, np.float64)})
-
-    at_home = blocks.select("pk", "po", "ps").mapInPandas(unpack, "key bigint, other bigint, sim double")
-
-    near = np.argsort(-(middle.value @ middle.value.T), axis=1, kind="stable")[:, :PROBES]
-    probes = spark.createDataFrame(
-        pd.DataFrame({"cell": np.repeat(np.arange(cells), near.shape[1]).astype(np.int32), "other": near.ravel().astype(np.int32)})
-    )
-    lies = placed.select("cell", "blk").distinct()
-    meet = (
-        lies.withColumnRenamed("blk", "q")
-        .join(probes, "cell")
-        .select("q", F.col("other").alias("cell"))
-        .join(lies.withColumnRenamed("blk", "d"), "cell")
-        .filter("q <> d")
-        .select(F.least("q", "d").alias("q"), F.greatest("q", "d").alias("d"))
-        .distinct()
-    )
-    payload = blocks.select("blk", "n", "keys", "raw", "beat")
-
-    def side(name: str) -> DataFrame:
-        both = meet.join(payload.withColumnRenamed("blk", name), name).select("q", "d", "n", "keys", "raw", "beat")
-        return both.toDF(*(f"{name}_{c}" for c in both.columns))  # other names, as both sides have one origin
+                x = unit(_stack(b["raw"])).astype(np.float32)
+                b["near"] = list(_best(x @ middle.value.T, len(VISITS)).astype(np.int32))
+                yield b
+
+    placed = cut(classes.select("rep", "raw").mapInPandas(assign, "rep bigint, raw binary, near array<int>"))
+    sizes = placed.groupBy(F.col("near")[0].alias("coarse")).count().collect()  # at most TOP rows
+    plan = [(r["coarse"], r["count"], min(FINE, -(-r["count"] // (2 * CELL)) * 2)) for r in sizes if r["count"] > 2 * CELL]
+    divided = F.col("coarse").isin([c for c, *_ in plan]) if plan else F.lit(False)
+    fine = cut(_fine(placed, plan)) if plan else None
+    number = lambda c: F.col(c).cast("bigint") * FINE
+
+    def settle(a: pd.DataFrame, flat: np.ndarray) -> pd.DataFrame:
+        x = unit(_stack(a["raw"])).astype(np.float32)
+        a["cell"] = a["coarse"].astype(np.int64) * FINE + (x @ flat.reshape(-1, dim).T).argmax(1)
+        return a[["rep", "raw", "near", "cell"]]
+
+    coarse = placed.withColumn("coarse", F.col("near")[0])
+    homes = coarse.filter(~divided).select("rep", "raw", "near", number("coarse").alias("cell"))
+    if plan:
+        homes = homes.unionByName(_choose(coarse.filter(divided), fine, plan, "rep bigint, raw binary, near array<int>, cell bigint", settle))
+    homes = cut(homes)
+    # Pieces of the cells that have more than one: at most a row for each PIECE classes.
+    large = cut(homes.groupBy("cell").count().filter(F.col("count") > PIECE).select("cell", F.ceil(F.col("count") / PIECE).cast("int").alias("pieces")))
+    homes = homes.join(large, "cell", "left").withColumn("piece", F.pmod(F.xxhash64("rep"), F.coalesce("pieces", F.lit(1))).cast("int"))
+
+    def home(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("rep").reset_index(drop=True)
+        x = unit(_stack(group["raw"]))
+        group["beat"], group["others"], group["sims"] = at_home(group["rep"].to_numpy(np.int64), x, k)
+        return group.assign(**Visitors.of(x))[[*travelling, "raw", "near", "cell", "piece", "others", "sims"]]
+
+    travelling = list(Visitors.COLUMNS)
+    schema = Visitors.SCHEMA + ", raw binary, near array<int>, cell bigint, piece int, others array<bigint>, sims array<double>"
+    settled = cut(homes.select("rep", "raw", "near", "cell", "piece").groupBy("cell", "piece").applyInPandas(home, schema))
+
+    going = settled.select(*travelling, F.col("cell").alias("from_cell"), F.col("piece").alias("from_piece"), F.posexplode("near").alias("turn", "coarse"))
+
+    def tour(a: pd.DataFrame, flat: np.ndarray) -> pd.DataFrame:
+        c = flat.reshape(-1, dim)
+        length = bits(dim)
+        turned = (c @ rotation(dim)).T
+        out = []
+        for lo in range(0, len(a), STEP * 4):
+            part = a.iloc[lo : lo + STEP * 4]
+            order = _best(signs(_stack(part["code"], np.uint64), length) @ turned, max(VISITS))
+            for t, rows in part.reset_index(drop=True).groupby("turn"):
+                for v in range(min(VISITS[t], order.shape[1])):
+                    out.append(rows.assign(cell=rows["coarse"].astype(np.int64) * FINE + order[rows.index, v]))
+        return pd.concat(out, ignore_index=True)[[*travelling, "from_cell", "from_piece", "cell"]]
+
+    visits = going.filter(~divided).select(*travelling, "from_cell", "from_piece", number("coarse").alias("cell"))
+    if plan:
+        # A coarse cell is visited by more classes than it has; tasks are planned for all of them.
+        crowd = [(c, m * len(VISITS), f) for c, m, f in plan]
+        schema = Visitors.SCHEMA + ", from_cell bigint, from_piece int, cell bigint"
+        visits = visits.unionByName(_choose(going.filter(divided), fine, crowd, schema, tour))
+    visits = visits.join(large, "cell", "left")
+    visits = visits.withColumn("piece", F.explode(F.sequence(F.lit(0), F.coalesce("pieces", F.lit(1)) - 1)))
+    visits = visits.filter((F.col("cell") != F.col("from_cell")) | (F.col("piece") != F.col("from_piece")))
 
     def compare(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        x, y = (
-            Block(np.frombuffer(keys, np.int64), _vectors(raw, n), np.frombuffer(beat, np.float64))
-            for _, _, n, keys, raw, beat in (next(t.itertuples(index=False, name=None)) for t in (a, b))
-        )
-        return pd.concat([search(x, y, k), search(y, x, k)], ignore_index=True)
-
-    away = side("q").groupBy("q_q", "q_d").cogroup(side("d").groupBy("d_q", "d_d")).applyInPandas(compare, "key bigint, other bigint, sim double")
-    order = Window.partitionBy("key").orderBy(F.col("sim").desc(), "other")
-    best = at_home.unionByName(away).withColumn("r", F.row_number().over(order)).filter(F.col("r") <= k)
+        if not len(a) or not len(b):
+            return pd.DataFrame(columns=["rep", "other", "sim", "err"])
+        v = Visitors(a)
+        i, j, sim = visit(v, unit(_stack(b["r_raw"])), k)
+        return pd.DataFrame({"rep": a["rep"].to_numpy()[i], "other": b["r_rep"].to_numpy()[j], "sim": sim, "err": v.err[i]})
+
+    stay = settled.select("cell", "piece", "rep", "raw")
+    back = _meet(visits.select(*travelling, "cell", "piece"), stay, ["cell", "piece"], compare, "rep bigint, other bigint, sim float, err float")
+    # Of what all visits brought, what is surely behind k others falls out; the vectors of the rest are fetched.
+    ranked = Window.partitionBy("rep").orderBy(F.col("sim").desc()).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    back = back.withColumn("kth", F.nth_value("sim", k).over(ranked)).filter(F.col("kth").isNull() | (F.col("sim") + 2 * F.col("err") >= F.col("kth")))
+    back = back.select("rep", "other").join(settled.select(F.col("rep").alias("other"), "raw"), "other")
+
+    groups = max(1, -(-n // SALT))
+    bucket = F.pmod(F.xxhash64("rep"), F.lit(groups)).cast("int").alias("bucket")
+
+    def rerank(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        keys = a["rep"].to_numpy(np.int64)
+        x = unit(_stack(a["raw"]))
+        order = np.argsort(keys)
+        parts = [
+            (np.repeat(keys, a["others"].map(len)), np.concatenate(a["others"].tolist()), np.concatenate(a["sims"].tolist())),
+        ]
+        for lo in range(0, len(b), 32_768):
+            part = b.iloc[lo : lo + 32_768]
+            at = order[np.searchsorted(keys[order], part["r_rep"].to_numpy(np.int64))]
+            parts.append((keys[at], part["r_other"].to_numpy(np.int64), np.round((x[at] * unit(_stack(part["r_raw"]))).sum(1), 12)))
+        key, other, sim = (np.concatenate(c) for c in zip(*parts))
+        o = np.lexsort((other, -sim, key))
+        key, other, sim = key[o], other[o], sim[o]
+        top = np.arange(len(key)) - np.searchsorted(key, key) < k
+        return pd.DataFrame({"key": key[top], "other": other[top], "sim": sim[top]})
+
+    own = settled.select(bucket, "rep", "raw", "others", "sims")
+    best = _meet(own, back.select(bucket, "rep", "other", "raw"), ["bucket"], rerank, "key bigint, other bigint, sim double")
 
     members = classes.select("rep", "members", "h1", "h2")
     listed = lambda sim, keys: F.transform(keys, lambda m: F.struct((-sim).alias("far"), m.alias("m")))

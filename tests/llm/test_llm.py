@@ -4,6 +4,7 @@ import itertools
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -132,11 +133,42 @@ def test_neighbours_of_few(spark):
     assert [tuple(r) for r in neighbours.nearest(spark.createDataFrame(two, schema)).collect()] == [(1, 2)]
 
 
-def test_blocks_meet(spark, monkeypatch):
-    """Several cells and blocks give what one does."""
-    monkeypatch.setattr(neighbours, "PIECE", 16)
-    monkeypatch.setattr(neighbours, "BLOCK", 32)
-    test_neighbours_equal_brute_force(spark, 0)
+def test_cells_and_pieces(spark, monkeypatch):
+    """Divided coarse cells, pieces of a cell and visits of few of them find nearly all that brute force finds."""
+    for name, value in {"CELL": 32, "TOP": 6, "PIECE": 48, "SALT": 256}.items():
+        monkeypatch.setattr(neighbours, name, value)
+    rng = np.random.default_rng(3)
+    middle = rng.standard_normal((250, 24))
+    x = (middle[rng.integers(250, size=3_000)] + 0.6 * rng.standard_normal((3_000, 24))).astype(np.float32)
+    x[1_000:1_400] = x[0] + 0.05 * x[1_000:1_400]  # a dense knot
+    df = spark.createDataFrame([(i, 24, v.tolist(), None) for i, v in enumerate(x)], "vec_no bigint, dim int, embedding array<float>, updated_at timestamp")
+    got = {tuple(r) for r in neighbours.nearest(df).collect()}
+    u = neighbours.unit(x)
+    want = set()
+    for a in range(0, 3_000, 50):
+        sim = np.round(u @ u[a], 12)
+        sim[a] = -3
+        want |= {(min(a, int(b)), max(a, int(b))) for b in np.lexsort((np.arange(3_000), -sim))[:5]}
+    assert len(got & want) >= 0.9 * len(want)
+
+
+def test_bounds_of_codes():
+    """Bit counts and corrected estimates stay within their bounds; rounded bytes within their error."""
+    rng = np.random.default_rng(5)
+    x, y = neighbours.unit(rng.standard_normal((400, 64))), neighbours.unit(rng.standard_normal((300, 64)))
+    y[:100] = neighbours.unit(x[:100] + 0.1 * y[:100])
+    (a, own), (b, _) = neighbours.encode(x), neighbours.encode(y)
+    differ = np.bitwise_count(a[:, None] ^ b[None]).sum(2)
+    high, low = neighbours.reach(neighbours.bits(64))
+    sim = x @ y.T
+    assert ((sim <= high[differ]) & (sim >= low[differ])).mean() > 0.99
+    rows = pd.DataFrame({"own": own, "beat": -2.0, **neighbours.Visitors.of(x)})
+    v = neighbours.Visitors(rows)
+    assert (np.abs(v.x @ y.T - sim) <= v.err[:, None]).all()
+    i, j, s = neighbours.visit(v, y, 5)
+    best = np.argsort(-sim, axis=1)[:, :5]
+    found = set(zip(i.tolist(), j.tolist()))
+    assert np.mean([(r, int(c)) in found for r in range(400) for c in best[r]]) > 0.98 and len(found) < 400 * 8
 
 
 def test_label_names():
