@@ -1,13 +1,16 @@
 """Test passages inside a training corpus: rare n-gram seeds, then Smith-Waterman alignment.
 
-1. Every run of SEED words of the test items is counted in the whole corpus (map-side sums; only runs that items have).
-2. Of each window of MIN_RUN item words the rarest run that the corpus has is a seed. So a document that holds any
-   MIN_RUN consecutive words of an item holds one of the item's seeds: nothing is lost. A window whose other runs occur
-   nowhere, as in an edited copy, is sought by what is left of it, be that a common phrase.
-3. Documents are matched against the seeds where they stand; only (document, item) pairs with a seed are aligned.
+1. One pass reads and hashes the words of every document and notes where it has a run of SEED words that some test item
+   has. Only documents with such a run are kept, as hashes.
+2. The runs are counted (map-side sums; only runs that items have). Of each window of MIN_RUN item words the rarest run
+   that the corpus has is a seed. So a document that holds any MIN_RUN consecutive words of an item holds one of the
+   item's seeds: nothing is lost. A window whose other runs occur nowhere, as in an edited copy, is sought by what is
+   left of it, be that a common phrase.
+3. Each (document, item) pair with a seed is aligned. The alignment decides: a copy of MIN_RUN words scores at least
+   MATCH x MIN_RUN, and an edited copy is one whose alignment covers enough of the item with equal words.
 
 The test set is a query set: it is split into blocks of BLOCK_ITEMS, each small enough to broadcast (some MB), so that
-its size isn't assumed. The corpus is never shuffled nor collected.
+its size isn't assumed; the corpus is hashed once for all blocks. It is never shuffled nor collected.
 
 Defined cases: null, empty and short items leak nowhere; null and empty documents and rows without id hold nothing; repeated items count
 once; items of one id with different texts all count under that id.
@@ -25,59 +28,58 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from missiva.llm.words import Hasher, words
+from missiva.sources.tables import cut
 
 MIN_RUN, SEED, BLOCK_ITEMS = 12, 5, 20_000
 #: Smith-Waterman scores of an equal word, a different word and a gap.
 MATCH, MISMATCH, GAP = 2, -1, -1
-
-
-def align(a: np.ndarray, b: np.ndarray) -> tuple[int, int, int, int, int]:
-    """Best local alignment of two runs of word hashes: (score, begin and end in a, begin and end in b).
-    Cells of one anti-diagonal depend on the two before only, so each is one vector step."""
-    n, m = len(a), len(b)
-    rb = b[::-1]
-    best, at = 0, (0, 0)
-    h1 = np.zeros(n + 1, np.int32)  # diagonal d - 1, by row
-    h2 = np.zeros(n + 1, np.int32)  # diagonal d - 2
-    s1 = np.zeros((n + 1, 2), np.int32)  # where the alignment of the cell began
-    s2 = np.zeros((n + 1, 2), np.int32)
-    where = (0, 0)
-    for d in range(2, n + m + 1):
-        lo, hi = max(1, d - m), min(n, d - 1)
-        i = np.arange(lo, hi + 1)
-        same = a[lo - 1 : hi] == rb[m - d + lo : m - d + hi + 1]
-        diag = h2[lo - 1 : hi] + np.where(same, MATCH, MISMATCH)
-        up, left = h1[lo - 1 : hi] + GAP, h1[lo : hi + 1] + GAP
-        h = np.maximum(np.maximum(diag, 0), np.maximum(up, left))
-        fresh = (h2[lo - 1 : hi] == 0)[:, None]
-        own = np.stack([i - 1, d - i - 1], 1)
-        s = np.where((h == diag)[:, None], np.where(fresh, own, s2[lo - 1 : hi]), np.where((h == up)[:, None], s1[lo - 1 : hi], s1[lo : hi + 1]))
-        h0, s0 = np.zeros(n + 1, np.int32), np.zeros((n + 1, 2), np.int32)
-        h0[lo : hi + 1], s0[lo : hi + 1] = h, s
-        k = int(h.argmax())
-        if h[k] > best:
-            best, at, where = int(h[k]), (lo + k, d - lo - k), (int(s[k, 0]), int(s[k, 1]))
-        h2, h1, s2, s1 = h1, h0, s1, s0
-    return best, where[0], at[0], where[1], at[1]
-
-
-def longest_run(a: np.ndarray, b: np.ndarray) -> int:
-    """Most consecutive words that a and b share."""
-    best, row = 0, np.zeros(len(b) + 1, np.int32)
-    for x in a:
-        nxt = np.zeros_like(row)
-        nxt[1:] = np.where(b == x, row[:-1] + 1, 0)
-        best, row = max(best, int(nxt.max(initial=0))), nxt
-    return best
-
-
-def _docs(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[list, np.ndarray, np.ndarray]]:
-    """(keys, word hashes of all documents in a row, first word of each and the end)."""
-    hasher = Hasher()
-    for batch in batches:
-        lists = [words(t) for t in batch.iloc[:, 1]]
-        ends = np.cumsum([0, *(len(x) for x in lists)])
-        yield batch.iloc[:, 0].tolist(), hasher.words([w for x in lists for w in x]), ends
+#: Least share of an item's words that an edited copy keeps, by alignment.
+COVER = 0.5
+#: Cells of one step of the alignment; bits for the number of equal words and for the first word, beside the score.
+CELLS, BITS = 1 << 18, 20
+
+
+def align(pairs: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """Best local alignment of each pair of runs of word hashes, many at once: rows of (score, first word and end in a,
+    equal words, longest run of equal words). A cell holds its score in the high bits, and in the low ones the equal
+    words and the first word of its alignment. Gaps along a row are a running maximum, since each costs the same."""
+    out = np.zeros((len(pairs), 5), np.int64)
+    order = sorted(range(len(pairs)), key=lambda p: (len(pairs[p][0]), len(pairs[p][1])))
+    at = 0
+    one = np.int64(1) << (2 * BITS)
+    while at < len(order):
+        end, widest = at, 1
+        while end < len(order):
+            widest = max(widest, len(pairs[order[end]][1]))
+            if end > at and (end - at + 1) * widest > CELLS:
+                break
+            end += 1
+        block = order[at:end]
+        at = end
+        n, m = max(len(pairs[p][0]) for p in block), max(1, max(len(pairs[p][1]) for p in block))
+        a, b = np.zeros((len(block), n), np.uint64), np.ones((len(block), m), np.uint64)  # no word's hash is 0 or 1
+        for r, p in enumerate(block):
+            a[r, : len(pairs[p][0])], b[r, : len(pairs[p][1])] = pairs[p]
+        h, run = np.zeros((len(block), m + 1), np.int64), np.zeros((len(block), m + 1), np.int32)
+        best, stop, longest = np.zeros(len(block), np.int64), np.zeros(len(block), np.int64), np.zeros(len(block), np.int32)
+        slope = np.arange(m + 1, dtype=np.int64) * (-GAP * one)
+        equal_step, other_step, gap = MATCH * one + (np.int64(1) << BITS), MISMATCH * one, GAP * one
+        for i in range(n):
+            same = a[:, i, None] == b
+            before = np.where(h[:, :-1] >= one, h[:, :-1], i)  # a new alignment begins at word i
+            nxt = np.zeros_like(h)
+            np.maximum(before + np.where(same, equal_step, other_step), h[:, 1:] + gap, out=nxt[:, 1:])
+            nxt[nxt < one] = 0
+            h = np.maximum.accumulate(nxt + slope, axis=1) - slope
+            h[h < one] = 0
+            run[:, 1:] = np.where(same, run[:, :-1] + 1, 0)
+            top = h.max(1)
+            better = (top >> (2 * BITS)) > (best >> (2 * BITS))
+            best[better], stop[better] = top[better], i + 1
+            np.maximum(longest, run.max(1), out=longest)
+        mask = (np.int64(1) << BITS) - 1
+        out[block] = np.stack([best >> (2 * BITS), best & mask, stop, (best >> BITS) & mask, longest], 1)
+    return out
 
 
 def _runs(h: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -101,79 +103,125 @@ def _hits(runs: np.ndarray, sought: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return at, k[at]
 
 
-def _block(docs: DataFrame, items: list[tuple[int, np.ndarray]], kind: str) -> DataFrame:
-    sc = docs.sparkSession.sparkContext
+def hashed(docs: DataFrame, kind: str) -> DataFrame:
+    """(doc_id, h): the hashes of a document's words, as bytes."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        hasher = Hasher()
+        for b in batches:
+            yield pd.DataFrame({"doc_id": b["doc_id"], "h": [hasher.words(words(t)).tobytes() for t in b["text"]]})
+
+    return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, h binary")
+
+
+def seeds(items: list[tuple[int, np.ndarray]], every: np.ndarray, frequency: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(run, item), by index and sorted, distinct: of each window the rarest run that occurs; of equally rare ones the lower hash."""
+    rank = np.empty(len(every), np.int64)
+    rank[np.lexsort((every, frequency))] = np.arange(len(every))
+    absent = frequency == 0
+    rank[absent] = len(every)
+    by_rank = np.empty(len(every) + 1, np.int64)
+    by_rank[rank] = np.arange(len(every))
+    width = MIN_RUN - SEED + 1
+    parts = [np.empty((0, 2), np.int64)]
+    for k, (_, h) in enumerate(items):
+        own = rank[np.searchsorted(every, Hasher.runs(h, SEED))]
+        least = np.unique(np.lib.stride_tricks.sliding_window_view(own, width).min(1))
+        least = by_rank[least[least < len(every)]]
+        parts.append(np.stack([least, np.full(len(least), k)], 1))
+    both = np.concatenate(parts)
+    both = both[np.lexsort((both[:, 1], both[:, 0]))]
+    return both[:, 0], both[:, 1]
+
+
+def _block(words_of: DataFrame, items: list[tuple[int, np.ndarray]], kind: str) -> DataFrame:
+    sc = words_of.sparkSession.sparkContext
     every = np.unique(np.concatenate([np.empty(0, np.int64), *(Hasher.runs(h, SEED) for _, h in items)]))
     shared = sc.broadcast(every)
 
+    def mark(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            ends = np.cumsum([0, *(len(x) // 8 for x in b["h"])])
+            at, k = _hits(_runs(np.frombuffer(b"".join(b["h"]), np.uint64), ends), shared.value)
+            first = np.searchsorted(at, ends)
+            has = np.flatnonzero(np.diff(first))
+            rows = b.iloc[has].copy()
+            rows["at"] = [(at[first[d] : first[d + 1]] - ends[d]).astype(np.int32).tobytes() for d in has]
+            rows["k"] = [k[first[d] : first[d + 1]].astype(np.int32).tobytes() for d in has]
+            yield rows[["doc_id", "h", "at", "k"]]
+
+    marked = cut(words_of.mapInPandas(mark, f"doc_id {kind}, h binary, at binary, k binary"))
+
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros(len(shared.value), np.int64)
-        for _, h, ends in _docs(batches):
-            total += np.bincount(_hits(_runs(h, ends), shared.value)[1], minlength=len(total))
+        for b in batches:
+            total += np.bincount(np.frombuffer(b"".join(b["k"]), np.int32), minlength=len(total))
         k = np.flatnonzero(total)
-        yield pd.DataFrame({"run": shared.value[k], "n": total[k]})
+        yield pd.DataFrame({"k": k, "n": total[k]})
 
-    sums = docs.select("text").select(F.lit(0).alias("k"), "text").mapInPandas(count, "run bigint, n bigint").groupBy("run").agg(F.sum("n").alias("n"))
     frequency = np.zeros(len(every), np.int64)
-    for r in sums.toPandas().itertuples(index=False):  # at most the runs of the items of this block
-        frequency[np.searchsorted(every, r.run)] = r.n
-    seeds: dict[int, list[int]] = defaultdict(list)
-    for k, (_, h) in enumerate(items):
-        runs = Hasher.runs(h, SEED)
-        rank = frequency[np.searchsorted(every, runs)]
-        width = MIN_RUN - SEED + 1
-        for i in range(len(runs) - width + 1):
-            there = [x for x in range(i, i + width) if rank[x]]
-            if there:
-                seed = int(runs[min(there, key=lambda x: (rank[x], runs[x]))])
-                if not seeds[seed] or seeds[seed][-1] != k:
-                    seeds[seed].append(k)
-    table = sc.broadcast((np.array(sorted(seeds), np.int64), [sorted(set(seeds[s])) for s in sorted(seeds)], items))
+    # At most the runs of the items of this block.
+    for r in marked.select("k").mapInPandas(count, "k bigint, n bigint").groupBy("k").agg(F.sum("n").alias("n")).collect():
+        frequency[r["k"]] = r["n"]
+    table = sc.broadcast((*seeds(items, every, frequency), items))
 
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sought, of, test = table.value
-        for keys, h, ends in _docs(batches):
-            at, k = _hits(_runs(h, ends), sought)
-            doc = np.searchsorted(ends, at, "right") - 1
-            near: dict[tuple[int, int], list[int]] = defaultdict(list)
-            for d, p, s in zip(doc.tolist(), at.tolist(), k.tolist()):
-                for item in of[s]:
-                    near[d, item].append(p)
-            rows = []
-            for (d, item), places in near.items():
-                key, query = test[item]
-                # Seeds far from each other are aligned apart: an item reaches no further than twice its length.
-                reach, groups = 2 * len(query), [[places[0], places[0]]]
-                for p in places[1:]:
-                    if p - groups[-1][1] <= reach:
-                        groups[-1][1] = p
-                    else:
-                        groups.append([p, p])
-                for lo, hi in groups:
-                    part = h[max(ends[d], lo - reach) : min(ends[d + 1], hi + SEED + reach)]
-                    score, a0, a1, b0, b1 = align(query, part)
-                    run = longest_run(query[a0:a1], part[b0:b1])
-                    if run < MIN_RUN:
-                        run = max(run, longest_run(query, part))
-                    rows.append((keys[d], key, score, a1 - a0, len(query), run))
-            yield pd.DataFrame(rows, columns=["doc_id", "item_id", "score", "aligned", "item_words", "run"])
-
-    schema = f"doc_id {kind}, item_id bigint, score int, aligned int, item_words int, run int"
-    return docs.select("doc_id", "text").mapInPandas(find, schema)
+        seed, of, test = table.value
+        for b in batches:
+            pairs, keys = [], []
+            for doc, raw, at, k in b.itertuples(index=False):
+                h, at, k = np.frombuffer(raw, np.uint64), np.frombuffer(at, np.int32), np.frombuffer(k, np.int32)
+                lo, hi = np.searchsorted(seed, k), np.searchsorted(seed, k, "right")
+                near: dict[int, list[int]] = defaultdict(list)
+                for p, x, y in zip(at.tolist(), lo.tolist(), hi.tolist()):
+                    for item in of[x:y].tolist():
+                        near[item].append(p)
+                for item, places in near.items():
+                    key, query = test[item]
+                    # Seeds far from each other are aligned apart: an item reaches no further than twice its length.
+                    reach, groups = 2 * len(query), [[places[0], places[0]]]
+                    for p in places[1:]:
+                        if p - groups[-1][1] <= reach:
+                            groups[-1][1] = p
+                        else:
+                            groups.append([p, p])
+                    for x, y in groups:
+                        pairs.append((query, h[max(0, x - reach) : y + SEED + reach]))
+                        keys.append((doc, key, len(query)))
+            found = align(pairs)
+            cols = {"doc_id": [x[0] for x in keys], "item_id": [x[1] for x in keys], "score": found[:, 0], "aligned": found[:, 2] - found[:, 1]}
+            yield pd.DataFrame(cols | {"matched": found[:, 3], "item_words": [x[2] for x in keys], "run": found[:, 4]})
+
+    return marked.mapInPandas(find, f"doc_id {kind}, item_id bigint, score int, aligned int, matched int, item_words int, run int")
 
 
 def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     """docs(doc_id, text), items(item_id, text): one row per document, item and place with a seed of it:
-    (doc_id, item_id, score, aligned, item_words, run). aligned is how many of the item's words the alignment spans,
-    run the longest run of equal words."""
+    (doc_id, item_id, score, aligned, matched, item_words, run). aligned is how many of the item's words the best
+    alignment spans, matched how many of them are equal, run the longest run of equal words at that place."""
     hasher = Hasher()
     texts = items.filter(F.col("text").isNotNull() & F.col("item_id").isNotNull()).select("item_id", "text").distinct()
     docs = docs.filter(F.col("text").isNotNull() & F.col("doc_id").isNotNull())
     kind = docs.schema["doc_id"].dataType.simpleString()
     blocks = max(1, -(-texts.count() // BLOCK_ITEMS))
+    words_of = hashed(docs, kind)
+    if blocks > 1:
+        words_of = cut(words_of)
     parts = []
     for b in range(blocks):
         own = texts.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).orderBy("item_id", "text").collect()
         block = [(r["item_id"], hasher.words(words(r["text"]))) for r in own]
-        parts.append(_block(docs, [x for x in block if len(x[1]) >= MIN_RUN], kind))
+        parts.append(_block(words_of, [x for x in block if len(x[1]) >= MIN_RUN], kind))
     return reduce(DataFrame.unionByName, parts)
+
+
+def contained(found: DataFrame) -> DataFrame:
+    """(doc_id, item_id) of alignments good enough for MIN_RUN equal words in a row, and that have them."""
+    return found.filter((F.col("score") >= MATCH * MIN_RUN) & (F.col("run") >= MIN_RUN)).select("doc_id", "item_id").distinct()
+
+
+def edited(found: DataFrame) -> DataFrame:
+    """(doc_id, item_id, covered, score) of whole and edited copies: the alignment keeps at least COVER of the item's words."""
+    covered = F.col("matched") / F.col("item_words")
+    best = found.withColumn("covered", covered).filter(F.col("covered") >= COVER).groupBy("doc_id", "item_id")
+    return best.agg(F.max("covered").alias("covered"), F.max("score").alias("score"))

@@ -56,7 +56,8 @@ def _letter_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p5_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts of all keyword ids. Letters are loaded as they came: first what was there when nine tenths had been
-    loaded, then the rest, which changes and adds letters."""
+    loaded; then those a newer revision is on its way for are withdrawn; then the rest, which restores, changes and adds
+    letters."""
     briefs = table(spark, sf_dir, "briefs").filter("brief_id IS NOT NULL")
     terms = F.flatten(
         F.array(*(_tagged(feld, ids) for feld, ids in letters.keyword_ids(F.col("schlagworte")).items()))
@@ -75,8 +76,10 @@ def p5_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
         store.apply(rows)
     else:
         early = F.coalesce(F.col("loaded_at") <= F.lit(cut).cast("timestamp_ntz"), F.lit(True))
+        rest = rows.filter(~early)
         store.apply(rows.filter(early))
-        store.apply(rows.filter(~early))
+        store.apply(rest.withColumn("version", F.col("version") - 1).withColumn("gone", F.lit(True)))
+        store.apply(rest)
     found = termcounts.marked(store.counts(), rare=2, common=0.02)
     return found.select("feld", F.col("term").alias("ref_id"), "occurrences", F.col("records").alias("briefs"), "mark")
 
@@ -104,8 +107,12 @@ def p9_alignments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = p9_alignments(spark, sf_dir).filter(F.col("run") >= leakage.MIN_RUN)
-    return found.select("doc_id", "item_id").distinct()
+    return leakage.contained(p9_alignments(spark, sf_dir))
+
+
+def p9_edited(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with whole or edited copies of test items, by how much of the item the alignment covers."""
+    return leakage.edited(p9_alignments(spark, sf_dir))
 
 
 def p10_places(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -155,6 +162,7 @@ QUERIES = {
     "p8_ids": p8_ids,
     "p9_found": p9_found,
     "p9_alignments": p9_alignments,
+    "p9_edited": p9_edited,
     "p10_found": p10_found,
     "p10_redacted": p10_redacted,
 }
@@ -177,7 +185,18 @@ _P1 = """SELECT DISTINCT '{space}' AS space, least(a, b) AS vec_a, greatest(a, b
 _VECTORS = """{t} AS (SELECT vec_no, any_value(embedding)::DOUBLE[] AS e FROM {table} WHERE embedding IS NOT NULL AND len(embedding) = dim
   AND len(list_filter(embedding, lambda v: v IS NULL OR isnan(v) OR isinf(v))) = 0 AND len(list_filter(embedding, lambda v: v <> 0)) > 0 GROUP BY vec_no)"""
 
+# Words folded by SQL's own means; every run of twelve words of an item, joined.
+_FOLDED = (
+    "strip_accents(replace(replace(replace(replace(lower(regexp_replace(regexp_replace(text, '[\u00ad\u200b\u200c\u200d\u2060\ufeff]', '', 'g'), "
+    r"'([\pL\pN_])[-‐‑⸗=¬]\s*[\r\n]\s*([\pL\pN_])', '\1\2', 'g')), 'ß', 'ss'), 'ſ', 's'), 'æ', 'ae'), 'œ', 'oe'))"
+)
+_RUNS = (
+    "SELECT DISTINCT {key}, array_to_string(w[i:i + 11], ' ') AS run FROM (SELECT {key}, w, unnest(range(1, len(w) - 10)) AS i FROM "
+    "(SELECT {key}, regexp_extract_all(translate(" + _FOLDED + r", 'vj', 'ui'), '[\pL\pN]+') AS w FROM {table} WHERE {key} IS NOT NULL) WHERE len(w) >= 12)"
+)
+
 SQL = {
+    "p9_found": f"SELECT DISTINCT doc_id, item_id FROM ({_RUNS.format(key='doc_id', table='documents')}) JOIN ({_RUNS.format(key='item_id', table='eval_items')}) USING (run)",
     "p1_found": f"WITH {_VECTORS.format(t='l', table='letter_vectors')}, {_VECTORS.format(t='c', table='chunk_vectors')} "
     f"{_P1.format(space='letter', t='l')} UNION ALL {_P1.format(space='chunk', t='c')}",
     "p5_counts": _P5,

@@ -2,6 +2,7 @@
 
 import itertools
 import random
+import re
 
 import numpy as np
 import pandas as pd
@@ -46,10 +47,11 @@ def test_split_prefers_strong_boundaries():
     assert all(p.endswith("ende.") for *_, p in splitting.split(text))
 
 
-def test_counts_follow_deltas(spark, tmp_path):
+def test_counts_follow_deltas(spark, tmp_path, monkeypatch):
     rng = random.Random(5)
-    store, state = termcounts.TermCounts(spark, str(tmp_path / "s")), {}
-    for batch in range(3):
+    monkeypatch.setattr(termcounts, "COMPACT", 2)
+    state = {}
+    for batch in range(5):
         rows = []
         for owner in rng.sample(range(12), 8):
             version, gone = rng.randint(0, 9), rng.random() < 0.2
@@ -57,7 +59,8 @@ def test_counts_follow_deltas(spark, tmp_path):
             rows += [(str(owner), version, terms, gone)] * 2
             if owner not in state or version > state[owner][0]:
                 state[owner] = (version, terms, gone)
-        store.apply(spark.createDataFrame(rows, "owner string, version bigint, terms array<struct<feld:string,term:string>>, gone boolean"))
+        store = termcounts.TermCounts(spark, str(tmp_path / "s"))  # each batch in a session of its own
+        store.apply(spark.createDataFrame(rows + [(None, 1, [("f", "a")], False)], "owner string, version bigint, terms array<struct<feld:string,term:string>>, gone boolean"))
         live = [[t for _, t in terms if t] for _, terms, gone in state.values() if not gone]
         want = {t: (sum(x.count(t) for x in live), sum(t in x for x in live)) for t in "abc"}
         got = {r.term: (r.occurrences, r.records) for r in store.counts().collect() if r.feld == "f"}
@@ -65,6 +68,23 @@ def test_counts_follow_deltas(spark, tmp_path):
         assert {r.records for r in store.counts().filter("feld = '*'").collect()} == ({len(live)} if live else set())
 
 
+def test_batches_read_what_they_touch(spark, tmp_path):
+    path = str(tmp_path / "s")
+    schema = "owner string, version bigint, terms array<struct<feld:string,term:string>>, gone boolean"
+    assert termcounts.TermCounts(spark, path).counts().count() == 0
+    termcounts.TermCounts(spark, path).apply(spark.createDataFrame([(str(i), 1, [("f", "a")], False) for i in range(300)], schema))
+    opened = termcounts.TermCounts(spark, path)
+    scan = opened._states([3])._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"PartitionFilters: \[[^]]*bucket#\d+ (= 3|IN)", scan), scan
+    opened._commit([*opened.manifest["batches"]])
+    with pytest.raises(RuntimeError):  # the number is taken
+        late = termcounts.TermCounts(spark, path)
+        late.manifest["number"] -= 1
+        late._commit([])
+    opened.apply(spark.createDataFrame([("7", 2, None, True), ("8", 0, None, True)], schema))
+    assert {(r.term, r.records) for r in termcounts.TermCounts(spark, path).counts().collect()} == {("a", 299), ("*", 299)}
+
+
 def test_leaks_equal_brute_force(spark):
     rng = random.Random(2)
     vocabulary = [f"wort{i}" for i in range(40)]
@@ -81,7 +101,7 @@ def test_leaks_equal_brute_force(spark):
     text = lambda w: " ".join(w).replace("wort1 ", "WORT-\n1, ").replace("wort2 ", "„Wört2“ ")
     df = spark.createDataFrame([(d, text(w)) for d, w in docs] + [(98, None), (99, ""), (None, text(items[0][1]))], "doc_id bigint, text string")
     it = spark.createDataFrame([(i, " ".join(s)) for i, s in items] * 2 + [(50, None), (51, "")], "item_id bigint, text string")
-    got = {(r.doc_id, r.item_id) for r in leakage.leaks(df, it).filter("run >= 12").collect()}
+    got = {(r.doc_id, r.item_id) for r in leakage.contained(leakage.leaks(df, it)).collect()}
     assert want and got == want
     assert leakage.leaks(df, it.limit(0)).count() == 0
 
@@ -91,7 +111,32 @@ def test_edited_copies_are_aligned(spark):
     copy = ["anders" if i % 8 == 7 else w for i, w in enumerate(item)]
     docs = spark.createDataFrame([(1, " ".join(copy)), (2, "ganz fremde worte stehen hier und sonst nichts")], "doc_id bigint, text string")
     items = spark.createDataFrame([(7, " ".join(item))], "item_id bigint, text string")
-    assert [(r.doc_id, r.item_id, r.aligned, r.run) for r in leakage.leaks(docs, items).collect()] == [(1, 7, 39, 7)]
+    assert [(r.doc_id, r.item_id, r.aligned, r.matched, r.run) for r in leakage.leaks(docs, items).collect()] == [(1, 7, 39, 35, 7)]
+
+
+def test_recall_of_edited_copies(spark, monkeypatch):
+    """Copies with replaced, dropped and inserted words are found by their alignment, copies of less than half aren't; items in several blocks."""
+    monkeypatch.setattr(leakage, "BLOCK_ITEMS", 7)
+    rng = random.Random(8)
+    make = lambda n: [f"w{rng.randint(0, 3_000)}" for _ in range(n)]
+    items = [make(rng.randint(40, 90)) for _ in range(20)]
+    docs, want = [], set()
+    for d in range(300):
+        k, rate = rng.randrange(20), rng.choice([0.0, 0.05, 0.1, 0.15])
+        copy = []
+        for w in items[k]:
+            r = rng.random()
+            copy += [] if r < rate / 3 else make(1) if r < 2 * rate / 3 else [w, *make(1)] if r < rate else [w]
+        if d % 3 == 2:
+            docs.append((d, make(30) + copy[: len(items[k]) // 3] + make(30)))
+        else:
+            docs.append((d, make(30) + copy + make(30)))
+            want.add((d, k))
+    text = lambda w: " ".join(w)
+    df = spark.createDataFrame([(d, text(w)) for d, w in docs], "doc_id bigint, text string")
+    it = spark.createDataFrame([(i, text(w)) for i, w in enumerate(items)], "item_id bigint, text string")
+    got = {(r.doc_id, r.item_id) for r in leakage.edited(leakage.leaks(df, it)).collect()}
+    assert len(got & want) >= 0.98 * len(want) and not got - want
 
 
 def test_words_of_old_texts():
@@ -99,9 +144,21 @@ def test_words_of_old_texts():
 
 
 def test_alignment_bridges_edits():
-    a = np.array([1, 2, 3, 4, 5, 6, 7], np.uint64)
-    b = np.array([9, 1, 2, 3, 8, 5, 6, 7, 9], np.uint64)
-    assert leakage.align(a, b) == (2 * 6 - 1, 0, 7, 1, 8) and leakage.longest_run(a, b) == 3
+    a = np.array([11, 12, 13, 14, 15, 16, 17], np.uint64)
+    b = np.array([9, 11, 12, 13, 8, 15, 16, 17, 9], np.uint64)
+    assert leakage.align([(a, b), (a[:2], b[:1]), (a, b[2:])]).tolist() == [[2 * 6 - 1, 0, 7, 6, 3], [0, 0, 0, 0, 0], [2 * 5 - 1, 1, 7, 5, 3]]
+
+
+def test_alignment_equals_the_full_table():
+    rng = np.random.default_rng(6)
+    for _ in range(30):
+        a, b = (rng.integers(2, 6, rng.integers(1, 12)).astype(np.uint64) for _ in range(2))
+        h = np.zeros((len(a) + 1, len(b) + 1), int)
+        for i in range(len(a)):
+            for j in range(len(b)):
+                h[i + 1, j + 1] = max(0, h[i, j] + (2 if a[i] == b[j] else -1), h[i, j + 1] - 1, h[i + 1, j] - 1)
+        score, lo, hi, matched, _ = leakage.align([(a, b)])[0]
+        assert score == h.max() and (not score or h[hi].max() == score) and score <= 2 * matched <= 2 * (hi - lo)
 
 
 def brute(rows, k=5):
