@@ -14,6 +14,8 @@ get the label "x", which is never reported; digits alone are no words.
 
 from __future__ import annotations
 
+import hashlib
+import pickle
 import re
 import unicodedata
 from collections.abc import Iterator
@@ -21,13 +23,15 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from missiva.sources.tables import shared_dir
+
 LANGS = ("de", "en", "fr", "it", "la", "nl")
 LABELS = (*LANGS, "x")
-#: Labelled texts the field is fitted on, at most; words of each used; training texts; rounds; hashed features.
-SAMPLE, WORDS, TEXTS, ROUNDS, SPACE = 6_000, 400, 3_500, 6, 1 << 17
+#: Labelled texts the field is fitted on, at most; characters and words of each, from anywhere in it; training texts; rounds; hashed features.
+SAMPLE, SIGNS, WORDS, TEXTS, ROUNDS, SPACE = 6_000, 6_000, 400, 3_500, 6, 1 << 17
 SEED = 7
 #: What a label may call a language.
 NAMES = {
@@ -64,7 +68,7 @@ def tokens(text: str | None) -> list[tuple[int, int, str]]:
 
 def features(word: str) -> list[int]:
     """Hashed features: the word, its affixes, its character n-grams, its form."""
-    w = word[:24]
+    w = word
     names = [f"w{w}", f"l{min(len(w), 9)}"]
     names += [f"p{w[:k]}" for k in (1, 2, 3)] + [f"s{w[-k:]}" for k in (1, 2, 3, 4)]
     padded = f"^{w}$"
@@ -103,8 +107,9 @@ class Field:
             out[i] = e
         return out
 
-    def marginals(self, e: np.ndarray, mask: np.ndarray) -> np.ndarray:
-        """Forward-backward over a batch: e (texts, words, labels), mask (texts, words), words first. Probabilities."""
+    def messages(self, e: np.ndarray, mask: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Forward and backward messages over a batch, each up to a factor per word, and the potentials of transitions and
+        words: e (texts, words, labels), mask (texts, words), words first."""
         b, n, k = e.shape
         t = np.exp(self.t - self.t.max())
         x = np.exp(e - e.max(2, keepdims=True))
@@ -120,17 +125,21 @@ class Field:
             nxt = (z * x[:, i + 1]) @ t.T
             z = np.where(mask[:, i + 1, None], nxt / nxt.sum(1, keepdims=True), z)
             beta[:, i] = z
+        return alpha, beta, t, x
+
+    def marginals(self, e: np.ndarray, mask: np.ndarray) -> np.ndarray:
+        """Probability of each label of each word."""
+        alpha, beta, _, _ = self.messages(e, mask)
         p = alpha * beta
         return p / p.sum(2, keepdims=True)
 
-    def pairs(self, e: np.ndarray, mask: np.ndarray, p: np.ndarray) -> np.ndarray:
-        """Expected counts of transitions, from the marginals (neighbours given the first word's)."""
-        t = np.exp(self.t - self.t.max())
-        x = np.exp(e - e.max(2, keepdims=True))
-        joint = p[:, :-1, :, None] * (t[None, None] * x[:, 1:, None, :])
-        joint *= (p[:, 1:] / np.maximum((joint.sum(2)), 1e-12))[:, :, None, :]
-        joint /= np.maximum(joint.sum((2, 3), keepdims=True), 1e-12)
-        return (joint * mask[:, 1:, None, None]).sum((0, 1))
+    def expected(self, e: np.ndarray, mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Marginals, and expected counts of transitions: forward message, transition, next word, backward message."""
+        alpha, beta, t, x = self.messages(e, mask)
+        p = alpha * beta
+        joint = alpha[:, :-1, :, None] * t * (x[:, 1:] * beta[:, 1:])[:, :, None, :]
+        joint /= np.maximum(joint.sum((2, 3), keepdims=True), 1e-30)
+        return p / p.sum(2, keepdims=True), (joint * mask[:, 1:, None, None]).sum((0, 1))
 
 
 def _cipher(rng: np.random.Generator, n: int) -> list[str]:
@@ -215,7 +224,7 @@ def _fit(texts: list[tuple[str, str]], rounds: int, size_of: int) -> Field:
             mask = mask.astype(bool)
             used, back = np.unique(ids, return_inverse=True)
             e = _scores(field, used, flat, starts, scale)[back].reshape(*ids.shape, -1)
-            p = field.marginals(e, mask)
+            p, between = field.expected(e, mask)
             gold = np.eye(len(LABELS), dtype=np.float32)[own]
             diff = ((gold - p) * mask[..., None]).reshape(-1, len(LABELS))
             per_word = np.zeros((len(used), len(LABELS)), np.float32)
@@ -231,7 +240,7 @@ def _fit(texts: list[tuple[str, str]], rounds: int, size_of: int) -> Field:
             both = mask[:, 1:]
             seen = np.zeros_like(field.t)
             np.add.at(seen, (own[:, :-1][both], own[:, 1:][both]), 1)
-            g = seen - field.pairs(e, mask, p)
+            g = seen - between
             sq_t += g * g
             field.t += 0.3 * g / np.sqrt(sq_t)
     return field
@@ -283,14 +292,29 @@ def passages(field: Field, texts: list[str | None]) -> list[list[tuple]]:
 
 def sample(labelled: DataFrame) -> list[tuple[str, str]]:
     """At most SAMPLE of labelled(kind, lang, text): of each kind of text and language an equal share, chosen by hash
-    of the text, so that old and modern German, which share a label, are both learned."""
+    of the text, so that old and modern German, which share a label, are both learned. Of a longer text a stretch of SIGNS
+    characters, also chosen by hash."""
     rows = labelled.filter(F.col("lang").isin(*LANGS) & (F.length("text") > 40)).withColumn("h", F.xxhash64("text"))
-    rows = rows.select("kind", "lang", "h", F.substring("text", 1, 6_000).alias("text"))  # WORDS words are used of each
-    kinds = [r["kind"] for r in rows.select("kind").distinct().orderBy("kind").limit(20).collect()]
-    share = max(1, SAMPLE // (len(LANGS) * max(1, len(kinds))))
+    begin = F.lit(1) + F.pmod(F.col("h"), F.greatest(F.length("text") - SIGNS, F.lit(0)) + 1).cast("int")
+    rows = rows.select(F.coalesce("kind", F.lit("")).alias("kind"), "lang", "h", F.substring("text", begin, F.lit(SIGNS)).alias("text"))
+    strata = rows.select(F.count_distinct("kind", "lang").alias("n")).first()["n"]
+    share = -(-SAMPLE // max(1, strata))
     order = Window.partitionBy("kind", "lang").orderBy("h", "text")
     picked = rows.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= share)
-    return [(f"{r['lang']} {r['kind']}", r["text"]) for r in picked.orderBy("kind", "lang", "r").limit(SAMPLE).collect()]
+    return [(f"{r['lang']} {r['kind']}", r["text"]) for r in picked.orderBy("r", "h", "kind", "lang").limit(SAMPLE).collect()]
+
+
+def stored_fit(spark: SparkSession, texts: list[tuple[str, str]]) -> Field:
+    """The field fitted on these texts, kept in the shared folder under the hash of texts and parameters, so that it is
+    fitted once however many queries ask for it."""
+    parameters = (WORDS, TEXTS, ROUNDS, SPACE, SEED, LABELS)
+    name = hashlib.sha256(repr((parameters, sorted(texts))).encode("utf-8", "surrogatepass")).hexdigest()
+    path = f"{shared_dir(spark)}/language-field-{name}"
+    p = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    if not p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p):
+        field = fit(texts)
+        spark.createDataFrame([(bytearray(pickle.dumps(field)),)], "field binary").coalesce(1).write.mode("overwrite").parquet(path)
+    return pickle.loads(bytes(spark.read.schema("field binary").parquet(path).first()["field"]))
 
 
 def tag(docs: DataFrame, field: Field) -> DataFrame:
@@ -311,7 +335,8 @@ def tag(docs: DataFrame, field: Field) -> DataFrame:
     return docs.filter(F.col("text").isNotNull()).select("tbl", "id", "label", "text").mapInPandas(run, schema)
 
 
-def names_language(label, lang):
-    """Column: whether the label names the language."""
-    named_in = F.udf(lambda lab, code: code in named(lab), "boolean")
-    return named_in(label, lang)
+def names_language(label: Column, lang: Column) -> Column:
+    """Whether the label names the language; the same reading as named(), as an expression."""
+    known = F.create_map(*(F.lit(x) for pair in _NAMED.items() for x in pair))
+    parts = F.transform(F.split(F.lower(F.coalesce(label, F.lit(""))), f"(?U){_SPLIT.pattern}"), lambda t: F.regexp_replace(t, r"^[ .()\[\]?]+|[ .()\[\]?]+$", ""))
+    return F.exists(parts, lambda t: F.coalesce(F.try_element_at(known, t) == lang, F.lit(False)))

@@ -25,7 +25,7 @@ def p2_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     code = F.create_map(*(F.lit(x) for kv in codes.items() for x in kv))
     # Labels of letters are doubted more than those of the corpus ("+"), see language.fit.
     own = texts.select(F.concat(F.lit("+"), "tbl").alias("kind"), code[F.lower(F.trim("label"))].alias("lang"), "text")
-    field = language.fit(language.sample(docs.unionByName(own)))
+    field = language.stored_fit(spark, language.sample(docs.unionByName(own)))
     return language.tag(texts, field)
 
 

@@ -163,6 +163,7 @@ def _follow(pointers: DataFrame) -> DataFrame:
 
 def entities(names: DataFrame) -> DataFrame:
     """names(name), distinct: (name, entity)."""
+    spark = names.sparkSession
     parsed = parse(names)
     joined = lambda c: F.array_join(F.array_sort(c), "/")
     node = F.concat_ws(
@@ -224,12 +225,13 @@ def entities(names: DataFrame) -> DataFrame:
     level = F.when(F.col("d") == 0, F.when(equal_second | same_gen, 2).otherwise(3)).otherwise(F.when(equal_second & same_gen, 0).otherwise(1) + F.col("d") * 4)
     full_points = cut(_decide(up.select("node", "to", level.alias("level"), F.lit(0).alias("hint")), ["node"]))
     # Titled only: M. Heinrich X may be M(argarethe) Heinrich X, if there is no other.
-    letters = F.udf(lambda t: list(N.given_readings(t + ".")) if t else [], "array<string>")
+    letters = spark.createDataFrame([(t.upper(), r) for t in N.UNSURE_TITLES for r in N.given_readings(t + ".")], "title string, first string")
     titled = (
         nodes.filter("title <> '' AND NOT body AND size(g2) = 0")
-        .withColumn("first", F.explode(letters("title")))
+        .join(F.broadcast(letters), "title")  # two titles with the given names of their letter
         .withColumn("g2", F.col("g1"))
         .withColumn("t", F.col("s"))
+        .select(*nodes.columns, "first", "t")
     )
     twofold = titled.join(people, on).filter((F.col("node") != F.col("to")) & F.array_contains("g2", F.col("p_g2")) & (same_gen | no_gen))
     spare = twofold.filter("full").join(full_points, "node", "left_anti")

@@ -233,6 +233,38 @@ def test_label_names():
     assert language.named("de und la") == {"de", "la"} and language.named(None) == language.named(" ? ") == set()
 
 
+def test_label_names_as_an_expression(spark):
+    labels = ["la u. deu", "und", "frühnhd.", "de und la", None, " ? ", "de/la", "[lat.]", "", "Deutsch, Latein", "de\u00a0et fr", "engl."]
+    df = spark.createDataFrame([(x, k) for x in labels for k in language.LANGS], "label string, lang string")
+    rows = df.withColumn("yes", language.names_language(F.col("label"), F.col("lang"))).collect()
+    assert [r.yes for r in rows] == [r.lang in language.named(r.label) for r in rows]
+
+
+def test_expected_counts_equal_enumeration():
+    rng = np.random.default_rng(2)
+    f, n, k = language.Field(), 4, len(language.LABELS)
+    f.t = rng.standard_normal((k, k)).astype(np.float32)
+    e = rng.standard_normal((1, n, k)).astype(np.float32)
+    single, double, total = np.zeros((n, k)), np.zeros((k, k)), 0.0
+    for path in itertools.product(range(k), repeat=n):
+        w = np.exp(sum(e[0, i, c] for i, c in enumerate(path)) + sum(f.t[x, y] for x, y in zip(path, path[1:])))
+        total += w
+        for i, c in enumerate(path):
+            single[i, c] += w
+        for x, y in zip(path, path[1:]):
+            double[x, y] += w
+    padded = np.concatenate([e, rng.standard_normal((1, 3, k)).astype(np.float32)], 1)  # the mask hides what follows
+    p, between = f.expected(padded, np.array([[True] * n + [False] * 3]))
+    assert np.abs(p[0, :n] - single / total).max() < 1e-5 and np.abs(between - double / total).max() < 1e-4
+
+
+def test_sample_leaves_no_kind_out(spark):
+    rows = [(f"k{i:02d}", "de", f"text {j} " * 900 + "wort " * 40) for i in range(30) for j in range(3)] + [(None, "la", "x " * 50), ("k", None, "y " * 50)]
+    got = language.sample(spark.createDataFrame(rows, "kind string, lang string, text string"))
+    assert len({k for k, _ in got}) == 31 and all(len(t) <= language.SIGNS for _, t in got)
+    assert language.stored_fit(spark, []).t.shape == language.stored_fit(spark, []).t.shape == (7, 7)
+
+
 @pytest.fixture(scope="module")
 def field():
     pools = {
