@@ -13,6 +13,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
@@ -65,7 +66,7 @@ def _emit(rows: pa.Array, path: pa.Array | None, lists: pa.Array, level: Level)
     lengths = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
     starts = lengths.cumsum() - lengths
     at = pa.array(starts).take(parent)
-    pos = pc.subtract(pa.array(range(len(items)), pa.int64()), at.cast(pa.int64())).cast(pa.string())
+    pos = pc.subtract(pa.array(np.arange(len(items))), at.cast(pa.int64())).cast(pa.string())
     own = rows.take(parent)
     above = path.take(parent) if path is not None else pa.nulls(len(items), pa.string())
     here = pos if path is None else pc.binary_join_element_wise(above, pos, "/")
@@ -84,10 +85,10 @@ def flatten(df: DataFrame, key: str, fields: dict[str, tuple[Level, ...]]) -> Da
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, index = batch.column(0), pa.array(range(batch.num_rows), pa.int64())
+            keys, index = batch.column(0), pa.array(np.arange(batch.num_rows))
             for i, (_, lv) in enumerate(tops):
                 for name, own, here, above, val in _emit(index, None, batch.column(i + 1), lv):
-                    child = pa.DictionaryArray.from_arrays(pa.array([0] * len(own), pa.int32()), [name]).cast(pa.string())
+                    child = pa.repeat(pa.scalar(name, pa.string()), len(own))
                     yield pa.RecordBatch.from_arrays(
                         [keys.take(own), child, here, above, val.cast(pa.string())],
                         names=[key, "child", "path", "parent_path", "val"],

@@ -1,11 +1,12 @@
-"""References to records that do not exist: dictionary codes, one bitmap per code range and period, AND-NOT, decode.
+"""References to records that do not exist: dictionary codes, compressed bitmaps per code range and period, AND-NOT, decode.
 
 1. Every key that is referenced or present gets an integer: a code range (hash of the key, about 16,000 keys each)
    and a position in it.
-2. References become one bitmap per range and period, parents one per range and period of their creation. Both are
-   built by Spark's bitmap aggregate, map-side first, so a key that holds a third of all references is one bit early.
+2. References become one bitmap per range and period, parents one per range and period of their creation. A bitmap is
+   kept in the smallest of three containers: sorted positions, runs, or bits. Positions are gathered map-side first, so a
+   key that holds a third of all references is one position early.
 3. Per range, reference bits AND NOT (bits of parents that lived before the period began) leave the suspects: missing,
-   deleted, late, or created within the period. A range holds at most periods x 4 KB, whatever the size of the data.
+   deleted, late, or created within the period. Containers of references are never unpacked to bits for it.
 4. Surviving bits are decoded to keys; the exact times decide between them.
 
 Defined cases: a reference without a period (null time) is never late; repeated rows count once; an empty parent
@@ -23,8 +24,46 @@ from pyspark.sql import functions as F
 
 from missiva.sources.tables import cut
 
-#: Keys aimed at in a code range, and the bits of one Spark bitmap (fixed by bitmap_bit_position).
-RANGE_KEYS, BITMAP_BITS = 16_384, 32_768
+#: Keys aimed at in a code range, and positions of one, so that a position fits two bytes.
+RANGE_KEYS, POSITIONS = 16_384, 32_768
+_ARRAY, _RUNS, _BITS = b"a", b"r", b"b"
+
+
+def pack(positions: np.ndarray) -> bytes:
+    """The smallest container of sorted, distinct positions: two bytes each, four bytes a run, or a bit for every position."""
+    p = positions.astype(np.uint16)
+    breaks = np.flatnonzero(np.diff(p.astype(np.int32)) != 1) + 1
+    if len(p) and 2 * (len(breaks) + 1) < len(p) and 4 * (len(breaks) + 1) <= POSITIONS // 8:
+        first = np.concatenate([[0], breaks])
+        return _RUNS + np.stack([p[first], np.diff(np.concatenate([first, [len(p)]])).astype(np.uint16)], 1).tobytes()
+    if 2 * len(p) <= POSITIONS // 8:
+        return _ARRAY + p.tobytes()
+    bits = np.zeros(POSITIONS, bool)
+    bits[p] = True
+    return _BITS + np.packbits(bits).tobytes()
+
+
+def unpack(container: bytes) -> np.ndarray:
+    kind, body = container[:1], container[1:]
+    if kind == _ARRAY:
+        return np.frombuffer(body, np.uint16).astype(np.int64)
+    if kind == _BITS:
+        return np.flatnonzero(np.unpackbits(np.frombuffer(body, np.uint8)))
+    runs = np.frombuffer(body, np.uint16).reshape(-1, 2).astype(np.int64)
+    begin = np.repeat(runs[:, 0] - np.concatenate([[0], np.cumsum(runs[:, 1])[:-1]]), runs[:, 1])
+    return begin + np.arange(runs[:, 1].sum())
+
+
+def bitmaps(rows: DataFrame) -> DataFrame:
+    """rows(range, period, pos): (range, period, bits), one container each; it has at most POSITIONS positions."""
+    sets = rows.groupBy("range", "period").agg(F.collect_set(F.col("pos").cast("smallint")).alias("positions"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            b["bits"] = [pack(np.sort(np.asarray(p))) for p in b.pop("positions")]
+            yield b
+
+    return sets.mapInPandas(run, "range bigint, period string, bits binary")
 
 
 def encode_keys(keys: DataFrame) -> DataFrame:
@@ -38,23 +77,23 @@ def encode_keys(keys: DataFrame) -> DataFrame:
     return numbered.select(
         "tab",
         "ref_id",
-        (F.col("part") + F.lit(ranges) * F.floor(F.col("n") / BITMAP_BITS)).cast("bigint").alias("range"),
-        (F.col("n") % BITMAP_BITS).cast("bigint").alias("pos"),
+        (F.col("part") + F.lit(ranges) * F.floor(F.col("n") / POSITIONS)).cast("bigint").alias("range"),
+        (F.col("n") % POSITIONS).cast("bigint").alias("pos"),
     )
 
 
 def _suspects(refs: pd.DataFrame, alive: pd.DataFrame) -> Iterator[pd.DataFrame]:
     """One range: walks the periods in order, keeping the OR of all parents created before."""
-    known = np.zeros(BITMAP_BITS // 8, np.uint8)
+    known = np.zeros(POSITIONS, bool)
     alive = alive.sort_values("period")
-    periods, bitmaps, i = alive["period"].tolist(), alive["bits"].tolist(), 0
+    periods, containers, i = alive["period"].tolist(), alive["bits"].tolist(), 0
     out = []
     for period, bits in refs.sort_values("period")[["period", "bits"]].itertuples(index=False):
         while i < len(periods) and (periods[i] < period or period == ""):
-            known |= np.frombuffer(bitmaps[i], np.uint8)
+            known[unpack(containers[i])] = True
             i += 1
-        left = np.frombuffer(bits, np.uint8) & ~known
-        out.append(pd.DataFrame({"period": period, "pos": np.flatnonzero(np.unpackbits(left, bitorder="little"))}))
+        asked = unpack(bits)
+        out.append(pd.DataFrame({"period": period, "pos": asked[~known[asked]]}))
     if out:
         rows = pd.concat(out, ignore_index=True)
         rows["range"] = refs["range"].iloc[0]
@@ -80,11 +119,10 @@ def find_orphans(refs: DataFrame, parents: DataFrame) -> DataFrame:
     by_period = refs.select("tab", "ref_id", "period").distinct()
     codes = cut(encode_keys(by_period.select("tab", "ref_id").unionByName(parents.select("tab", "ref_id"))))
 
-    bits = F.bitmap_construct_agg("pos").alias("bits")
-    ref_bits = by_period.join(codes, ["tab", "ref_id"]).groupBy("range", "period").agg(bits)
+    ref_bits = bitmaps(by_period.join(codes, ["tab", "ref_id"]))
     created = F.date_format("alive_from", "yyyy-MM").alias("period")
     lived = parents.filter(F.col("alive_from").isNotNull()).select("tab", "ref_id", created)
-    parent_bits = lived.join(codes, ["tab", "ref_id"]).groupBy("range", "period").agg(bits)
+    parent_bits = bitmaps(lived.join(codes, ["tab", "ref_id"]))
 
     suspects = (
         ref_bits.groupBy("range")
