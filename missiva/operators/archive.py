@@ -29,6 +29,8 @@ class Params:
     rerank_max: int = 80
     context_max: int = 60
     excerpts: int = 8
+    excerpt_chars: int = 1_500
+    evidence_max: int = 20
     tags_shown: int = 12
     min_form: int = 4
     max_bucket: int = 150
@@ -94,15 +96,19 @@ def resolved(letters: DataFrame, spark: SparkSession, sf_dir: str, field: str) -
     )
 
 
-def abstract(kind: Column, senders: Column, recipients: Column, places: Column, date: Column, subjects: Column) -> Column:
-    """One German sentence made of a letter's data, for letters without an editor's abstract."""
+def abstract(kind: Column, senders: Column, recipients: Column, places: Column, date: Column, subjects: Column, received: Column | None = None) -> Column:
+    """One German sentence made of a letter's data, for letters without an editor's abstract; where it was sent from, else
+    where it was received."""
     people = F.concat_ws(
         " ",
         some(kind, "Brief"),
         F.when(F.size(senders) > 0, F.concat(F.lit("von "), F.array_join(senders, " und "))),
         F.when(F.size(recipients) > 0, F.concat(F.lit("an "), F.array_join(recipients, " und "))),
     )
-    head = F.concat_ws(", ", people, F.when(F.size(places) > 0, F.array_join(places, " / ")), date)
+    place = F.when(F.size(places) > 0, F.array_join(places, " / "))
+    if received is not None:
+        place = F.coalesce(place, F.when(F.size(received) > 0, F.concat(F.lit("Zielort "), F.array_join(received, " / "))))
+    head = F.concat_ws(", ", people, place, F.nullif(date, F.lit("")))
     themes = F.when(F.size(subjects) > 0, F.concat(F.lit(" Themen: "), F.array_join(subjects, ", "), F.lit("."))).otherwise("")
     return F.concat(head, F.lit("."), themes)
 
@@ -127,6 +133,26 @@ def corpus(spark: SparkSession, sf_dir: str, p: Params = DEFAULT) -> DataFrame:
     return plain.withColumn("regest", F.coalesce("editorial", made)).withColumn("synthetic", F.col("editorial").isNull())
 
 
+def described(letters: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Adds places_sent and date_display from the raw letters and variants, the further labels of the subjects."""
+    raw = latest(unwrapped(spark, sf_dir).select("id", "brief_id", "places_sent", "date_display"), ["id"], [F.col("brief_id").desc()]).drop("brief_id")
+    rings = labels(spark, sf_dir, "saches").select(F.col("short").alias("label"), F.explode("variants").alias("variant"))
+    tags = letters.select("id", F.explode("subjects").alias("label")).join(rings, "label")
+    rings_of = tags.groupBy("id").agg(F.array_sort(F.collect_set("variant")).alias("variants"))
+    rows = letters.join(raw, "id", "left").join(rings_of, "id", "left")
+    none = F.array().cast("array<string>")
+    return rows.withColumns({"places_sent": F.coalesce("places_sent", none), "variants": F.coalesce("variants", none), "date_display": F.coalesce(F.nullif("date_display", F.lit("")), "date_iso")})
+
+
+def kinds(spark: SparkSession, sf_dir: str, letters: DataFrame) -> DataFrame:
+    """letters(brief_id, textsorte): kinds given by the id of a subject record are replaced by its label, others stay; an
+    id without a record gives null. A left join on the id."""
+    words = labels(spark, sf_dir, "saches").select(F.col("ref_id").alias("kind_id"), F.col("short").alias("kind_label"))
+    by_id = F.when(F.col("textsorte").rlike("(?i)^[0-9a-f]{24}$"), F.lower("textsorte"))
+    rows = letters.withColumn("kind_id", by_id).join(words, "kind_id", "left")
+    return rows.withColumn("textsorte", F.when(F.col("kind_id").isNull(), F.col("textsorte")).otherwise(F.col("kind_label"))).drop("kind_id", "kind_label")
+
+
 def public(letters: DataFrame) -> DataFrame:
     """Letters that may be served. Strict: only those marked open (the looser reading, all but internal ones, is
     public_or_unknown)."""

@@ -9,16 +9,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from missiva.functions import text as T
-from missiva.operators import archive as A
 from missiva.operators import match as M
 from missiva.operators import vectors as X
 from missiva.operators.archive import DEFAULT, Params
-from missiva.sources.tables import cut, cut_all
+from missiva.sources.tables import cut, cut_all, numbered
 
 
 @dataclass
 class Index:
-    """What retrieval reads: letters, postings, searched texts, vectors of letters and passages."""
+    """What retrieval reads: letters, postings, searched texts, vectors and texts of letters and passages."""
 
     letters: DataFrame
     subjects: DataFrame
@@ -28,24 +27,36 @@ class Index:
     stems: DataFrame
     vectors: DataFrame
     chunk_vectors: DataFrame
+    passages: DataFrame
+    texts: DataFrame
 
 
 def best_chunks(index: Index, questions: DataFrame, p: Params = DEFAULT) -> DataFrame:
     """(qid, id, chunk_score, chunkid, kind): of the best passages of all, the best of each public letter."""
-    scores = X.score(index.chunk_vectors.withColumnRenamed("letterid", "id"), questions, ["id", "chunkid", "kind"])
-    best = X.top(scores, p.chunk_top_k, "chunkid").join(index.letters.select("id"), "id")
+    best = X.best(index.chunk_vectors.withColumnRenamed("letterid", "id"), questions, ["id", "chunkid", "kind"], p.chunk_top_k, "chunkid")
     w = Window.partitionBy("qid", "id").orderBy(F.col("score").desc(), "chunkid")
-    one = best.withColumn("r", F.row_number().over(w)).filter("r = 1")
+    one = best.join(index.letters.select("id"), "id").withColumn("r", F.row_number().over(w)).filter("r = 1")
     return one.select("qid", "id", F.col("score").alias("chunk_score"), "chunkid", "kind")
 
 
-def fuse(index: Index, questions: DataFrame, chunk_questions: DataFrame, p: Params = DEFAULT) -> DataFrame:
-    """questions(qid, text, vector), chunk_questions(qid, vector):
-    (qid, id, rank, keyword, specificity, score, chunkid, chunk_kind, reasons).
+@dataclass
+class Fused:
+    """Hits of a batch of questions, and what was decided on the way to them."""
+
+    hits: DataFrame
+    gates: DataFrame
+    counts: DataFrame
+
+
+def fuse(index: Index, questions: DataFrame, chunk_questions: DataFrame, p: Params = DEFAULT) -> Fused:
+    """questions(qid, text, vector), chunk_questions(qid, vector). hits: (qid, id, rank, keyword, specificity, score,
+    chunkid, chunk_kind, reasons); gates: (qid, closed, lookup, structured); counts: (qid, matches, keyword_matches,
+    chunk_matches, below_floor).
 
     Keyword evidence (subject, person, year, number, text) first, then what is similar enough; within it the more
     specific, then the higher score. A letter without a vector has similarity 0. Everything is keyed by (qid, id), so
-    the paths meet in one aggregation."""
+    the paths meet in one aggregation. Vectors hand on the top_k best of each question; other similarities are computed
+    for the letters with evidence only. Ranks are counted over all tasks, as a year may hold a share of all letters."""
     q = cut(M.features(questions))
     found_ids = cut(M.ids(q, index.letters))
     plain = q.join(found_ids.select("qid").distinct(), "qid", "left_anti")  # a number named turns the other matchers off
@@ -56,7 +67,7 @@ def fuse(index: Index, questions: DataFrame, chunk_questions: DataFrame, p: Para
             "person": lambda: M.persons(plain, index.senders, index.recipients, p),
             "year": lambda: M.years(plain, index.letters),
             "text": lambda: M.texts(plain, index.stems, index.stem_text, p),
-            "scores": lambda: X.ranked(X.score(vectors, questions, ["id"]), "id"),
+            "scores": lambda: X.best(vectors, questions, ["id"], p.top_k, "id"),
             "chunk": lambda: best_chunks(index, chunk_questions, p),
         }
     )
@@ -83,7 +94,7 @@ def fuse(index: Index, questions: DataFrame, chunk_questions: DataFrame, p: Para
     wanted = open_q.join(any_keyword, "qid", "left").select(
         "qid", F.when(F.col("structured"), 0).when(F.col("any"), p.extra_k).otherwise(p.top_k).alias("k"), "structured"
     )
-    near = scores.join(wanted, "qid").filter(F.col("rank") <= F.col("k")).select("qid", "id", F.lit(True).alias("near"))
+    near = scores.join(wanted, "qid").filter(F.col("rank") <= F.col("k")).select("qid", "id", F.col("score").alias("near"))
     order = Window.partitionBy("qid").orderBy(F.col("chunk_score").desc(), "chunkid")
     by_chunk = (
         chunk.join(wanted.filter("NOT structured"), "qid")
@@ -93,14 +104,19 @@ def fuse(index: Index, questions: DataFrame, chunk_questions: DataFrame, p: Para
         .select("qid", "id", F.lit(True).alias("by_chunk"))
     )
     every = keyword.join(near, ["qid", "id"], "full").join(by_chunk, ["qid", "id"], "full")
-    every = every.join(scores.select("qid", "id", "score"), ["qid", "id"], "left").join(chunk, ["qid", "id"], "left")
+    every = cut(every.join(chunk, ["qid", "id"], "left"))
+    others = X.pair_scores(every.filter("near IS NULL"), vectors, questions, "id")
+    every = every.join(others, ["qid", "id"], "left")
     is_keyword = F.col("paths").isNotNull()
-    cosine = F.coalesce("score", F.lit(0.0))
-    kept = every.filter(is_keyword | F.col("by_chunk") | (cosine >= p.min_score))
+    cosine = F.coalesce("near", "score", F.lit(0.0))
+    kept = is_keyword | F.coalesce("by_chunk", F.lit(False)) | (cosine >= p.min_score)
+    counts = every.groupBy("qid").agg(
+        F.count_if(kept).alias("matches"), F.count_if(is_keyword).alias("keyword_matches"), F.count_if("by_chunk").alias("chunk_matches"), F.count_if(~kept).alias("below_floor")
+    )
     words = {1: "Schlagwort", 2: "Person", 3: "Jahr", 4: "Nummer", 5: "Text"}
     names = F.transform("paths", lambda o: F.element_at(F.array(*(F.lit(w) for w in words.values())), o))
     reasons = F.when(is_keyword, F.array_join(names, ", ")).when(F.col("by_chunk"), F.concat(F.lit("Passage "), "kind")).otherwise("Embedding")
-    rows = kept.select(
+    rows = every.filter(kept).select(
         "qid",
         "id",
         is_keyword.alias("keyword"),
@@ -111,8 +127,8 @@ def fuse(index: Index, questions: DataFrame, chunk_questions: DataFrame, p: Para
         F.col("kind").alias("chunk_kind"),
         reasons.alias("reasons"),
     )
-    w = Window.partitionBy("qid").orderBy(F.col("keyword").desc(), F.col("specificity").desc(), F.col("score").desc(), F.col("cosine").desc(), "id")
-    return rows.withColumn("rank", F.row_number().over(w)).drop("cosine")
+    by_evidence = [F.col("keyword").desc(), F.col("specificity").desc(), F.col("score").desc(), F.col("cosine").desc(), F.col("id")]
+    return Fused(numbered(rows, ["qid"], by_evidence, "rank").drop("cosine"), gates, counts)
 
 
 def overlap_scorer(question: Column, text: Column) -> Column:
@@ -122,37 +138,50 @@ def overlap_scorer(question: Column, text: Column) -> Column:
 
 
 def rerank(
-    hits: DataFrame, questions: DataFrame, letters: DataFrame, scorer: Callable[[Column, Column], Column] | None = overlap_scorer, p: Params = DEFAULT
+    hits: DataFrame, questions: DataFrame, letters: DataFrame, passages: DataFrame, scorer: Callable[[Column, Column], Column] | None = overlap_scorer, p: Params = DEFAULT
 ) -> DataFrame:
-    """Rescores the hits without keyword evidence, at most rerank_max of each question, drops those under rerank_min and
-    puts the rest behind the others by the new score. No scorer leaves the order as it is. Adds rerank and rank.
-    What is beyond rerank_max vanishes, as published."""
+    """Rescores the hits without keyword evidence, at most rerank_max of each question, by titel, regest and the passage
+    that matched; drops those under rerank_min and puts the rest behind the others by the new score, one the scorer gave no
+    score for as if it were 0. No scorer (the service is off, or failed) leaves hits and order as they are. Adds rerank and
+    rank. What is beyond rerank_max vanishes, as published."""
     if scorer is None:
         return hits.withColumn("rerank", F.lit(None).cast("double"))
     sure, extra = hits.filter("keyword"), hits.filter("NOT keyword")
     nth = Window.partitionBy("qid").orderBy("rank")
     extra = extra.withColumn("n", F.row_number().over(nth)).filter(F.col("n") <= p.rerank_max).drop("n")
-    text = F.substring(F.concat_ws("\n", "titel", "regest"), 1, 1500)
-    scored = extra.join(questions.select("qid", F.col("text").alias("question")), "qid").join(letters.select("id", "titel", "regest"), "id")
-    scored = scored.withColumn("rerank", scorer(F.col("question"), text)).filter(F.col("rerank") >= p.rerank_min)
+    text = F.substring(F.concat_ws("\n", *(F.nullif(c, F.lit("")) for c in ("titel", "regest", "passage"))), 1, 1500)
+    asked = (
+        extra.select("qid", "id", "chunkid")
+        .join(questions.select("qid", F.col("text").alias("question")), "qid")
+        .join(letters.select("id", "titel", "regest"), "id", "left")
+        .join(passages.select("chunkid", F.col("text").alias("passage")), "chunkid", "left")
+    )
+    scores = asked.select("qid", "id", scorer(F.col("question"), text).alias("rerank"))
+    scored = extra.join(scores, ["qid", "id"], "left").filter(F.col("rerank").isNull() | (F.col("rerank") >= p.rerank_min))
     both = sure.withColumn("rerank", F.lit(None).cast("double")).unionByName(scored.select(*hits.columns, "rerank"))
-    w = Window.partitionBy("qid").orderBy(F.col("keyword").desc(), F.when(~F.col("keyword"), F.col("rerank")).desc_nulls_last(), "rank")
-    return both.withColumn("new_rank", F.row_number().over(w)).drop("rank").withColumnRenamed("new_rank", "rank")
+    order = [F.col("keyword").desc(), F.when(F.col("keyword"), 0.0).otherwise(F.coalesce("rerank", F.lit(0.0))).desc(), F.col("old")]
+    return numbered(both.withColumnRenamed("rank", "old"), ["qid"], order, "rank").drop("old")
 
 
-def context(hits: DataFrame, letters: DataFrame, matched: DataFrame, p: Params = DEFAULT) -> DataFrame:
-    """(qid, rank, id, block): the text block a model would get for each of the first context_max hits.
-    matched(qid, form): forms of the question that survived; tags with such a form come first and apart."""
+def context(hits: DataFrame, index: Index, matched: DataFrame, p: Params = DEFAULT) -> DataFrame:
+    """(qid, rank, id, block): the text block a model would get for each of the first context_max hits: who, where and
+    when, why it was found, tags and variants that match the question first and apart, the passage that matched, else for
+    the first `excerpts` hits the beginning of the transcription, and for these the commentary.
+    matched(qid, form): forms of the question that survived."""
     forms = matched.groupBy("qid").agg(F.collect_set("form").alias("forms"))
-    rows = hits.filter(F.col("rank") <= p.context_max).join(letters, "id").join(forms, "qid", "left")
+    rows = hits.filter(F.col("rank") <= p.context_max).join(index.letters, "id").join(forms, "qid", "left")
+    rows = rows.join(index.passages.select("chunkid", F.col("text").alias("passage")), "chunkid", "left").join(index.texts.drop("sichtbar"), "id", "left")
     forms_of = F.coalesce("forms", F.array().cast("array<string>"))
-    hit_tags = F.filter("subjects", lambda t: F.arrays_overlap(T.subject_forms(t, p.min_form), forms_of))
-    rows = rows.withColumn("hit_tags", hit_tags).withColumn("other_tags", F.filter("subjects", lambda t: ~F.array_contains("hit_tags", t)))
+    fits = lambda c: F.filter(c, lambda t: F.arrays_overlap(T.subject_forms(t, p.min_form), forms_of))
+    rows = rows.withColumn("hit_tags", F.concat(fits("subjects"), fits("variants")))
+    rows = rows.withColumn("other_tags", F.filter("subjects", lambda t: ~F.array_contains("hit_tags", t)))
+    listed = lambda c, word: F.when(F.size(c) > 0, F.concat(F.lit(word), F.array_join(c, ", ")))
     who = F.concat_ws(
         " | ",
-        F.when(F.size("senders") > 0, F.concat(F.lit("Von: "), F.array_join("senders", ", "))),
-        F.when(F.size("recipients") > 0, F.concat(F.lit("An: "), F.array_join("recipients", ", "))),
-        F.when(F.col("date_iso") != "", F.concat(F.lit("Datum: "), "date_iso")),
+        listed("senders", "Von: "),
+        listed("recipients", "An: "),
+        F.when(F.col("date_display") != "", F.concat(F.lit("Datum: "), "date_display")),
+        listed("places_sent", "Absendeort: "),
     )
     more = F.size("other_tags") - p.tags_shown
     others = F.concat(
@@ -160,6 +189,7 @@ def context(hits: DataFrame, letters: DataFrame, matched: DataFrame, p: Params =
         F.array_join(F.slice("other_tags", 1, p.tags_shown), "; "),
         F.when(more > 0, F.concat(F.lit(" (+"), more.cast("string"), F.lit(")"))).otherwise(""),
     )
+    first = F.col("rank") <= p.excerpts
     block = F.concat_ws(
         "\n",
         F.concat(F.lit("["), F.col("rank").cast("string"), F.lit("] Brief "), "id", F.lit(" ("), "url", F.lit(")")),
@@ -170,10 +200,46 @@ def context(hits: DataFrame, letters: DataFrame, matched: DataFrame, p: Params =
         F.when(F.col("incipit") != "", F.concat(F.lit('Incipit: "'), "incipit", F.lit('"'))),
         "regest",
         F.when(F.col("synthetic"), "(Automatisch erzeugt)"),
+        F.when(F.col("passage").isNotNull(), F.concat(F.when(F.col("chunk_kind") == "volltext", "Transkription (Passage): ").otherwise("Erläuterung (Passage): "), "passage")).when(
+            first & F.col("volltext").isNotNull(), F.concat(F.lit("Transkription (Auszug): "), F.substring("volltext", 1, p.excerpt_chars))
+        ),
+        F.when(first & F.col("erlaeuterung").isNotNull(), F.concat(F.lit("Erläuterung: "), "erlaeuterung")),
     )
     return rows.select("qid", "rank", "id", block.alias("block"))
 
 
+def _sources(hits: DataFrame, index: Index, p: Params) -> DataFrame:
+    rows = hits.join(index.letters, "id").join(index.passages.select("chunkid", F.col("text").alias("passage")), "chunkid", "left")
+    short = lambda c: F.round(c, 3)
+    return rows.withColumn("score", short("score")).withColumn("rerank", short("rerank")).withColumn("in_context", F.col("rank") <= p.context_max)
+
+
+def response_chat(hits: DataFrame, index: Index, p: Params = DEFAULT) -> DataFrame:
+    """The rows an answer is shown with, in rank order per question: all columns of a source and whether the model saw it.
+    hits with the column rerank (see rerank)."""
+    rows = _sources(hits, index, p).join(index.texts.select("id", F.col("volltext").isNotNull().alias("full")), "id", "left")
+    return rows.select(
+        "qid", "rank", "id", "url", "score", "rerank", "reasons", F.col("chunk_kind").alias("passage_kind"), "passage", "titel", "date_display", "senders", "recipients", "regest",
+        F.col("synthetic").alias("regest_synthetic"), "sichtbar", (~F.col("synthetic")).alias("has_regest"), F.coalesce("full", F.lit(False)).alias("has_full_text"), "in_context",
+    )
+
+
+def response_retrieve(hits: DataFrame, index: Index, p: Params = DEFAULT) -> DataFrame:
+    """The short form: (qid, rank) and the six columns of a source for measuring."""
+    return _sources(hits, index, p).select("qid", "rank", "id", "score", "rerank", "reasons", F.col("chunk_kind").alias("passage"), "sichtbar")
+
+
+def cited_and_extra(sources: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What the model saw, and further candidates that stand apart."""
+    return sources.filter("in_context"), sources.filter("NOT in_context")
+
+
+def embedding_only(sources: DataFrame) -> DataFrame:
+    """Sources all of whose reasons are similarity, and that have a rerank score; the rest isn't used for calibration."""
+    fuzzy = F.forall(F.split("reasons", ", "), lambda r: (r == "Embedding") | r.startswith("Passage "))
+    return sources.filter(fuzzy & F.col("rerank").isNotNull())
+
+
 def prompt(blocks: DataFrame) -> DataFrame:
     """(qid, context): the blocks of each question in order."""
     ordered = F.transform(F.sort_array(F.collect_list(F.struct("rank", "block"))), lambda x: x["block"])
@@ -194,12 +260,6 @@ def transcript(turns: DataFrame) -> DataFrame:
     return rows.select("conv", F.array_join(F.transform("xs", lambda x: x["line"]), "\n").alias("transcript"))
 
 
-def accepts_rewrite(answer: Column) -> Column:
-    """Whether a model's rewriting of a question is usable: one line, not empty, at most 400 signs."""
-    t = F.trim(answer)
-    return F.coalesce((F.length(t) > 0) & (F.length(t) <= 400) & ~t.contains("\n"), F.lit(False))
-
-
 def citation_guard(answers: DataFrame) -> DataFrame:
     """answers(aid, answer, sources array<string>): adds cited, invented (cited, not a source) and retry."""
     cited = T.cited_ids(F.col("answer"))

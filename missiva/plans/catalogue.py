@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from missiva.plans import evaluation, records, retrieval, streams
+from missiva.plans import evaluation, formats, records, retrieval, streams
 
-QUERIES = {**records.QUERIES, **retrieval.QUERIES, **evaluation.QUERIES, **streams.QUERIES}
-SQL = {**records.SQL, **retrieval.SQL, **evaluation.SQL}
+QUERIES = {**records.QUERIES, **retrieval.QUERIES, **evaluation.QUERIES, **formats.QUERIES, **streams.QUERIES}
+SQL = {**records.SQL, **retrieval.SQL, **evaluation.SQL, **formats.SQL, **streams.SQL}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

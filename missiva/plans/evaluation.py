@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from missiva.functions import text as T
+from missiva.functions import variants as V
 from missiva.operators import archive as A
 from missiva.operators import evaluate as E
+from missiva.plans import records
+from missiva.plans import retrieval as R
 from missiva.plans import sqltext as S
-from missiva.sources.tables import latest, table
+from missiva.sources.tables import current_letters, latest, table
 
-TERMS = ["siegel", "vorwürfe", "rechnung", "universität"]
+#: Terms of content questions, each with the expression that finds it in an abstract.
+TERMS = {"Siegel": "siegel", "Vorwürfe": "vorw[uü]rf", "Rechnung": "rechnung", "Universität": "universität"}
+SAMPLED = 10
 SEED = "20260821"
 SHARES = [0.0, 0.1, 0.5, 0.9, 1.0]
 THRESHOLDS = [0.0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.8]
@@ -38,8 +43,11 @@ def gold_regex_pair(spark, d):
 
 
 def gold_year(spark, d):
-    c = A.corpus(spark, d)
-    return E.by_visibility(c.filter(F.substring("date_iso", 1, 2) == "15").withColumn("year", F.substring("date_iso", 1, 4)), ["year"])
+    """Letters of each year, by the year in their nested date."""
+    dated = current_letters(spark, d, "short", "sichtbar", "datierung").filter(F.coalesce("short", F.lit("")) != "").withColumn("date", V.parse(F.col("datierung")))
+    year = V.scalar(V.member(V.member(F.col("date"), "am"), "j")).try_cast("int")
+    rows = dated.select(F.col("short").alias("id"), A.some(F.col("sichtbar"), "unbekannt").alias("sichtbar"), year.alias("year"))
+    return E.by_visibility(rows.filter("year IS NOT NULL"), ["year"])
 
 
 def gold_name_spellings(spark, d):
@@ -49,11 +57,61 @@ def gold_name_spellings(spark, d):
 
 
 def gold_tagged_split(spark, d):
-    return E.tagged_split(A.corpus(spark, d), spark.createDataFrame([(t,) for t in TERMS], "term string"))
+    return E.tagged_split(A.corpus(spark, d), TERMS)
+
+
+def untagged_recall(spark, d):
+    """Of the letters whose abstract has a term, those without its tag; the run found letters that have an opening."""
+    split = gold_tagged_split(spark, d).withColumnRenamed("term", "qid")
+    hits = split.join(A.corpus(spark, d).filter("incipit <> ''").select("id"), "id").select("qid", "id")
+    return E.untagged_recall(hits, split)
+
+
+def generated_questions(spark, d):
+    return E.questions_about(A.corpus(spark, d), TERMS, SAMPLED, SEED)
+
+
+def question_lists(spark, d):
+    """Questions by template, numbered: what a page would offer."""
+    w = Window.partitionBy("template").orderBy("id")  # at most SAMPLED rows each
+    return generated_questions(spark, d).select("template", F.row_number().over(w).alias("nr"), "text")
+
+
+#: Answers to be checked: (qid, lang, answer, sources, seen, gold, must, exempt, refusal expected).
+CHECKED = [
+    ("a1", "de", "Brief 10001 und Brief 10002 handeln von der Sache und dem Rat.", ["10001", "10002", "10003"], 2, ["10001", "10003"], [], [], False),
+    ("a2", "de", "The letter Brief 10001 and Brief 77777 are in the archive.", ["10001"], 5, ["10001"], ["10001"], ["77777"], False),
+    ("a3", "de", "Die vorliegenden Briefe enthalten dazu keine Informationen.", ["10002", "10004"], 2, ["10004"], [], [], False),
+    ("a4", "de", "keine Informationen", ["10005"], 1, [], ["10005", "10006"], [], True),
+    ("a5", "en", "It is in Brief 10006 and Brief 88888, and Brief Nr. 99999.", ["10007"], 1, [], [], [], False),
+    ("a6", "de", "", [], 0, ["10001"], [], [], True),
+]
+
+
+def answer_checks(spark, d):
+    """Literal answers; the payload of a source is its number and the abstract of its letter."""
+    rows = spark.createDataFrame(CHECKED, "qid string, lang string, answer string, sources array<string>, in_context int, gold array<string>, must array<string>, exempt array<string>, expect_refusal boolean")
+    texts = A.corpus(spark, d).select("id", F.concat_ws(" ", "id", "regest", F.when(F.col("id") == "10007", "siehe 10006")).alias("t"))
+    said = rows.select("qid", F.explode("sources").alias("id")).join(texts, "id").groupBy("qid").agg(F.array_join(F.array_sort(F.collect_list("t")), " ").alias("payload"))
+    return E.checked_answers(rows.join(said, "qid", "left").withColumn("payload", F.coalesce("payload", F.lit(""))))
+
+
+def answer_report(spark, d):
+    return E.answer_report(answer_checks(spark, d))
+
+
+def false_refusals(spark, d):
+    return answer_checks(spark, d).filter("false_refusal").select("qid")
+
+
+def measure_report(spark, d):
+    """Means of the run as texts, over subjects with few and with many gold letters."""
+    m = recall_precision(spark, d).withColumn("size", F.when(F.col("n_gold") <= 5, "few").otherwise("many"))
+    return m.groupBy("size").agg(F.count("*").alias("questions"), E.percent(F.round(F.avg("recall"), 6)).alias("recall"), E.percent(F.round(F.avg("precision"), 6)).alias("precision"))
 
 
 def seeded_sample(spark, d):
-    return E.sampled(gold_tag_counts(spark, d), "tag", 10, SEED)
+    return E.sampled(gold_tag_counts(spark, d), "tag", SAMPLED, SEED)
 
 
 def template_groups(spark, d):
@@ -92,7 +150,8 @@ def leak_assertion(spark, d):
     """Hits of a run over all letters that aren't open."""
     c = A.corpus(spark, d)
     hits = c.filter("NOT synthetic").select(F.lit("all").alias("qid"), "id")
-    return E.leaks(hits, c)
+    forbidden = gold_tag_in(spark, d).unionByName(gold_regex_pair(spark, d)).filter("side = 'intern'")
+    return E.leaks(hits, c, forbidden)
 
 
 def baseline_diff(spark, d):
@@ -170,7 +229,8 @@ def hash_invalidation(spark, d):
     return new.join(old.select("brief_id", F.col("h").alias("old")), "brief_id").filter("h <> old").select("brief_id", "h")
 
 
-NAMES = """gold_tag_counts gold_pair_counts gold_tag_in gold_regex_pair gold_year gold_name_spellings gold_tagged_split seeded_sample template_groups
+NAMES = """gold_tag_counts gold_pair_counts gold_tag_in gold_regex_pair gold_year gold_name_spellings gold_tagged_split untagged_recall generated_questions
+question_lists answer_checks answer_report false_refusals measure_report seeded_sample template_groups
 recall_precision worst_questions mean_measures leak_assertion baseline_diff citation_recall floor_quantile threshold_sweep stability_outcomes detect_lang
 language_mix health_counters incremental_missing orphan_vectors hash_invalidation""".split()
 QUERIES = {n: globals()[n] for n in NAMES}
@@ -180,10 +240,10 @@ def _with(*parts: str, then: str) -> str:
     return "WITH " + ",\n".join(parts) + "\n" + then
 
 
-def _split(where: str, keys: str = "", group: str = "") -> str:
-    num = "list_transform(list_sort(list_transform(list_distinct({l}), lambda x: {{'n': x::BIGINT, 'x': x}})), lambda s: s.x)"
-    offen, intern = (num.format(l=f"coalesce(list(id) FILTER ({c}), [])") for c in ("sichtbar = 'offen'", "sichtbar <> 'offen'"))
-    return f"SELECT {keys}{offen} AS offen, {intern} AS intern FROM let WHERE {where} {group}"
+def _split(rows: str, keys: str = "") -> str:
+    """Numbered gold letters of rows (keys, id, sichtbar)."""
+    return f"""SELECT *, row_number() OVER (PARTITION BY {keys} side ORDER BY TRY_CAST(id AS BIGINT) NULLS LAST, id)::INT AS nr
+  FROM (SELECT DISTINCT {keys} CASE WHEN sichtbar = 'offen' THEN 'offen' ELSE 'intern' END AS side, id FROM {rows})"""
 
 
 _TAGS = "tc AS (SELECT tag, count(*) AS n FROM (SELECT unnest(subjects) AS tag FROM pub) WHERE length(tag) >= 5 GROUP BY tag HAVING count(*) BETWEEN 3 AND 60)"
@@ -212,14 +272,38 @@ def _count(text: str, ws: list[str]) -> str:
 
 
 _LANG = f"CASE WHEN regexp_matches(text, '[\\x{{4e00}}-\\x{{9fff}}]') THEN 'zh' WHEN {_count('text', T.ENGLISH_WORDS)} > {_count('text', T.GERMAN_WORDS)} THEN 'en' ELSE 'de' END"
-_TERMS = ", ".join(f"('{t}')" for t in TERMS)
+_TERMS = ", ".join(f"('{t}', '{rx}')" for t, rx in TERMS.items())
+_TAGGED = f"""terms AS (SELECT * FROM (VALUES {_TERMS}) t(term, rx)),
+tg AS (SELECT term, id, len(list_filter(subjects, lambda s: regexp_matches(s, '(?i)' || rx))) > 0 AS tagged FROM pub, terms WHERE regexp_matches(regest, '(?i)' || rx))"""
+_CORE = "trim(regexp_replace(regexp_replace({x}, '[\\[\\]]', '', 'g'), '\\s+', ' ', 'g'))"
+_GENERATED = f"""gs AS (SELECT 'gen_sache_' || right(md5(tag), 6) AS id, 'sache' AS template, 'de' AS lang, 'Welche Briefe erwähnen ' || tag || '?' AS text, count_if(sichtbar = 'offen') AS offen, count_if(sichtbar <> 'offen') AS intern
+  FROM (SELECT tag FROM tc ORDER BY md5(tag || '{SEED}'), tag LIMIT {SAMPLED}) JOIN (SELECT DISTINCT id, sichtbar, unnest(subjects) AS tag FROM let) USING (tag) GROUP BY tag),
+pr AS (SELECT sender, recipient, row_number() OVER (ORDER BY md5(sender || '|' || recipient || '{SEED}'), sender || '|' || recipient) AS nr FROM pc QUALIFY nr <= {SAMPLED}),
+{_forms("sender", "fs", "nm")}, {_forms("recipient", "fr", "nm")},
+pl AS (SELECT sender, recipient, id FROM fs JOIN (SELECT id, unnest(senders) AS nm FROM let) USING (nm) INTERSECT SELECT sender, recipient, id FROM fr JOIN (SELECT id, unnest(recipients) AS nm FROM let) USING (nm)),
+gp AS (SELECT 'gen_person_' || lpad(nr::VARCHAR, 2, '0') || '_' || (first(id ORDER BY TRY_CAST(id AS BIGINT), id) FILTER (sichtbar = 'offen')) AS id, 'person' AS template, 'de' AS lang,
+  'Welche Briefe schrieb ' || {_CORE.format(x='sender')} || ' an ' || {_CORE.format(x='recipient')} || '?' AS text, count_if(sichtbar = 'offen') AS offen, count_if(sichtbar <> 'offen') AS intern
+  FROM pl JOIN let USING (id) JOIN pr USING (sender, recipient) GROUP BY sender, recipient, nr HAVING count_if(sichtbar = 'offen') > 0),
+gi AS (SELECT 'gen_inhalt_' || regexp_replace(lower(term), '[^a-z]', '', 'g') AS id, 'inhalt' AS template, 'de' AS lang, 'Welche Briefe erwähnen ' || term || '?' AS text, count_if(sichtbar = 'offen') AS offen, count_if(sichtbar <> 'offen') AS intern
+  FROM let JOIN (SELECT * FROM (VALUES {_TERMS}) t(term, rx)) ON regexp_matches(regest, '(?i)' || rx) GROUP BY term),
+gq AS (FROM gs UNION ALL FROM gp UNION ALL FROM gi)"""
+_CHECK_ROWS = ", ".join("('{}', '{}', '{}', {}::VARCHAR[], {}, {}::VARCHAR[], {}::VARCHAR[], {}::VARCHAR[], {})".format(*r) for r in CHECKED)
+_CHECKS = f"""ck AS (SELECT * FROM (VALUES {_CHECK_ROWS}) t(qid, lang, answer, sources, seen, gold, must, exempt, expect)),
+pay AS (SELECT qid, string_agg(concat_ws(' ', id, regest, CASE WHEN id = '10007' THEN 'siehe 10006' END), ' ') AS payload FROM (SELECT qid, unnest(sources) AS id FROM ck) JOIN let USING (id) GROUP BY qid),
+ck2 AS (SELECT *, list_filter(gold, lambda g: list_contains(sources[1:seen], g)) AS gs, list_filter(must, lambda g: list_contains(sources[1:seen], g)) AS ms, list_distinct(regexp_extract_all(answer, 'Brief\\s+(\\d{{3,6}})', 1)) AS cited,
+  regexp_matches(answer, '(?i){T.REFUSAL}') AS ref, {_LANG.replace('text', 'answer')} AS al FROM ck LEFT JOIN pay USING (qid)),
+ck3 AS (SELECT *, list_filter(cited, lambda i: NOT list_contains(sources, i) AND NOT list_contains(exempt, i)) AS un, len(list_filter(gs, lambda g: list_contains(cited, g))) AS gc, len(list_filter(ms, lambda g: list_contains(cited, g))) AS mc FROM ck2),
+ac AS (SELECT qid, al AS answer_lang, al = lang AS aligned, len(cited) AS cited, array_to_string(list_sort(list_filter(un, lambda i: contains(coalesce(payload, ''), i))), ' ') AS echoed, array_to_string(list_sort(list_filter(un, lambda i: NOT contains(coalesce(payload, ''), i))), ' ') AS invented,
+  CASE WHEN expect THEN ref END AS refused, CASE WHEN len(gs) > 0 THEN round(gc / len(gs), 6) END AS citation_recall, len(ms) > 0 AND mc = len(ms) AS must_cited, array_to_string(list_sort(list_filter(ms, lambda g: NOT list_contains(cited, g))), ' ') AS must_uncited,
+  CASE WHEN len(must) > 0 THEN len(ms) > 0 AND ref AND mc = 0 ELSE len(gs) > 0 AND ref AND gc = 0 END AS false_refusal FROM ck3)"""
 
 SQL = {
     "gold_tag_counts": _with(S.CORPUS, _TAGS, then="SELECT * FROM tc"),
     "gold_pair_counts": _with(S.CORPUS, _PAIRS, then="SELECT * FROM pc"),
-    "gold_tag_in": _with(S.CORPUS, then=_split("list_has_any(subjects, ['Jagdordnung', 'Waldstreit'])")),
-    "gold_regex_pair": _with(S.CORPUS, then=_split("len(list_filter(senders, lambda s: regexp_matches(s, 'Keispler|Krärbogel'))) > 0 AND len(list_filter(recipients, lambda s: regexp_matches(s, '[a-z]mann'))) > 0")),
-    "gold_year": _with(S.CORPUS, then=_split("left(date_iso, 2) = '15'", "left(date_iso, 4) AS year, ", "GROUP BY left(date_iso, 4)")),
+    "gold_tag_in": _with(S.CORPUS, then=_split("let WHERE list_has_any(subjects, ['Jagdordnung', 'Waldstreit'])")),
+    "gold_regex_pair": _with(S.CORPUS, then=_split("let WHERE len(list_filter(senders, lambda s: regexp_matches(s, 'Keispler|Krärbogel'))) > 0 AND len(list_filter(recipients, lambda s: regexp_matches(s, '[a-z]mann'))) > 0")),
+    "gold_year": _with(R._LETTERS, then=_split(f"""(SELECT short AS id, coalesce(nullif(sichtbar, ''), 'unbekannt') AS sichtbar, TRY_CAST({records._scalar(records._member(records._member('d', 'am'), 'j'))} AS INT) AS year
+  FROM (SELECT *, CASE WHEN json_valid(datierung) THEN datierung::JSON END AS d FROM letters WHERE coalesce(short, '') <> '')) WHERE year IS NOT NULL""", "year,")),
     "gold_name_spellings": _with(
         S.CORPUS,
         "pr AS (SELECT DISTINCT senders[1] AS sender, recipients[1] AS recipient FROM let WHERE len(senders) > 0 AND len(recipients) > 0)",
@@ -228,7 +312,18 @@ SQL = {
         then="SELECT sender, recipient, count(*) AS letters FROM (SELECT sender, recipient, id FROM fs JOIN (SELECT id, unnest(senders) AS nm FROM let) USING (nm) INTERSECT "
         "SELECT sender, recipient, id FROM fr JOIN (SELECT id, unnest(recipients) AS nm FROM let) USING (nm)) GROUP BY ALL",
     ),
-    "gold_tagged_split": _with(S.CORPUS, then=f"SELECT term, id, len(list_filter(subjects, lambda s: contains(lower(s), term))) > 0 AS tagged FROM pub, (VALUES {_TERMS}) t(term) WHERE contains(lower(regest), term)"),
+    "gold_tagged_split": _with(S.CORPUS, _TAGGED, then="SELECT * FROM tg"),
+    "untagged_recall": _with(
+        S.CORPUS, _TAGGED,
+        then="SELECT term AS qid, count_if(NOT tagged) AS untagged, CASE WHEN count_if(NOT tagged) > 0 THEN round(count_if(NOT tagged AND hit) / count_if(NOT tagged), 6) END AS untagged_recall "
+        "FROM (SELECT tg.*, coalesce(incipit <> '', FALSE) AS hit FROM tg JOIN pub USING (id)) GROUP BY term",
+    ),
+    "generated_questions": _with(S.CORPUS, _TAGS, _PAIRS, _GENERATED, then="SELECT * FROM gq"),
+    "question_lists": _with(S.CORPUS, _TAGS, _PAIRS, _GENERATED, then="SELECT template, row_number() OVER (PARTITION BY template ORDER BY id) AS nr, text FROM gq"),
+    "answer_checks": _with(S.CORPUS, _CHECKS, then="SELECT * FROM ac"),
+    "answer_report": _with(S.CORPUS, _CHECKS, then="SELECT count(*) AS answers, count_if(NOT aligned) AS misaligned, printf('%.1f%%', 100 * avg(citation_recall)) AS citation_recall, count_if(false_refusal) AS false_refusals FROM ac"),
+    "false_refusals": _with(S.CORPUS, _CHECKS, then="SELECT qid FROM ac WHERE false_refusal"),
+    "measure_report": _with(S.CORPUS, _RUN, _measures("m", "hits"), then="SELECT CASE WHEN n_gold <= 5 THEN 'few' ELSE 'many' END AS size, count(*) AS questions, printf('%.1f%%', 100 * round(avg(recall), 6)) AS recall, printf('%.1f%%', 100 * round(avg(precision), 6)) AS precision FROM m GROUP BY 1"),
     "seeded_sample": _with(S.CORPUS, _TAGS, then=f"SELECT * FROM tc ORDER BY md5(tag || '{SEED}'), tag LIMIT 10"),
     "template_groups": _with(
         S.CORPUS, _TAGS, _PAIRS,

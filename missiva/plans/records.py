@@ -85,7 +85,7 @@ def _level(name: str, source: str, parent: str, value: str, top: bool) -> str:
     )
 
 
-def _p3_sql() -> str:
+def _p3_sql(then: str) -> str:
     parts, selects = [LETTERS_SQL], []
     for column, levels in nested.LETTER_LEVELS.items():
         for level in levels:
@@ -99,7 +99,7 @@ def _p3_sql() -> str:
                 selects.append(f"SELECT brief_id, '{level.name}' AS child, path, {val} AS val FROM {level.name}")
                 source, parent, top = level.name, "e", False
                 level = level.below[0] if level.below else None
-    return "WITH " + ",\n".join(parts) + "\nSELECT * FROM (" + "\nUNION ALL ".join(selects) + ") WHERE val IS NOT NULL"
+    return "WITH " + ",\n".join(parts) + "\n" + then.format("\nUNION ALL ".join(selects))
 
 
 REFS_SQL = LETTERS_SQL + ",\nrefs AS (" + "\nUNION ".join(
@@ -130,7 +130,8 @@ _P4_SQL = (
 )
 
 SQL = {
-    "p3_found": _p3_sql(),
+    "p3_found": _p3_sql("SELECT * FROM ({}) WHERE val IS NOT NULL"),
+    "p3_nodes": _p3_sql("SELECT *, CASE WHEN contains(path, '/') THEN regexp_replace(path, '/[^/]*$', '') END AS parent_path FROM ({})"),
     "p4_found": _P4_SQL + "SELECT * FROM found WHERE state IS NOT NULL",
     "p4_per_month": _P4_SQL
     + "SELECT feld, state, monat, count(*) AS refs, count(DISTINCT brief_id) AS briefs FROM found WHERE state IS NOT NULL GROUP BY ALL",

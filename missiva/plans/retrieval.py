@@ -6,13 +6,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from missiva.functions import text as T
+from missiva.operators import answer as W
 from missiva.operators import archive as A
+from missiva.operators import evaluate as E
+from missiva.operators import letters as L
 from missiva.operators import match as M
 from missiva.operators import retrieve as R
 from missiva.operators import vectors as X
 from missiva.plans import records
 from missiva.plans import sqltext as S
-from missiva.sources.tables import cut, cut_all, table
+from missiva.sources.tables import fingerprint, side_by_side, stored, table
+from missiva.streaming import embedding
 
 QUESTIONS = [
     ("q01", "Welche Briefe behandeln die Jagdordnung?"),
@@ -45,22 +49,31 @@ def _with_vectors(spark: SparkSession, vectors: DataFrame) -> DataFrame:
     return spark.createDataFrame(rows, "qid string, text string, vector array<double>")
 
 
+#: Tables the index is made of, and a number that changes with the way it is made.
+SOURCES, VERSION = "corpus fulltext saches briefs letter_vectors chunk_vectors".split(), 2
+
+
 def index(spark: SparkSession, sf_dir: str, *parts: str) -> R.Index:
-    """The index, built once in the shared folder as an archive would keep it; only the parts named, all if none is."""
-    pub = cut(A.public(A.corpus(spark, sf_dir)))
+    """The index, kept in the shared folder under the state of the tables it is made of: built by the first query that needs
+    a part, opened by all others. Only the parts named, all if none is."""
+    key = fingerprint(spark, [f"{sf_dir}/{t}.parquet" for t in SOURCES], VERSION, PARAMS)
+    keep = lambda name, build: stored(spark, f"index-{key}/{name}", build)
+    pub = keep("letters", lambda: A.described(A.public(A.corpus(spark, sf_dir)), spark, sf_dir))
     variants = A.labels(spark, sf_dir, "saches").select(F.col("short").alias("label"), F.explode("variants").alias("variant"))
     builds = {
         "subjects": ("subjects", lambda: A.subject_postings(pub, variants)),
         "senders": ("persons", lambda: A.person_postings(pub, "senders")),
         "recipients": ("persons", lambda: A.person_postings(pub, "recipients")),
-        "texts": ("texts", lambda: A.stem_texts(pub, A.fulltexts(spark, sf_dir))),
+        "stem_text": ("texts", lambda: A.stem_texts(pub, A.fulltexts(spark, sf_dir))),
+        "stems": ("texts", lambda: A.stem_postings(A.stem_texts(pub, A.fulltexts(spark, sf_dir)))),
         "vectors": ("vectors", lambda: X.usable(table(spark, sf_dir, "letter_vectors"), "id")),
-        "chunks": ("chunks", lambda: X.usable(table(spark, sf_dir, "chunk_vectors"), "chunkid")),
+        "chunk_vectors": ("chunks", lambda: X.usable(table(spark, sf_dir, "chunk_vectors"), "chunkid")),
+        "passages": ("passages", lambda: A.chunks(A.fulltexts(spark, sf_dir)).select("chunkid", "text")),
+        "texts": ("passages", lambda: A.public(A.fulltexts(spark, sf_dir)).join(pub.select("id"), "id", "left_semi")),
     }
-    done = cut_all({name: build for name, (part, build) in builds.items() if not parts or part in parts})
-    texts = done.get("texts")
-    stems = cut(A.stem_postings(texts)) if texts is not None else None
-    return R.Index(pub, done.get("subjects"), done.get("senders"), done.get("recipients"), texts, stems, done.get("vectors"), done.get("chunks"))
+    wanted = {name: lambda n=name, b=build: keep(n, b) for name, (part, build) in builds.items() if not parts or part in parts}
+    done = side_by_side(wanted)
+    return R.Index(pub, *(done.get(n) for n in ("subjects", "senders", "recipients", "stem_text", "stems", "vectors", "chunk_vectors", "passages", "texts")))
 
 
 # --- ETL --------------------------------------------------------------------------------------------------------------
@@ -82,6 +95,25 @@ def etl_abstract(spark, d):
     return rows.select("id", made.alias("abstract"))
 
 
+def etl_kinds(spark, d):
+    """Kinds of letters by label: the tables have labels already, so each subject's id stands as a kind here as well."""
+    a = A.unwrapped(spark, d).select("brief_id", "textsorte")
+    coded = A.unwrapped(spark, d).select("brief_id", F.get(L.keyword_ids(F.col("schlagworte"))["sachen"], F.lit(0)).alias("textsorte")).filter("textsorte IS NOT NULL")
+    return A.kinds(spark, d, a.withColumn("coded", F.lit(False)).unionByName(coded.withColumn("coded", F.lit(True)))).select("brief_id", "coded", "textsorte")
+
+
+def etl_destination(spark, d):
+    """Made-up abstracts with a destination where there is no place of sending; the first recipient's letters stand in for
+    the place, as the tables have none."""
+    made = A.abstract(F.col("textsorte"), F.col("senders"), F.col("recipients"), F.col("places_sent"), F.col("date_iso"), F.array().cast("array<string>"), F.slice("recipients", 1, 1))
+    return A.unwrapped(spark, d).select("id", made.alias("abstract"))
+
+
+def etl_servable(spark, d):
+    """Letters by the published, looser reading: all that aren't marked internal."""
+    return A.public_or_unknown(A.corpus(spark, d)).select("id", "sichtbar")
+
+
 def etl_embed_text(spark, d):
     c = A.corpus(spark, d)
     return c.select("id", A.embed_text(F.col("titel"), F.col("subjects"), F.col("regest"), F.col("incipit")).alias("text"), F.col("synthetic"))
@@ -198,52 +230,144 @@ def gates(spark, d):
 # --- vectors ----------------------------------------------------------------------------------------------------------
 
 
+#: The stated query set of vector searches: every vector whose number is divisible by this.
+EVERY = 50
+
+
+def _asking(vectors: DataFrame) -> DataFrame:
+    return vectors.filter(F.col("vec_no") % EVERY == 0).select(F.col("vec_no").cast("string").alias("qid"), F.transform("embedding", lambda x: x.cast("double")).alias("vector"))
+
+
 def cosine_top30(spark, d):
     i = index(spark, d, "vectors")
-    scores = X.score(i.vectors.join(i.letters.select("id"), "id"), _with_vectors(spark, i.vectors), ["id"])
-    return X.top(scores, PARAMS.top_k, "id")
+    return X.best(i.vectors.join(i.letters.select("id"), "id"), _asking(i.vectors), ["id"], PARAMS.top_k, "id")
 
 
 def cosine_expression(spark, d):
-    """Every vector against the first, as a plain expression."""
-    v = index(spark, d, "vectors").vectors
-    first = v.orderBy("vec_no").limit(1).select(F.col("embedding").alias("other"))
-    return v.join(F.broadcast(first)).select("vec_no", F.round(X.cosine(F.col("embedding"), F.col("other")), 6).alias("score"))
+    """Every vector against the one of the query set before it, as a plain expression over an equi-join."""
+    v = index(spark, d, "vectors").vectors.withColumn("q", F.col("vec_no") - F.col("vec_no") % EVERY)
+    asking = v.filter("vec_no = q").select("q", F.col("embedding").alias("other"))
+    return v.join(asking, "q").select("vec_no", F.round(X.cosine(F.col("embedding"), F.col("other")), 6).alias("score"))
 
 
 def chunk_best(spark, d):
     i = index(spark, d, "chunks")
-    return R.best_chunks(i, _with_vectors(spark, i.chunk_vectors))
+    return R.best_chunks(i, _asking(i.chunk_vectors))
 
 
 def dedup_by_score(spark, d):
-    """Letters scored by their passages: of each letter only the best passage stays."""
+    """Letters scored by their hundred best passages: of each letter only the best stays."""
     i = index(spark, d, "chunks")
-    scores = X.score(i.chunk_vectors.withColumnRenamed("letterid", "id"), _with_vectors(spark, i.chunk_vectors), ["id", "chunkid"])
-    return M.first_by_score(scores, "id", "chunkid")
+    scores = X.best(i.chunk_vectors.withColumnRenamed("letterid", "id"), _asking(i.chunk_vectors), ["id", "chunkid"], 100, "chunkid")
+    return M.first_by_score(scores.drop("rank"), "id", "chunkid")
+
+
+def question_similarity(spark, d):
+    """The questions themselves, embedded by the same model as the letters' texts; the best of each."""
+    letters = index(spark, d, "letters").letters
+    text = A.embed_text(F.col("titel"), F.col("subjects"), F.col("regest"), F.col("incipit"))
+    some = F.exists("embedding", lambda x: x != 0)
+    vectors = letters.select("id", embedding.embed(text).alias("embedding")).filter(some)
+    asked = questions(spark).select("qid", embedding.embed(F.col("text")).alias("embedding")).filter(some).withColumnRenamed("embedding", "vector")
+    return X.best(vectors, asked, ["id"], PARAMS.top_k, "id")
 
 
 # --- fusion and after -------------------------------------------------------------------------------------------------
 
 
-def _fused(spark, d) -> tuple[R.Index, DataFrame]:
+def _fused(spark, d) -> tuple[R.Index, R.Fused]:
     i = index(spark, d)
     return i, R.fuse(i, _with_vectors(spark, i.vectors), _with_vectors(spark, i.chunk_vectors), PARAMS)
 
 
 def fuse_hits(spark, d):
-    return _fused(spark, d)[1]
+    return _fused(spark, d)[1].hits
+
+
+def response_counts(spark, d):
+    """What a response says of its retrieval: matches of each path, and those under the floor."""
+    f = _fused(spark, d)[1]
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    rows = f.gates.join(f.counts, "qid", "left").select("qid", "closed", "lookup", "structured", *(zero(c) for c in ("matches", "keyword_matches", "chunk_matches", "below_floor")))
+    return rows.withColumn("in_context", F.least("matches", F.lit(PARAMS.context_max)))
+
+
+RERANK = A.Params(rerank_min=0.1)
+
+
+def _scorer(question, text):
+    """The offline scorer, which leaves texts whose length is divisible by seven without a score, as a service may."""
+    return F.when(F.length(text) % 7 != 0, R.overlap_scorer(question, text))
+
+
+def _reranked(spark, d) -> tuple[R.Index, R.Fused, DataFrame]:
+    i, f = _fused(spark, d)
+    return i, f, R.rerank(f.hits, questions(spark), i.letters, i.passages, _scorer, RERANK)
 
 
 def rerank_prune(spark, d):
-    i, hits = _fused(spark, d)
-    return R.rerank(hits, questions(spark), i.letters, p=A.Params(rerank_min=0.1)).select("qid", "id", "rank", "keyword", "rerank")
+    return _reranked(spark, d)[2].select("qid", "id", "rank", "keyword", "rerank")
+
+
+def response_chat(spark, d):
+    i, _, hits = _reranked(spark, d)
+    return R.response_chat(hits, i, PARAMS)
+
+
+def response_retrieve(spark, d):
+    i, _, hits = _reranked(spark, d)
+    return R.response_retrieve(hits, i, PARAMS)
+
+
+def sources_split(spark, d):
+    """Letters the model saw and further candidates, per question."""
+    cited, extra = R.cited_and_extra(response_chat(spark, d))
+    return cited.withColumn("part", F.lit("cited")).unionByName(extra.withColumn("part", F.lit("extra"))).groupBy("qid", "part").agg(F.count("*").alias("letters"), F.min("rank").alias("first"))
+
+
+def calibration(spark, d):
+    """Rerank scores of letters found by similarity alone: quantiles without interpolation over all questions."""
+    return E.floor_quantile(R.embedding_only(response_retrieve(spark, d)).withColumn("run", F.lit("all")), "rerank", ["run"], [0.1, 0.5, 0.9])
 
 
 def context_blocks(spark, d):
-    i, hits = _fused(spark, d)
+    i, f = _fused(spark, d)
     matched = M.subject_candidates(_q(spark), i.subjects).filter("kept")
-    return R.context(hits, i.letters, matched, PARAMS)
+    return R.context(f.hits, i, matched, PARAMS)
+
+
+def answers(spark, d):
+    """Answers of the offline model to all questions, through both guards."""
+    i, f = _fused(spark, d)
+    matched = M.subject_candidates(_q(spark), i.subjects).filter("kept")
+    context = R.prompt(R.context(f.hits, i, matched, PARAMS))
+    in_order = lambda c: F.transform(F.sort_array(F.collect_list(F.when(c, F.struct("rank", "id")))), lambda x: x["id"])
+    seen = F.col("rank") <= PARAMS.context_max
+    known = f.hits.groupBy("qid").agg(F.collect_list("id").alias("ids"), in_order(F.col("keyword") & seen).alias("evidence"))
+    rows = _q(spark).select("qid", "text", "statistic").join(known, "qid", "left").join(context, "qid", "left")
+    return W.answers(rows.withColumn("history", F.array().cast("array<struct<role:string,content:string>>")), W.listing, p=PARAMS)
+
+
+REQUESTS = [("r1", "Wer schrieb?"), ("r2", ""), ("r3", None), ("r4", " ")]
+
+
+def requests_refused(spark, d):
+    return W.validated(spark.createDataFrame(REQUESTS, "rid string, message string"))[1]
+
+
+FOLLOW_UPS = [("f1", "Und 1563?", "Frage: Wer?"), ("f2", "Und an wen?", None), ("f3", "Mehr?", "zwei\nZeilen"), ("f4", "Wann?", "fehlt")]
+
+
+def rewritten(spark, d):
+    """Follow-up questions through an offline model that sets the last line of the transcript before them, gives two lines
+    where there are two, and fails on one."""
+
+    def model(transcript: str, question: str) -> str:
+        if transcript == "fehlt":
+            raise W.ServiceError("unreachable")
+        return f"{transcript} {question}"
+
+    return W.rewritten(spark.createDataFrame(FOLLOW_UPS, "qid string, text string, transcript string"), model)
 
 
 def context_prompt(spark, d):
@@ -290,10 +414,11 @@ def refusal_guard(spark, d):
     return R.refusal_guard(_answers(spark))
 
 
-NAMES = """etl_unwrap_default etl_resolve_labels etl_abstract etl_embed_text etl_year_counts etl_visibility etl_last_row_wins etl_fulltext
+NAMES = """etl_unwrap_default etl_resolve_labels etl_abstract etl_kinds etl_destination etl_servable etl_embed_text etl_year_counts etl_visibility etl_last_row_wins etl_fulltext
 text_normalize text_stems text_subject_forms postings_subject postings_person postings_stem stem_text_phrase chunk_documents chunk_unpivot
 question_features match_subject_forms match_subjects match_persons match_years match_ids match_texts gates cosine_top30 cosine_expression chunk_best
-dedup_by_score fuse_hits rerank_prune context_blocks context_prompt history_clip history_transcript citation_guard refusal_guard""".split()
+dedup_by_score question_similarity fuse_hits response_counts rerank_prune response_chat response_retrieve sources_split calibration context_blocks context_prompt
+answers requests_refused rewritten history_clip history_transcript citation_guard refusal_guard""".split()
 QUERIES = {n: globals()[n] for n in NAMES}
 
 # --- SQL --------------------------------------------------------------------------------------------------------------
@@ -316,10 +441,16 @@ _BASE = (S.CORPUS, S.FULLTEXT, S.LABELS)
 _QV = f"""qv AS (SELECT qid, embedding AS vector FROM (SELECT *, row_number() OVER (ORDER BY qid) AS n FROM q0) JOIN (SELECT *, row_number() OVER (ORDER BY vec_no) AS n FROM lv) USING (n)),
 qc AS (SELECT qid, embedding AS vector FROM (SELECT *, row_number() OVER (ORDER BY qid) AS n FROM q0) JOIN (SELECT *, row_number() OVER (ORDER BY vec_no) AS n FROM cv) USING (n))"""
 _COS = "round(list_cosine_similarity(v.embedding::DOUBLE[], w.vector::DOUBLE[]), 6)"
-_SCORES = f"""sco AS (SELECT qid, id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM (SELECT w.qid, v.id, {_COS} AS score FROM lv v JOIN pub USING (id), qv w)),
-cs AS (SELECT w.qid, v.letterid AS id, v.chunkid, v.kind, {_COS} AS score FROM cv v, qc w),
-cb AS (SELECT qid, id, chunk_score, chunkid, kind FROM (SELECT qid, c.id, score AS chunk_score, chunkid, kind, row_number() OVER (PARTITION BY qid, c.id ORDER BY score DESC, chunkid) AS r FROM (
-  SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, chunkid) AS rank FROM cs) c JOIN pub ON c.id = pub.id WHERE rank <= {PARAMS.chunk_top_k}) WHERE r = 1)"""
+
+
+def _scores(letters: str = "qv", chunks: str = "qc") -> str:
+    return f"""sco AS (SELECT qid, id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM (SELECT w.qid, v.id, {_COS} AS score FROM lv v JOIN pub USING (id), {letters} w)),
+cs AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, chunkid) AS rank FROM (SELECT w.qid, v.letterid AS id, v.chunkid, v.kind, {_COS} AS score FROM cv v, {chunks} w)),
+cb AS (SELECT qid, id, chunk_score, chunkid, kind FROM (SELECT qid, c.id, score AS chunk_score, chunkid, kind, row_number() OVER (PARTITION BY qid, c.id ORDER BY score DESC, chunkid) AS r FROM cs c JOIN pub ON c.id = pub.id WHERE rank <= {PARAMS.chunk_top_k}) WHERE r = 1)"""
+
+
+_SCORES = _scores()
+_SET = tuple(f"{n} AS (SELECT vec_no::VARCHAR AS qid, embedding AS vector FROM {t} WHERE vec_no % {EVERY} = 0)" for n, t in (("sq", "lv"), ("sc0", "cv")))
 _GATES = """ga AS (SELECT qid, statistic OR (len(ids) > 0 AND qid NOT IN (SELECT qid FROM im)) AS closed, len(ids) > 0 AND qid IN (SELECT qid FROM im) AS lookup,
   qid IN (SELECT qid FROM im) OR (NOT (len(ids) > 0 AND qid IN (SELECT qid FROM im)) AND (qid IN (SELECT qid FROM ym) OR qid IN (SELECT qid FROM pm WHERE exact))) AS structured FROM q)"""
 _MATCH = (S.features(_VALUES), S.SUBJECT_POSTINGS, S.PERSONS, S.STEM_TEXT, S.SUBJECTS, S.PERSON_MATCH, S.YEARS, S.IDS, S.TEXTS, _GATES)
@@ -333,24 +464,45 @@ wa AS (SELECT qid, structured, CASE WHEN structured THEN 0 WHEN qid IN (SELECT q
 ne AS (SELECT qid, id FROM sco JOIN wa USING (qid) WHERE rank <= k),
 bc AS (SELECT qid, id FROM (SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY chunk_score DESC, chunkid) AS r FROM cb JOIN wa USING (qid) WHERE NOT structured AND chunk_score >= {PARAMS.chunk_min_score}) WHERE r <= {PARAMS.chunk_extra_k}),
 ev2 AS (SELECT qid, id FROM kw UNION SELECT qid, id FROM ne UNION SELECT qid, id FROM bc),
-hi0 AS (SELECT e.qid, e.id, kw.id IS NOT NULL AS keyword, coalesce(specificity, 0) AS specificity, coalesce(s.score, 0.0) AS cosine, greatest(coalesce(s.score, 0.0), cb.chunk_score) AS score, cb.chunkid, cb.kind AS chunk_kind,
+hi1 AS (SELECT e.qid, e.id, kw.id IS NOT NULL AS keyword, bc.id IS NOT NULL AS by_chunk, coalesce(specificity, 0) AS specificity, coalesce(s.score, 0.0) AS cosine, greatest(coalesce(s.score, 0.0), cb.chunk_score) AS score, cb.chunkid, cb.kind AS chunk_kind,
     CASE WHEN kw.id IS NOT NULL THEN array_to_string(list_transform(paths, lambda o: ['Schlagwort', 'Person', 'Jahr', 'Nummer', 'Text'][o]), ', ') WHEN bc.id IS NOT NULL THEN 'Passage ' || cb.kind ELSE 'Embedding' END AS reasons
-  FROM ev2 e LEFT JOIN kw ON kw.qid = e.qid AND kw.id = e.id LEFT JOIN bc ON bc.qid = e.qid AND bc.id = e.id LEFT JOIN sco s ON s.qid = e.qid AND s.id = e.id LEFT JOIN cb ON cb.qid = e.qid AND cb.id = e.id
-  WHERE kw.id IS NOT NULL OR bc.id IS NOT NULL OR coalesce(s.score, 0.0) >= {PARAMS.min_score}),
-hi AS (SELECT * EXCLUDE cosine, row_number() OVER (PARTITION BY qid ORDER BY keyword DESC, specificity DESC, score DESC, cosine DESC, id) AS rank FROM hi0)"""
+  FROM ev2 e LEFT JOIN kw ON kw.qid = e.qid AND kw.id = e.id LEFT JOIN bc ON bc.qid = e.qid AND bc.id = e.id LEFT JOIN sco s ON s.qid = e.qid AND s.id = e.id LEFT JOIN cb ON cb.qid = e.qid AND cb.id = e.id),
+hi2 AS (SELECT *, keyword OR by_chunk OR cosine >= {PARAMS.min_score} AS stays FROM hi1), hi0 AS (SELECT * EXCLUDE (by_chunk, stays) FROM hi2 WHERE stays),
+hi AS (SELECT * EXCLUDE (cosine), row_number() OVER (PARTITION BY qid ORDER BY keyword DESC, specificity DESC, score DESC, cosine DESC, id) AS rank FROM hi0)"""
 _ALL = (*_BASE, *_MATCH, S.VECTORS, _QV, _SCORES, _FUSE)
-_RERANK = f"""ex AS (SELECT h.qid, h.id, h.rank AS old, q0.text AS question, substr(concat_ws(chr(10), titel, regest), 1, 1500) AS body FROM (
-  SELECT *, row_number() OVER (PARTITION BY qid ORDER BY rank) AS n FROM hi WHERE NOT keyword) h JOIN q0 USING (qid) JOIN pub ON pub.id = h.id WHERE n <= {A.DEFAULT.rerank_max}),
-ex2 AS (SELECT qid, id, old, round(len(list_intersect(a, b)) / len(a), 6) AS rerank FROM (SELECT qid, id, old, list_distinct({S.stems('question')}) AS a, {S.stems('body')} AS b FROM ex)),
-rr AS (SELECT qid, id, TRUE AS keyword, NULL::DOUBLE AS rerank, rank AS old FROM hi WHERE keyword UNION ALL SELECT qid, id, FALSE, rerank, old FROM ex2 WHERE rerank >= 0.1)"""
-_CONTEXT = f"""ctx0 AS (SELECT qid, rank, id, p.* EXCLUDE id, reasons, coalesce(forms, []) AS forms FROM hi JOIN pub p USING (id) LEFT JOIN (SELECT qid, list(form) AS forms FROM sc2 WHERE kept GROUP BY qid) USING (qid) WHERE rank <= {PARAMS.context_max}),
-ctx1 AS (SELECT *, list_filter(subjects, lambda t: list_has_any({S.subject_forms('t')}, forms)) AS hit FROM ctx0),
+_TEXTS = f"""wt AS (SELECT id || '__' || kind || '__' || printf('%03d', seq) AS chunkid, trim(substr(t, b + 1, e - b)) AS passage FROM win)"""
+_RERANK = f"""ex0 AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY rank) AS n FROM hi WHERE NOT keyword),
+ex AS (SELECT h.qid, h.id, h.rank AS old, q0.text AS question, substr(concat_ws(chr(10), nullif(titel, ''), nullif(regest, ''), nullif(passage, '')), 1, 1500) AS body
+  FROM ex0 h JOIN q0 USING (qid) LEFT JOIN pub ON pub.id = h.id LEFT JOIN wt ON wt.chunkid = h.chunkid WHERE n <= {A.DEFAULT.rerank_max}),
+ex2 AS (SELECT qid, id, old, CASE WHEN length(body) % 7 <> 0 THEN round(len(list_intersect(a, b)) / len(a), 6) END AS rerank FROM (SELECT *, list_distinct({S.stems('question')}) AS a, {S.stems('body')} AS b FROM ex)),
+rr0 AS (SELECT *, NULL::DOUBLE AS rerank FROM hi WHERE keyword UNION ALL SELECT hi.*, ex2.rerank FROM ex2 JOIN hi ON hi.qid = ex2.qid AND hi.id = ex2.id WHERE coalesce(ex2.rerank, 9) >= {RERANK.rerank_min}),
+rr AS (SELECT * EXCLUDE (rank), row_number() OVER (PARTITION BY qid ORDER BY keyword DESC, CASE WHEN keyword THEN 0 ELSE coalesce(rerank, 0) END DESC, rank) AS rank FROM rr0)"""
+_DESCRIBED = f"""ring AS (SELECT id, list_sort(list_distinct(list(v))) AS variants FROM (SELECT id, unnest(subjects) AS label FROM pub) t JOIN (SELECT short, unnest(variants) AS v FROM lab) l ON t.label = l.short GROUP BY id),
+rawid AS (SELECT id, first(places_sent ORDER BY brief_id DESC) AS places_sent, first(date_display ORDER BY brief_id DESC) AS dd FROM raw GROUP BY id),
+pubd AS (SELECT p.*, coalesce(places_sent, []) AS places_sent, coalesce(variants, []) AS variants, coalesce(nullif(dd, ''), date_iso) AS date_display FROM pub p LEFT JOIN rawid USING (id) LEFT JOIN ring USING (id)),
+sr AS (SELECT r.qid, r.rank, r.id, p.url, round(r.score, 3) AS score, round(r.rerank, 3) AS rerank, r.reasons, r.chunk_kind, w.passage, p.titel, p.date_display, p.senders, p.recipients, p.regest, p.synthetic, p.sichtbar,
+  coalesce(f.volltext IS NOT NULL, FALSE) AS has_full_text, r.rank <= {PARAMS.context_max} AS in_context FROM rr r JOIN pubd p USING (id) LEFT JOIN wt w ON w.chunkid = r.chunkid LEFT JOIN ft f ON f.id = r.id AND f.sichtbar = 'offen')"""
+
+
+def _fits(c: str) -> str:
+    return f"list_filter({c}, lambda t: list_has_any({S.subject_forms('t')}, forms))"
+
+
+_CONTEXT = f"""ctx0 AS (SELECT qid, rank, id, p.* EXCLUDE id, reasons, coalesce(forms, []) AS forms, w.passage, hi.chunk_kind, f.volltext, f.erlaeuterung FROM hi JOIN pubd p USING (id)
+  LEFT JOIN (SELECT qid, list(form) AS forms FROM sc2 WHERE kept GROUP BY qid) USING (qid) LEFT JOIN wt w ON w.chunkid = hi.chunkid LEFT JOIN ft f ON f.id = hi.id AND f.sichtbar = 'offen' WHERE rank <= {PARAMS.context_max}),
+ctx1 AS (SELECT *, list_concat({_fits('subjects')}, {_fits('variants')}) AS hit FROM ctx0),
 ctx2 AS (SELECT *, list_filter(subjects, lambda t: NOT list_contains(hit, t)) AS other, concat_ws(' | ', CASE WHEN len(senders) > 0 THEN 'Von: ' || array_to_string(senders, ', ') END,
-  CASE WHEN len(recipients) > 0 THEN 'An: ' || array_to_string(recipients, ', ') END, CASE WHEN date_iso <> '' THEN 'Datum: ' || date_iso END) AS who FROM ctx1),
+  CASE WHEN len(recipients) > 0 THEN 'An: ' || array_to_string(recipients, ', ') END, CASE WHEN date_display <> '' THEN 'Datum: ' || date_display END, CASE WHEN len(places_sent) > 0 THEN 'Absendeort: ' || array_to_string(places_sent, ', ') END) AS who FROM ctx1),
 ctx AS (SELECT qid, rank, id, concat_ws(chr(10), '[' || rank || '] Brief ' || id || ' (' || url || ')', nullif(who, ''), 'Treffer: ' || reasons,
   CASE WHEN len(hit) > 0 THEN 'Treffer-Schlagwort: ' || array_to_string(hit, '; ') END,
   CASE WHEN len(other) > 0 THEN CASE WHEN len(hit) > 0 THEN 'Weitere Schlagworte: ' ELSE 'Schlagworte: ' END || array_to_string(other[1:{PARAMS.tags_shown}], '; ') || CASE WHEN len(other) > {PARAMS.tags_shown} THEN ' (+' || (len(other) - {PARAMS.tags_shown}) || ')' ELSE '' END END,
-  CASE WHEN incipit <> '' THEN 'Incipit: "' || incipit || '"' END, regest, CASE WHEN synthetic THEN '(Automatisch erzeugt)' END) AS block FROM ctx2)"""
+  CASE WHEN incipit <> '' THEN 'Incipit: "' || incipit || '"' END, regest, CASE WHEN synthetic THEN '(Automatisch erzeugt)' END,
+  CASE WHEN passage IS NOT NULL THEN CASE WHEN chunk_kind = 'volltext' THEN 'Transkription (Passage): ' ELSE 'Erläuterung (Passage): ' END || passage WHEN rank <= {PARAMS.excerpts} THEN 'Transkription (Auszug): ' || substr(volltext, 1, {PARAMS.excerpt_chars}) END,
+  CASE WHEN rank <= {PARAMS.excerpts} THEN 'Erläuterung: ' || erlaeuterung END) AS block FROM ctx2)"""
+_ANSWERS_SQL = f"""known AS (SELECT qid, array_to_string(list_transform(list(id ORDER BY rank)[1:3], lambda i: 'Brief ' || i), ', ') AS named, count_if(keyword AND rank <= {PARAMS.context_max}) AS evidence FROM hi GROUP BY qid)
+SELECT qid, CASE WHEN named IS NULL THEN CASE WHEN statistic THEN '{W.STATISTIC_ANSWER}' ELSE '{W.NOTHING_FOUND}' END
+  WHEN contains(text, 'Vorwürfe') AND evidence = 0 THEN 'Die vorliegenden Briefe enthalten dazu keine Informationen.' ELSE 'Dazu: ' || named || '.' END AS answer,
+  named IS NOT NULL AND contains(text, 'Waldstreit') AND NOT contains(text, 'Vorwürfe') AS citation_retry, named IS NOT NULL AND contains(text, 'Vorwürfe') AND evidence > 0 AS refusal_retry, NULL::VARCHAR AS error FROM q LEFT JOIN known USING (qid)"""
 _SPACE = r"[\s\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
 _SIZE, _HALF, _LAP = A.DEFAULT.chunk_size, A.DEFAULT.chunk_size // 2, A.DEFAULT.chunk_overlap
 def _stop(b: str) -> str:
@@ -369,6 +521,16 @@ _ANSWERS = ", ".join("('{}', '{}', {}::VARCHAR[])".format(a, t.replace("'", "''"
 _CLIP = f"""hc AS (SELECT conv, turn, role, substr(trim(content), 1, 700) AS content FROM (SELECT *, row_number() OVER (PARTITION BY conv ORDER BY turn DESC) AS n FROM (VALUES {_TURNS}) t(conv, turn, role, content)
   WHERE role IN ('user', 'assistant') AND trim(content) <> '') WHERE n <= 6)"""
 
+_TEXT = (S.FULLTEXT, _WIN, _TEXTS)
+_FULL = (S.CORPUS, _LETTERS, _RAW, *_TEXT, S.LABELS, *_MATCH, S.VECTORS, _QV, _SCORES, _FUSE)
+_WORDS = S.words("text")
+_HASHED = f"""etx AS (SELECT id, concat_ws(chr(10), titel, CASE WHEN len(subjects) > 0 THEN 'Schlagworte: ' || array_to_string(subjects, ', ') END, regest, CASE WHEN incipit <> '' THEN 'Incipit: ' || incipit END) AS text FROM pub),
+ew AS (SELECT 'l' AS side, id, unnest({_WORDS}) AS w FROM etx UNION ALL SELECT 'q', qid, unnest({_WORDS}) FROM q0),
+ev0 AS (SELECT side, id, ('0x' || substr(md5(w), 1, 8))::BIGINT % {embedding.DIM} AS slot, sum(CASE WHEN substr(md5(w), 9, 1) >= '8' THEN 1 ELSE -1 END) AS x FROM ew GROUP BY ALL),
+en AS (SELECT side, id, sqrt(sum(x * x)) AS norm FROM ev0 GROUP BY ALL HAVING sum(x * x) > 0),
+ed AS (SELECT b.id AS qid, a.id, sum(a.x * b.x) AS dot FROM ev0 a JOIN ev0 b USING (slot) WHERE a.side = 'l' AND b.side = 'q' GROUP BY ALL),
+es AS (SELECT b.id AS qid, a.id, round(coalesce(dot, 0) / (a.norm * b.norm), 6) AS score FROM (FROM en WHERE side = 'l') a CROSS JOIN (FROM en WHERE side = 'q') b LEFT JOIN ed ON ed.qid = b.id AND ed.id = a.id)"""
+
 SQL = {
     "etl_unwrap_default": _with(_LETTERS, _RAW, then="SELECT * EXCLUDE s FROM raw"),
     "etl_resolve_labels": _with(_LETTERS, _RAW, S.LABELS, _RESOLVED, then="SELECT * FROM res"),
@@ -376,6 +538,10 @@ SQL = {
         _LETTERS, _RAW, S.LABELS, _RESOLVED,
         then=f"SELECT id, {S.abstract('textsorte', 'senders', 'recipients', 'places_sent', 'd', 'l')} AS abstract FROM (SELECT *, coalesce(date_display, date_iso) AS d, coalesce(labels, []) AS l FROM raw LEFT JOIN res USING (brief_id))",
     ),
+    "etl_kinds": _with(_LETTERS, _RAW, S.LABELS, then=f"""SELECT brief_id, FALSE AS coded, textsorte FROM raw UNION ALL SELECT brief_id, TRUE, CASE WHEN regexp_matches(k, '^[0-9a-f]{{24}}$') THEN short ELSE k END
+  FROM (SELECT brief_id, {_id('l[1]')} AS k FROM (SELECT brief_id, {_list(_member('s', 'sachen'))} AS l FROM raw)) LEFT JOIN lab ON ref_id = k WHERE k IS NOT NULL"""),
+    "etl_destination": _with(_LETTERS, _RAW, then=f"SELECT id, {S.abstract('textsorte', 'senders', 'recipients', 'places_sent', 'date_iso', '[]::VARCHAR[]', 'recipients[1:1]')} AS abstract FROM raw"),
+    "etl_servable": _with(S.CORPUS, then="SELECT id, sichtbar FROM let WHERE sichtbar IS DISTINCT FROM 'intern'"),
     "etl_embed_text": _with(S.CORPUS, then="SELECT id, concat_ws(chr(10), titel, CASE WHEN len(subjects) > 0 THEN 'Schlagworte: ' || array_to_string(subjects, ', ') END, regest, CASE WHEN incipit <> '' THEN 'Incipit: ' || incipit END) AS text, synthetic FROM let"),
     "etl_year_counts": _with(S.CORPUS, then="SELECT left(date_iso, 4) AS year, count(*) AS letters FROM let GROUP BY 1"),
     "etl_visibility": _with(S.CORPUS, then="SELECT count(*) AS letters, count_if(sichtbar = 'offen') AS offen, count_if(sichtbar = 'intern') AS intern, count_if(sichtbar IS DISTINCT FROM 'intern') AS not_intern, count_if(synthetic) AS synthetic FROM let"),
@@ -398,14 +564,23 @@ SQL = {
     "match_ids": _with(*_BASE, *_MATCH, then="SELECT * FROM im"),
     "match_texts": _with(*_BASE, *_MATCH, then="SELECT * FROM tm"),
     "gates": _with(*_BASE, *_MATCH, then="SELECT * FROM ga"),
-    "cosine_top30": _with(*_ALL, then="SELECT * FROM sco WHERE rank <= 30"),
-    "cosine_expression": _with(S.VECTORS, then="SELECT v.vec_no, round(list_cosine_similarity(v.embedding::DOUBLE[], w.embedding::DOUBLE[]), 6) AS score FROM lv v, (FROM lv ORDER BY vec_no LIMIT 1) w"),
-    "chunk_best": _with(*_ALL, then="SELECT * FROM cb"),
-    "dedup_by_score": _with(*_ALL, then="SELECT qid, id, chunkid, score FROM (SELECT *, row_number() OVER (PARTITION BY qid, id ORDER BY score DESC, chunkid) AS r FROM cs) WHERE r = 1"),
+    "cosine_top30": _with(S.CORPUS, S.VECTORS, *_SET, _scores("sq", "sc0"), then="SELECT * FROM sco WHERE rank <= 30"),
+    "cosine_expression": _with(S.VECTORS, then=f"SELECT v.vec_no, round(list_cosine_similarity(v.embedding::DOUBLE[], w.embedding::DOUBLE[]), 6) AS score FROM lv v JOIN lv w ON w.vec_no = v.vec_no - v.vec_no % {EVERY}"),
+    "chunk_best": _with(S.CORPUS, S.VECTORS, *_SET, _scores("sq", "sc0"), then="SELECT * FROM cb"),
+    "dedup_by_score": _with(S.CORPUS, S.VECTORS, *_SET, _scores("sq", "sc0"), then="SELECT qid, id, chunkid, score FROM (SELECT *, row_number() OVER (PARTITION BY qid, id ORDER BY score DESC, chunkid) AS r FROM cs WHERE rank <= 100) WHERE r = 1"),
+    "question_similarity": _with(S.CORPUS, S.features(_VALUES), _HASHED, then=f"SELECT * FROM (SELECT qid, id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM es) WHERE rank <= {PARAMS.top_k}"),
     "fuse_hits": _with(*_ALL, then="SELECT * FROM hi"),
-    "rerank_prune": _with(*_ALL, _RERANK, then="SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY keyword DESC, rerank DESC NULLS LAST, old) AS rank, keyword, rerank FROM rr"),
-    "context_blocks": _with(*_ALL, _CONTEXT, then="SELECT * FROM ctx"),
-    "context_prompt": _with(*_ALL, _CONTEXT, then="SELECT qid, string_agg(block, chr(10) || chr(10) ORDER BY rank) AS context FROM ctx GROUP BY qid"),
+    "response_counts": _with(*_ALL, then=f"SELECT *, least(matches, {PARAMS.context_max}) AS in_context FROM (SELECT ga.qid, closed, lookup, structured, count(*) FILTER (stays) AS matches, count(*) FILTER (keyword) AS keyword_matches, count(*) FILTER (by_chunk) AS chunk_matches, count(*) FILTER (NOT stays) AS below_floor FROM ga LEFT JOIN hi2 ON hi2.qid = ga.qid GROUP BY ALL)"),
+    "rerank_prune": _with(*_FULL, _RERANK, then="SELECT qid, id, rank, keyword, rerank FROM rr"),
+    "response_chat": _with(*_FULL, _RERANK, _DESCRIBED, then="SELECT qid, rank, id, url, score, rerank, reasons, chunk_kind AS passage_kind, passage, titel, date_display, senders, recipients, regest, synthetic AS regest_synthetic, sichtbar, NOT synthetic AS has_regest, has_full_text, in_context FROM sr"),
+    "response_retrieve": _with(*_FULL, _RERANK, _DESCRIBED, then="SELECT qid, rank, id, score, rerank, reasons, chunk_kind AS passage, sichtbar FROM sr"),
+    "sources_split": _with(*_FULL, _RERANK, _DESCRIBED, then="SELECT qid, CASE WHEN in_context THEN 'cited' ELSE 'extra' END AS part, count(*) AS letters, min(rank) AS first FROM sr GROUP BY ALL"),
+    "calibration": _with(*_FULL, _RERANK, _DESCRIBED, then="SELECT 'all' AS run, share, l[floor((len(l) - 1) * share)::BIGINT + 1] AS value FROM (SELECT list(rerank ORDER BY rerank) AS l FROM sr WHERE rerank IS NOT NULL AND (reasons = 'Embedding' OR starts_with(reasons, 'Passage '))), (SELECT unnest([0.1, 0.5, 0.9]) AS share)"),
+    "context_blocks": _with(*_FULL, _DESCRIBED.split(",\nsr AS")[0], _CONTEXT, then="SELECT * FROM ctx"),
+    "context_prompt": _with(*_FULL, _DESCRIBED.split(",\nsr AS")[0], _CONTEXT, then="SELECT qid, string_agg(block, chr(10) || chr(10) ORDER BY rank) AS context FROM ctx GROUP BY qid"),
+    "answers": _with(*_ALL, then="").rstrip() + ",\n" + _ANSWERS_SQL,
+    "requests_refused": "SELECT rid, 'Missing ''message'' string in request body.' AS error FROM (VALUES ('r2'), ('r3')) t(rid)",
+    "rewritten": "SELECT * FROM (VALUES ('f1', 'Frage: Wer? Und 1563?', TRUE), ('f2', 'Und an wen?', FALSE), ('f3', 'Mehr?', FALSE), ('f4', 'Wann?', FALSE)) t(qid, text, rewritten)",
     "history_clip": _with(_CLIP, then="SELECT * FROM hc"),
     "history_transcript": _with(_CLIP, then="SELECT conv, string_agg(CASE WHEN role = 'assistant' THEN 'Antwort: ' ELSE 'Frage: ' END || content, chr(10) ORDER BY turn) AS transcript FROM hc GROUP BY conv"),
     "citation_guard": f"SELECT aid, array_to_string(list_sort(c), ' ') AS cited, array_to_string(list_sort(list_filter(c, lambda x: NOT list_contains(sources, x))), ' ') AS invented, len(list_filter(c, lambda x: NOT list_contains(sources, x))) > 0 AS retry "

@@ -40,10 +40,10 @@ def last(table: str, key: str, order: str, where: str) -> str:
     return f"(SELECT * EXCLUDE k FROM (SELECT *, row_number() OVER (PARTITION BY {key} ORDER BY {order}) AS k FROM {table} WHERE {where}) WHERE k = 1)"
 
 
-def abstract(kind: str, senders: str, recipients: str, places: str, date: str, subjects: str) -> str:
+def abstract(kind: str, senders: str, recipients: str, places: str, date: str, subjects: str, received: str = "[]::VARCHAR[]") -> str:
     return (
         f"concat_ws(', ', concat_ws(' ', coalesce(nullif({kind}, ''), 'Brief'), CASE WHEN len({senders}) > 0 THEN 'von ' || array_to_string({senders}, ' und ') END, "
-        f"CASE WHEN len({recipients}) > 0 THEN 'an ' || array_to_string({recipients}, ' und ') END), CASE WHEN len({places}) > 0 THEN array_to_string({places}, ' / ') END, {date}) || '.' || "
+        f"CASE WHEN len({recipients}) > 0 THEN 'an ' || array_to_string({recipients}, ' und ') END), CASE WHEN len({places}) > 0 THEN array_to_string({places}, ' / ') WHEN len({received}) > 0 THEN 'Zielort ' || array_to_string({received}, ' / ') END, nullif({date}, '')) || '.' || "
         f"CASE WHEN len({subjects}) > 0 THEN ' Themen: ' || array_to_string({subjects}, ', ') || '.' ELSE '' END"
     )
 

@@ -1,4 +1,4 @@
-"""The incremental stream over the archive; SQL can't express it, so only its rows are checked, and tests check it."""
+"""The incremental stream over the archive. SQL says what has to be there when it is done."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from missiva.operators import archive as A
+from missiva.plans import sqltext as S
 from missiva.sources.tables import fresh_path
 from missiva.streaming import embedding
 
@@ -25,3 +26,4 @@ def stream_embed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"stream_embed": stream_embed}
+SQL = {"stream_embed": f"WITH {S.CORPUS}\nSELECT id, {embedding.DIM} AS dim FROM pub"}

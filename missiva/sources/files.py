@@ -2,20 +2,16 @@
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pandas as pd
+from pyarrow.fs import FileSystem
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-
-def _exists(spark: SparkSession, path: str) -> bool:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+from missiva.sources.tables import exists, hadoop
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
@@ -31,7 +27,7 @@ def count_lines(spark: SparkSession, path: str) -> int:
 
 def optional(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """The table at path, or an empty one of the schema where there is none."""
-    return spark.read.schema(schema).parquet(path) if _exists(spark, path) else spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(path) if exists(spark, path) else spark.createDataFrame([], schema)
 
 
 def read_fixtures(spark: SparkSession, folder: str, schema: str) -> DataFrame:
@@ -43,18 +39,20 @@ def read_fixtures(spark: SparkSession, folder: str, schema: str) -> DataFrame:
 def read_matrix(spark: SparkSession, path: str, dim: int, rows_per_task: int = 50_000) -> DataFrame:
     """(row, embedding) of a flat file of little-endian 32-bit floats, dim to a row. A cut last row is left out. Spark's
     binary reader holds a file in one piece, so ranges of it are listed and each task reads its own."""
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    size = p.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(p).getLen()
-    rows = size // (4 * dim)
+    fs, p = hadoop(spark, path)
+    rows = fs.getFileStatus(p).getLen() // (4 * dim)
     parts = max(1, -(-rows // rows_per_task))
     ranges = spark.range(0, rows, rows_per_task, parts)
+    place = fs.resolvePath(p).toString()  # with its scheme, so that every executor reads from the same store
 
     def load(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for start in b["id"]:
-                n = min(rows_per_task, rows - start)
-                flat = np.fromfile(path.removeprefix("file:"), "<f4", n * dim, offset=start * dim * 4)
-                yield pd.DataFrame({"row": np.arange(start, start + n), "embedding": list(flat.reshape(n, dim))})
+        store, inner = FileSystem.from_uri(place.replace("file:/", "file:///", 1) if place.startswith("file:/") and not place.startswith("file:///") else place)
+        with store.open_input_file(inner) as f:
+            for b in batches:
+                for start in b["id"]:
+                    n = min(rows_per_task, rows - start)
+                    flat = np.frombuffer(f.read_at(n * dim * 4, start * dim * 4), "<f4")
+                    yield pd.DataFrame({"row": np.arange(start, start + n), "embedding": list(flat.reshape(n, dim))})
 
     return ranges.mapInPandas(load, "row bigint, embedding array<float>")
 
@@ -88,18 +86,19 @@ def write_once(df: DataFrame, path: str) -> None:
 
 
 def write_gold(df: DataFrame, path: str) -> None:
-    """One pretty JSON object per gold set, of which there are a few dozen."""
-    rows = [r.asDict(recursive=True) for r in df.collect()]
-    text = "\n".join(json.dumps(r, ensure_ascii=False, indent=2, default=str) for r in rows)
-    df.sparkSession.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(path)
+    """Gold sets, questions and the like as pretty JSON objects, one a row, written where the rows are."""
+    df.select(F.to_json(F.struct(*df.columns), {"pretty": "true", "ignoreNullFields": "false"}).alias("value")).write.mode("overwrite").text(path)
 
 
-def review_sheet(measures: DataFrame, worst: int = 5) -> str:
-    """Markdown table of the questions with the lowest recall, for a human reviewer."""
-    rows = measures.orderBy("recall", "qid").limit(worst).collect()
-    head = "| question | recall | precision |\n|---|---|---|\n"
-    return head + "".join(f"| {r['qid']} | {r['recall']:.3f} | {r['precision']:.3f} |\n" for r in rows)
+def read_gold(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Such objects again: a file may hold several, each beginning with a brace alone in its line."""
+    rows = spark.read.option("lineSep", "\n}").text(path).select(F.concat("value", F.lit("\n}")).alias("value"))
+    return rows.filter(F.trim(F.regexp_replace("value", r"[\s}]", "")) != "").select(F.from_json("value", schema).alias("x")).select("x.*")
 
 
-def union_all(frames: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, frames)
+def review_sheet(rows: DataFrame) -> DataFrame:
+    """rows(qid, question, answer, sources array<string>): (qid, sheet), a question's part of a Markdown sheet for a human
+    reviewer: question, answer, the first ten sources, and a line to grade it."""
+    shown = F.array_join(F.transform(F.slice(F.coalesce("sources", F.array().cast("array<string>")), 1, 10), lambda s: F.concat(F.lit("- Brief "), s)), "\n")
+    sheet = F.concat_ws("\n\n", F.concat(F.lit("## "), "qid"), F.concat(F.lit("**"), "question", F.lit("**")), F.coalesce("answer", F.lit("(keine Antwort)")), F.nullif(shown, F.lit("")), F.lit("Note: ____"))
+    return rows.select("qid", sheet.alias("sheet"))

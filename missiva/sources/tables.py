@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
+import hashlib
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -17,16 +20,53 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which all executors see; only where it is unset (tests) a local one."""
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    """The folder that all executors see: spark.checkpoint.dir, else one set by setCheckpointDir. Where neither is set, as in
+    tests, a session on one machine gets a local one; a cluster has to name its own."""
+    sc = spark.sparkContext
+    folder = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if folder:
         return folder.rstrip("/")
-    folder = spark.conf.get("missiva.test.checkpoint.dir", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="missiva-")
-        spark.conf.set("missiva.test.checkpoint.dir", folder)
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder
+    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors see")
+    sc.setCheckpointDir(tempfile.mkdtemp(prefix="missiva-"))
+    return sc.getCheckpointDir()
+
+
+def hadoop(spark: SparkSession, path: str):
+    """(file system, path) of Hadoop, whatever the store."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, p = hadoop(spark, path)
+    return fs.exists(p)
+
+
+def fingerprint(spark: SparkSession, paths: list[str], *more) -> str:
+    """A name for the state of these files: paths, lengths and times, and whatever else a result depends on."""
+    seen = []
+    for path in paths:
+        fs, p = hadoop(spark, path)
+        if fs.exists(p):
+            files = fs.listStatus(p)
+            seen += [(f.getPath().toString(), f.getLen(), f.getModificationTime()) for f in files]
+    return hashlib.sha1(repr((sorted(seen), more)).encode()).hexdigest()[:20]
+
+
+def stored(spark: SparkSession, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """The table kept under this name in the shared folder; built and written if it isn't there in full."""
+    path = f"{shared_dir(spark)}/{name}"
+    if not exists(spark, f"{path}/_SUCCESS"):
+        build().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
+def side_by_side(jobs: dict[str, Callable[[], DataFrame]]) -> dict[str, DataFrame]:
+    """Results of jobs that don't need each other: small ones leave most cores idle."""
+    with ThreadPoolExecutor(max_workers=max(1, len(jobs))) as pool:
+        running = {name: pool.submit(inheritable_thread_target(job)) for name, job in jobs.items()}
+        return {name: job.result() for name, job in running.items()}
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -36,16 +76,37 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def cut_all(builds: dict[str, Callable[[], DataFrame]]) -> dict[str, DataFrame]:
-    """The same for several tables that don't need each other, side by side: small jobs leave most cores idle."""
-    if builds:
-        shared_dir(SparkSession.active())
-    with ThreadPoolExecutor(max_workers=max(1, len(builds))) as pool:
-        jobs = {name: pool.submit(inheritable_thread_target(lambda b=build: cut(b()))) for name, build in builds.items()}
-        return {name: job.result() for name, job in jobs.items()}
+    """The same for several tables that don't need each other."""
+    return side_by_side({name: lambda b=build: cut(b()) for name, build in builds.items()})
 
 
 def fresh_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    """A folder of its own in the shared one, removed when the program ends."""
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+
+    def remove() -> None:
+        with contextlib.suppress(Exception):  # the session may be gone
+            fs, p = hadoop(spark, path)
+            fs.delete(p, True)
+
+    atexit.register(remove)
+    return path
+
+
+def numbered(df: DataFrame, keys: list[str], order: list, name: str) -> DataFrame:
+    """Adds the row's place, from 1, within its key, by an order that leaves no ties. Rows are sorted by ranges of key and
+    order over all tasks, so that a key with a third of the rows is no single task; the only small tables are the rows of
+    each key in each range."""
+    sorted_ = cut(df.repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order).withColumn("__part", F.spark_partition_id()))
+    place = Window.partitionBy("__part", *keys).orderBy(*order)
+    sizes = sorted_.groupBy("__part", *keys).agg(F.count("*").alias("__n"))
+    before = Window.partitionBy(*keys).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select(*(F.col(k).alias(f"__{k}") for k in keys), F.col("__part").alias("__p"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+    same = F.col("__part") == F.col("__p")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"__{k}"))
+    rows = sorted_.withColumn("__place", F.row_number().over(place)).join(starts, same)
+    return rows.select(*df.columns, (F.col("__place") + F.col("__before")).cast("int").alias(name))
 
 
 def latest(df: DataFrame, keys: list[str], order: list) -> DataFrame:

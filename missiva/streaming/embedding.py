@@ -2,42 +2,69 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
 import pandas as pd
-import xxhash
+import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from missiva.sources.tables import latest
 
 DIM = 64
+#: Texts handed to the model at once.
+BATCH = 32
+_SIGNS = regex.compile(r"[^\p{L}\p{N}]+")
+
+
+class HashedWords:
+    """Offline stand-in for a text model: signed counts of hashed words, not normalised; an empty text gives zeros."""
+
+    def __init__(self, dim: int):
+        self.dim, self.places = dim, {}
+
+    def _place(self, word: str) -> tuple[int, int]:
+        h = hashlib.md5(word.encode()).hexdigest()
+        return int(h[:8], 16) % self.dim, 1 if h[8] >= "8" else -1
+
+    def encode(self, texts: list[str]) -> np.ndarray:
+        out = np.zeros((len(texts), self.dim), np.float32)
+        for i, t in enumerate(texts):
+            for w in _SIGNS.sub(" ", (t or "").lower()).split():
+                if w not in self.places:
+                    if len(self.places) > 200_000:
+                        self.places.clear()
+                    self.places[w] = self._place(w)
+                at, sign = self.places[w]
+                out[i, at] += sign
+        return out
 
 
 @cache
-def _model(dim: int) -> int:
-    """Stands for a model that a worker loads once and keeps."""
-    return dim
+def model(dim: int) -> HashedWords:
+    """The model of this process: made by the first text that needs it, then kept for all batches and queries."""
+    return HashedWords(dim)
 
 
 def embed_batches(batches: Iterator[pd.Series], dim: int = DIM) -> Iterator[pd.Series]:
-    """Offline stand-in for a text model: signed counts of hashed words, unit length; an empty text gives zeros."""
-    size = _model(dim)
+    """Vectors of texts, in order, BATCH at a time; a model that gives another number of vectors is an error."""
     for texts in batches:
-        out = []
-        for t in texts:
-            v = np.zeros(size, np.float32)
-            for w in (t or "").lower().split():
-                h = xxhash.xxh64_intdigest(w)
-                v[h % size] += 1 if h >> 63 else -1
-            n = np.linalg.norm(v)
-            out.append((v / n if n else v).tolist())
+        out: list[list[float]] = []
+        for lo in range(0, len(texts), BATCH):
+            part = texts.iloc[lo : lo + BATCH].tolist()
+            got = model(dim).encode(part)
+            if got.shape != (len(part), dim):
+                raise ValueError(f"{got.shape} instead of {(len(part), dim)}")
+            out += got.tolist()
         yield pd.Series(out)
 
 
 def embed(text: Column, dim: int = DIM) -> Column:
+    """The text's vector; the same for letters, passages and questions."""
+
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield from embed_batches(batches, dim)
 

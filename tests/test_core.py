@@ -2,6 +2,7 @@
 
 import datetime as dt
 import json
+from types import SimpleNamespace
 
 import numpy as np
 import pytest
@@ -9,14 +10,16 @@ from pyspark.sql import functions as F
 
 from missiva.functions import text as T
 from missiva.functions import variants as V
+from missiva.operators import answer as W
 from missiva.operators import archive as A
 from missiva.operators import evaluate as E
 from missiva.operators import match as M
 from missiva.operators import nested as N
 from missiva.operators import orphans as O
 from missiva.operators import retrieve as R
+from missiva.operators import vectors as X
 from missiva.sources import files
-from missiva.sources.tables import latest
+from missiva.sources.tables import latest, numbered, shared_dir
 from missiva.streaming import embedding
 
 KEY = "50c1a0003c7be9d24c000012"
@@ -146,8 +149,118 @@ def test_generic_forms_are_dropped(spark):
     assert [(r.form, r.kept) for r in M.subject_candidates(q, postings).collect()] == [("brief ordnung", False)]
 
 
-def test_rewrite_and_guards(spark):
-    assert column(spark, ["Wer?", "a\nb", "", None, "x" * 401], R.accepts_rewrite) == [True, False, False, False, False]
+def test_rewrites_are_accepted_or_not(spark):
+    assert column(spark, ["Wer?", "a\nb", "", None, "x" * 401], W.accepts_rewrite) == [True, False, False, False, False]
+
+
+def test_answers_and_guards(spark):
+    """A transport failure is asked again once, a refused request isn't; either guard asks again once; the error says how
+    many letters were found."""
+    rows = [
+        ("busy", "t", False, "c", ["1"], []), ("down", "t", False, "c", ["1", "2"], []), ("denied", "t", False, "c", ["1"], []), ("invents", "t", False, "c", ["10001"], []),
+        ("refuses", "t", False, "c", ["10001"], ["10001"]), ("none", "t", False, None, None, None), ("counts", "t", True, None, [], []), ("plain", "t", False, "c", ["1"], None),
+    ]
+    questions = spark.createDataFrame([(r[0], r[0], *r[2:], None) for r in rows], "qid string, text string, statistic boolean, context string, ids array<string>, evidence array<string>, history array<struct<role:string,content:string>>")
+    calls = {}
+
+    def model(messages):
+        q = messages[0]["content"].rsplit("Frage: ", 1)[1]
+        calls[q] = calls.get(q, 0) + 1
+        if q == "busy" and calls[q] == 1:
+            raise W.ServiceError("busy", 429)
+        if q == "down":
+            raise W.ServiceError("ECONNRESET")
+        if q == "denied":
+            raise W.ServiceError("no", 401)
+        if q == "invents" and len(messages) == 1:
+            return "Brief 99999"
+        if q == "refuses" and len(messages) == 1:
+            return "Keine der Quellen nennt es."
+        return f"{calls[q]} Brief 10001" if q in ("invents", "refuses") else str(calls[q])
+
+    got = {r.qid: (r.answer, r.citation_retry, r.refusal_retry, r.error) for r in W.answers(questions, model, pause=0).collect()}
+    assert got["busy"] == ("2", False, False, None) and got["plain"] == ("1", False, False, None)
+    assert got["invents"] == ("2 Brief 10001", True, False, None) and got["refuses"] == ("2 Brief 10001", False, True, None)
+    assert got["down"][0] is None and "2 Briefe" in got["down"][3] and "401" in got["denied"][3]
+    assert got["none"][0] == W.NOTHING_FOUND and got["counts"][0] == W.STATISTIC_ANSWER
+    assert {r.answer for r in W.answers(questions, None).filter("qid IN ('busy', 'none')").collect()} == {None, W.NOTHING_FOUND}
+
+
+def test_unscored_hits_stay(spark):
+    hits = spark.createDataFrame(
+        [("q", "1", 1, True, None), ("q", "2", 2, False, None), ("q", "3", 3, False, "3__volltext__000"), ("q", "4", 4, False, None)], "qid string, id string, rank int, keyword boolean, chunkid string"
+    )
+    questions = spark.createDataFrame([("q", "Siegel")], "qid string, text string")
+    letters = spark.createDataFrame([("2", "ohne", ""), ("3", "nichts", None), ("9", "x", "x")], "id string, titel string, regest string")
+    passages = spark.createDataFrame([("3__volltext__000", "das Siegel")], "chunkid string, text string")
+    scorer = lambda q, t: F.when(F.length(t) > 0, F.when(t.contains("Siegel"), 0.9).otherwise(0.1))
+    got = [(r.id, r.rank, r.rerank) for r in R.rerank(hits, questions, letters, passages, scorer).orderBy("rank").collect()]
+    assert got == [("1", 1, None), ("3", 2, 0.9), ("4", 3, None)]
+    assert R.rerank(hits, questions, letters, passages, None).select("id", "rank").collect() == hits.select("id", "rank").collect()
+
+
+def test_rows_are_numbered_over_all_tasks(spark):
+    rows = [("a", i) for i in range(500)] + [("b", 1), (None, 7), (None, 8)]
+    df = spark.createDataFrame(rows, "k string, v int").repartition(7)
+    got = {(r.k, r.v): r.nr for r in numbered(df, ["k"], [F.col("v").desc()], "nr").collect()}
+    assert len(got) == 503 and all(got["a", i] == 500 - i for i in range(500)) and got["b", 1] == 1 and (got[None, 8], got[None, 7]) == (1, 2)
+    assert numbered(df.limit(0), ["k"], [F.col("v")], "nr").count() == 0
+
+
+def test_bitmap_containers():
+    rng = np.random.default_rng(1)
+    for p in ([], [5], list(range(100, 9_000)), sorted(rng.choice(32_768, 40, replace=False)), sorted(rng.choice(32_768, 9_000, replace=False)), list(range(32_768))):
+        packed = O.pack(np.array(p, np.int64))
+        assert O.unpack(packed).tolist() == [int(x) for x in p] and len(packed) <= 4_097
+    assert len(O.pack(np.array([5]))) == 3 and len(O.pack(np.arange(100, 9_000))) == 5
+
+
+def test_best_and_pair_scores_equal_brute_force(spark):
+    rng = np.random.default_rng(4)
+    x, q = rng.standard_normal((300, 8)), rng.standard_normal((3, 8))
+    x[7] = x[3]
+    vectors = spark.createDataFrame([(f"{i:03d}", v.tolist()) for i, v in enumerate(x)], "id string, embedding array<double>").repartition(5)
+    asked = spark.createDataFrame([(f"q{i}", v.tolist()) for i, v in enumerate(q)] + [("none", None)], "qid string, vector array<double>")
+    unit = lambda a: a / np.linalg.norm(a, axis=1, keepdims=True)
+    s = np.round(unit(q) @ unit(x).T, 6)
+    want = {(f"q{i}", f"{j:03d}", r + 1) for i in range(3) for r, j in enumerate(np.lexsort((np.arange(300), -s[i]))[:10])}
+    assert {(r.qid, r.id, r["rank"]) for r in X.best(vectors, asked, ["id"], 10, "id").collect()} == want
+    pairs = spark.createDataFrame([("q1", "003"), ("q2", "299"), ("none", "001"), ("q1", "gone")], "qid string, id string")
+    assert {(r.qid, r.id, r.score) for r in X.pair_scores(pairs, vectors, asked, "id").collect()} == {("q1", "003", s[1, 3]), ("q2", "299", s[2, 299])}
+    assert X.best(vectors.limit(0), asked, ["id"], 10, "id").count() == 0 and X.best(vectors, asked.limit(0), ["id"], 10, "id").count() == 0
+
+
+def test_torn_batch_is_written_anew(spark, tmp_path):
+    """A batch whose files are there without its commit, as a run that died leaves it, is written again and counts once."""
+    src, out, state = (str(tmp_path / n) for n in ("in", "out", "state"))
+    schema = "id string, text string"
+    spark.createDataFrame([("1", "a"), ("2", "b")], schema).write.parquet(f"{src}/x")
+    spark.createDataFrame([("1", "torn", [0.0], 0)], embedding.VECTORS).write.parquet(f"{out}/batch=0")
+    embedding.run_available(spark, f"{src}/*", schema, out, state)
+    rows = spark.read.schema(embedding.VECTORS).parquet(f"{out}/batch=*").collect()
+    assert sorted(r.id for r in rows) == ["1", "2"] and all(r.hash != "torn" for r in rows)
+
+
+def test_model_is_kept_and_checked(spark):
+    assert embedding.model(8) is embedding.model(8)
+    got = [r.v for r in spark.createDataFrame([(i, t) for i, t in enumerate(["Rat und Stadt", "", None, "rat, und STADT!"])], "i int, t string").select("i", embedding.embed(F.col("t"), 8).alias("v")).orderBy("i").collect()]
+    assert got[0] == got[3] and sum(map(abs, got[0])) in (1.0, 3.0) and got[1] == got[2] == [0.0] * 8
+
+
+def test_shared_folder():
+    """The setting comes first, then a folder set in code; only a session on one machine goes without."""
+
+    def session(master, conf=None, in_code=None):
+        made = []
+        sc = SimpleNamespace(master=master, getConf=lambda: conf or {}, getCheckpointDir=lambda: made[-1] if made else in_code, setCheckpointDir=made.append)
+        return SimpleNamespace(sparkContext=sc, conf=conf or {})
+
+    assert shared_dir(session("spark://x:1", {"spark.checkpoint.dir": "hdfs:///a/"}, "/b")) == "hdfs:///a"
+    assert shared_dir(session("spark://x:1", in_code="hdfs:///b")) == "hdfs:///b"
+    assert "missiva-" in shared_dir(session("local[4]"))
+    for master in ("spark://x:1", "local-cluster[3,2,1024]", "yarn"):
+        with pytest.raises(RuntimeError):
+            shared_dir(session(master))
 
 
 def test_measures(spark):
