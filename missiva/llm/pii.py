@@ -1,13 +1,15 @@
 """Personal information in free text, by bootstrapped contextual extraction.
 
-1. One pass over the texts gives candidates: runs of digits and capitals that could be a number, capitalised words that
-   could be a name, each with an instance (the number's shape, the given name) and patterns (words before and after).
-   E-mail and street addresses carry their own marks and are decided by their form.
-2. Instances and patterns are a bipartite graph. Seeds (a few given names, the shapes and words of numbers nobody
-   doubts) score the patterns they occur with; well scored patterns score further instances; and again. Every round is
-   a join and two map-side aggregations in Spark; nothing of it is collected.
-3. A candidate is taken if its pattern or its instance scored high enough; so names and shapes that are in no list are
-   found by where they stand.
+1. One pass over the texts gives candidates, wider than what is sought: whatever has a sign or word for "at" in it, runs
+   of digits and capitals, capitalised words, and names of places or things followed by a small number. Each has an
+   instance (how its address is spelled, its street word, the number's shape, the given name) and patterns (words before
+   and after).
+2. Instances and patterns are a bipartite graph, one for all kinds. Seeds (some spellings, street words, shapes, given
+   names) score the patterns they occur with; well scored patterns score further instances; and again. Words that
+   introduce numbers are seeds too: each counts as PRIOR occurrences of its kind, which the data may confirm or outweigh.
+   Every round is a join and two map-side aggregations in Spark; nothing of it is collected.
+3. A candidate is taken as what its pattern and instance score highest for, if high enough; so spellings, street words,
+   shapes and names that are in no list are found by where they stand.
 
 Defined cases: null, empty and blank texts give no row and stay as they are; rows without doc_id are left out; a repeated finding in a text counts once;
 overlapping findings are replaced by the longer one.
@@ -16,6 +18,7 @@ overlapping findings are replaced by the longer one.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 import regex
@@ -53,7 +56,7 @@ ID_WORDS = (
 ).split()
 OTHER_WORDS = (
     "isbn issn signatur sign. ms. cod. inventar-nr. film mikrofiche rechnung regest datiert brief blatt bl. zeile "
-    "gesamtbetrag seite s. fol. nr. aufnahme lesart"
+    "gesamtbetrag seite s. fol. nr. aufnahme lesart lesesaal raum saal kasten"
 ).split()
 #: Shapes (9 a digit, A a capital) of phone numbers with a country or bracketed area code, and of numbers with a fixed build.
 PHONE_SHAPES = regex.compile(r"^(?:\+9|009999999|\(9{2,5}\) ?\d*)")
@@ -67,8 +70,19 @@ STREETS = {
     "fr": "rue quai place avenue boulevard impasse chemin allée cours passage route square ruelle esplanade venelle".split(),
     "it": r"via v\. viale v\.le piazza p\.za p\.zza piazzetta corso vicolo largo strada c\.so contrada borgo salita calle lungarno campo".split(),
 }
+#: Street words to begin with; the others above are found by where they stand.
+SEED_STREETS = "straße strasse str. gasse weg platz am an zum straat gracht street lane road rue quai place avenue via piazza corso".split()
 # ---------------------------------------------------------------------------------------------------------------------
 
+#: Occurrences a seed word counts for; patterns with fewer known instances and no seed say nothing.
+PRIOR, LEAST = 3.0, 2
+#: What candidates of one group are judged as: the first of each is no personal information.
+CLASSES = {"email": ("noemail", "email"), "address": ("noaddress", "address"), "number": ("other", "phone", "idnr")}
+#: Classes whose candidates are mostly something else.
+STRICT = ("address",)
+#: Parts a frequent pattern's candidates are split into.
+SALT = 8
+
 _AT = r"(?:\s?(?:@|＠|\((?:at|ät|@|AT)\)|\[(?:at|ät|AT)\]|\{(?:at|AT)\})\s?)"
 _DOT = r"(?:\.|\s?[(\[{](?:dot|DOT|punkt|Punkt|point|punto|punt)[)\]}]\s?|\s(?:DOT|dot|Punkt|punkt)\s)"
 _LABEL = r"[\p{L}\d](?:[\p{L}\d-]*[\p{L}\d])?"
@@ -119,6 +133,14 @@ _AFTER = _plain(STREETS["en"] + STREETS["fr"])
 _ITALIAN = regex.compile(rf"(?<![\p{{L}}\d])(?i:{'|'.join(STREETS['it'])})[ \u00A0\u2009]")
 #: From the house number on: a range, a letter, three names and the street word.
 _NEXT = regex.compile(r"(?:\S+\s+){0,8}\S*")
+#: Broad candidates: an "at" without a domain, and a capitalised word with a small number.
+_AT_ONLY = regex.compile(rf"{_LOCAL}{_AT}{_LABEL}")
+_THING = regex.compile(r"(?<![\p{L}\d-])(\p{Lu}[\p{L}-]*\.?)[ \u00A0\u2009]\d{1,3}(?![\p{L}\d]|[.,/-]\d)")
+_POSTED = regex.compile(r"(?:,\s|\n|\s)\d{4,5}\s\p{Lu}")
+_FORM = regex.compile(rf"^[^@＠\s(\[{{]*({_AT}|\s\w+\s)(.*)$", regex.S)
+_STREET_WORD = regex.compile(
+    rf"(?i)(?:^(am|im|zum|zur|an|auf|in|bei|hinter|unter|vor|op|aan)\s|({'|'.join(sorted({w for ws in STREETS.values() for w in ws} | set(_APART.lower().split('|')), key=len, reverse=True))})(?=\s\d|,|\s\p{{L}}|$))"
+)
 _EMAIL_MARK = regex.compile(r"[@＠(\[{]|\s(?:AT|at|arobase|chiocciola|apenstaartje)\s")
 NOT_STREET = regex.compile(r"^(?:Platz|Zeile|Hof|Turm|Weg|Markt|Bogen)\s|\b(?:Lesesaal|Raum|Saal|Kasten|Blatt|Zeile)\s")
 
@@ -156,6 +178,23 @@ def _around(text: str, beg: int, fin: int) -> list[str]:
     return [f"1 {before}", f"2 {two}", f"3 {before}|{after}"]
 
 
+def _spelling(email: str) -> str:
+    """How an address writes its signs, whatever its words."""
+    m = _FORM.match(email)
+    dots = {regex.sub(r"\s", "", d).lower() for d in regex.findall(_DOT, m.group(2))} if m else set()
+    return f"{regex.sub(chr(92) + 's', '', m.group(1)).lower() if m else '?'}|{' '.join(sorted(dots)) or 'none'}"
+
+
+def _street_word(street: str) -> str:
+    found = _STREET_WORD.search(street)
+    return (found.group(1) or found.group(2)).casefold() if found else "?"
+
+
+def _place(text: str, beg: int, fin: int) -> list[str]:
+    """An address also has the pattern that postcode and town follow, if they do."""
+    return [*_around(text, beg, fin), *["4 town"] * bool(_POSTED.match(text, fin))]
+
+
 def _street_windows(text: str) -> Iterator[tuple[int, int]]:
     """Stretches with a house number that may belong to a street."""
     for stretch in _STRETCH.finditer(text):
@@ -179,24 +218,27 @@ def _street_windows(text: str) -> Iterator[tuple[int, int]]:
 
 def candidates(text: str) -> list[tuple]:
     """(kind, begin, end, value, instance, patterns) of one text."""
-    out, taken = [], []
+    out, taken, numbers = [], [], []
 
     def free(b: int, e: int) -> bool:
         return all(e <= x or b >= y for x, y in taken)
 
     if _EMAIL_MARK.search(text):
         for m in EMAIL.finditer(text):
-            out.append(("email", m.start(), m.end(), m.group(), None, None))
+            out.append(("email", m.start(), m.end(), m.group(), _spelling(m.group()), _around(text, *m.span())))
             taken.append(m.span())
+        for m in _AT_ONLY.finditer(text):
+            if free(*m.span()):
+                out.append(("email", m.start(), m.end(), m.group(), _spelling(m.group()), _around(text, *m.span())))
     for b, e in _street_windows(text):
         for m in ADDRESS.finditer(text, b, e):
             if free(*m.span()) and not NOT_STREET.search(m.group()):
-                out.append(("address", m.start(), m.end(), m.group(), None, None))
+                out.append(("address", m.start(), m.end(), m.group(), _street_word(m.group()), _place(text, *m.span())))
                 taken.append(m.span())
     if _TOWN.search(text):
         for m in ADDRESS_BY_TOWN.finditer(text):
             if free(*m.span()) and not NOT_STREET.search(m.group()):
-                out.append(("address", m.start(), m.end(), m.group(), None, None))
+                out.append(("address", m.start(), m.end(), m.group(), _street_word(m.group()), _place(text, *m.span())))
                 taken.append(m.span())
     for m in NUMBER.finditer(text):
         value = m.group()
@@ -208,6 +250,10 @@ def candidates(text: str) -> list[tuple]:
         else:
             beg = m.start()
         out.append(("number", beg, beg + len(value), value, shape(value), _around(text, beg, beg + len(value))))
+        numbers.append(m.span())
+    for m in _THING.finditer(text):
+        if free(*m.span()) and all(m.end() <= x or m.start() >= y for x, y in numbers):
+            out.append(("address", m.start(), m.end(), m.group(), f"thing {m.group(1).casefold()}", _place(text, *m.span())))
     at = 0
     while m := NAME.search(text, at):
         at = m.start(3) if m.group(1) in TITLES or m.group(1).isupper() else m.end()
@@ -241,20 +287,25 @@ def _parts(given: F.Column) -> F.Column:
     return F.split(given, "-")
 
 
-def bootstrap(edges: DataFrame, known: DataFrame, rounds: int, least: float) -> tuple[DataFrame, DataFrame]:
-    """edges(cls, inst, pat), distinct; known(cls, inst, score): scores of the seeds, 0 to 1, of which those of one
-    class exclude each other. Returns (instances, patterns) with scores. A pattern's score is the mean over the known
-    instances it occurs with, shrunk where there are few; a new instance's is the mean of its scored patterns, if one
-    of them is good."""
+def bootstrap(edges: DataFrame, known: DataFrame, words: DataFrame, rounds: int, least: float) -> tuple[DataFrame, DataFrame]:
+    """edges(cls, inst, pat), distinct; known(cls, inst, score) and words(cls, pat, score): scores of the seeds, 0 to 1, of
+    which those of one class exclude each other. Returns (instances, patterns) with scores. A pattern's score is the mean
+    over the known instances it occurs with and, if it is a seed, PRIOR more of its own, shrunk where there are few; a new
+    instance's is the mean of its scored patterns, if one of them is good. In classes of STRICT what isn't known counts
+    against a pattern, as their candidates are mostly something else."""
     instances = known
+    every = edges.filter(F.col("cls").isin(*STRICT)).groupBy("cls", "pat").agg(F.count("*").alias("every"))
     patterns = None
     for _ in range(rounds):
         scored = edges.join(instances, ["cls", "inst"])
-        patterns = scored.groupBy("cls", "pat").agg((F.sum("score") / (F.count("*") + 0.3)).alias("score"), F.count("*").alias("n"))
+        seen = scored.groupBy("cls", "pat").agg(F.sum("score").alias("s"), F.count("*").alias("c"))
+        n = F.coalesce("every", "c", F.lit(0)) + F.when(F.col("score").isNotNull(), PRIOR).otherwise(0.0)
+        total = F.coalesce("s", F.lit(0.0)) + F.coalesce(F.col("score") * PRIOR, F.lit(0.0))
+        patterns = cut(seen.join(words, ["cls", "pat"], "full").join(every, ["cls", "pat"], "left").select("cls", "pat", (total / (n + 0.3)).alias("score"), n.alias("n")))
         new = (
             edges.join(patterns, ["cls", "pat"])
             .groupBy("cls", "inst")
-            .agg(F.avg("score").alias("mean"), F.max("score").alias("best"), F.count("*").alias("n"))
+            .agg(F.avg("score").alias("mean"), F.max("score").alias("best"))
             .filter(F.col("best") >= least)
             .select("cls", "inst", F.greatest(F.col("mean"), F.col("best") * 0.75).alias("score"))
         )
@@ -265,6 +316,37 @@ def bootstrap(edges: DataFrame, known: DataFrame, rounds: int, least: float) ->
     return instances, patterns
 
 
+def _joined(rows: DataFrame, scores: DataFrame, on: str) -> DataFrame:
+    """rows join scores on one column; a frequent value's rows are spread over SALT tasks, its few scores copied to each."""
+    salted = rows.withColumn("salt", F.pmod(F.col("id"), F.lit(SALT)).cast("int"))
+    copies = scores.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    return salted.join(copies, [on, "salt"]).drop("salt")
+
+
+def _seeds(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(known instances, seed words) of all groups."""
+    spark = edges.sparkSession
+    inst = F.col("inst")
+    phone, idnr = inst.rlike("^number " + PHONE_SHAPES.pattern[1:]), inst.rlike("^number " + ID_SHAPES.pattern[1:])
+    streets = [f"address {w}" for w in SEED_STREETS]
+    things = [f"address thing {w}{dot}" for w in OTHER_WORDS for dot in ("", ".")]
+    yes = {
+        "email": inst == "email @|.",
+        "noemail": inst.endswith("|none"),
+        "address": inst.isin(streets),
+        "noaddress": inst.isin(things),
+        "phone": phone & ~idnr,
+        "idnr": idnr,
+        "other": F.lit(False),
+    }
+    about = {c: reduce(lambda a, b: a | b, (yes[x] for x in cs)) for cs in CLASSES.values() for c in cs}  # known as one of its group
+    score = reduce(lambda w, c: w.when(F.col("cls") == c, F.when(about[c], yes[c].cast("double"))), yes, F.when(F.lit(False), F.lit(0.0)))
+    known = edges.select("cls", "inst").distinct().withColumn("score", score).filter(F.col("score").isNotNull())
+    listed = {"phone": PHONE_WORDS, "idnr": ID_WORDS, "other": OTHER_WORDS}
+    rows = [(c, f"number 1 {w}", 1.0 if c == own else 0.0) for own, ws in listed.items() for w in ws for c in listed]
+    return known, spark.createDataFrame(rows, "cls string, pat string, score double")
+
+
 def find(docs: DataFrame) -> DataFrame:
     """(doc_id, kind, beg, fin, val): every place of personal information in docs(doc_id, text)."""
     spark = docs.sparkSession
@@ -303,49 +385,41 @@ def find(docs: DataFrame) -> DataFrame:
     named = firsts.join(given, "inst", "left_semi").select("doc_id", "beg", "fin", "val").unionByName(placed.drop("score"))
     named = named.select("doc_id", F.lit("name").alias("kind"), "beg", "fin", "val")
 
-    # Numbers: the instances are shapes; each kind is scored against the other and against other numbers.
-    edges = numbers.select("inst", F.explode("pats").alias("pat")).distinct()
-    edges = cut(edges.crossJoin(F.broadcast(spark.createDataFrame([("phone",), ("idnr",)], "cls string"))))  # two rows
-    phone, idnr = F.col("inst").rlike(PHONE_SHAPES.pattern), F.col("inst").rlike(ID_SHAPES.pattern)
-    own = F.when(F.col("cls") == "phone", phone & ~idnr).otherwise(idnr)
-    known = edges.select("cls", "inst").distinct().filter(phone | idnr).select("cls", "inst", own.cast("double").alias("score"))
-    shapes, contexts = bootstrap(edges, known, 3, 0.6)
-
-    word = F.regexp_extract(F.element_at("pats", 1), r"^1 (.*)$", 1)
-    numbers = numbers.withColumn("word", word).withColumn("id", F.monotonically_increasing_id())
-    numbers = cut(numbers)
-    by_pattern = (
-        numbers.select("id", F.explode("pats").alias("pat"))
-        .join(contexts.filter("n >= 2"), "pat")
-        .groupBy("id", "cls")
-        .agg(F.max("score").alias("ctx"))
-    )
-    by_shape = numbers.select("id", "inst").join(shapes, "inst").select("id", "cls", F.col("score").alias("form"))
-    scores = (
-        by_pattern.join(by_shape, ["id", "cls"], "full")
-        .groupBy("id")
-        .agg(*(F.max(F.when(F.col("cls") == c, F.col(x))).alias(f"{c}_{x}") for c in ("phone", "idnr") for x in ("ctx", "form")))
-    )
-    val = lambda c: F.coalesce(F.col(c), F.lit(0.0))
-    is_word = lambda words: F.col("word").isin(*words)
-    digits = F.length(F.regexp_replace("val", r"\D", ""))
-    other = is_word(OTHER_WORDS)
-    total = {c: F.when(is_word(w), 2.0).otherwise(0.0) + val(f"{c}_ctx") + val(f"{c}_form") for c, w in (("phone", PHONE_WORDS), ("idnr", ID_WORDS))}
+    # All other kinds: groups of classes that exclude each other, in one graph.
+    group = F.create_map(*(x for k, cs in CLASSES.items() for x in (F.lit(k), F.array(*map(F.lit, cs)))))
+    others = rows.filter(F.col("kind") != "name").withColumn("inst", F.concat_ws(" ", "kind", "inst"))
+    others = others.withColumn("pats", F.transform("pats", lambda p: F.concat_ws(" ", "kind", p))).withColumn("id", F.monotonically_increasing_id())
+    others = cut(others)
+    edges = cut(others.select("kind", "inst", F.explode("pats").alias("pat")).distinct().select(F.explode(group[F.col("kind")]).alias("cls"), "inst", "pat"))
+    known, words = _seeds(edges)
+    instances, patterns = bootstrap(edges, known, words, 3, 0.6)
+
+    by_pattern = _joined(others.select("id", F.explode("pats").alias("pat")), patterns.filter(F.col("n") >= LEAST), "pat").groupBy("id", "cls").agg(F.max("score").alias("ctx"))
+    by_form = _joined(others.select("id", "inst"), instances, "inst").select("id", "cls", F.col("score").alias("form"))
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
+    scores = by_pattern.join(by_form, ["id", "cls"], "full").select("id", "cls", zero("ctx").alias("ctx"), zero("form").alias("form"))
+    scores = scores.withColumn("total", F.col("ctx") + F.col("form"))
+    of = {c: F.max(F.when(F.col("cls") == c, F.struct("total", "ctx", "form"))).alias(c) for cs in CLASSES.values() for c in cs}
+    judged = others.join(scores.groupBy("id").agg(*of.values()), "id")
+    total = lambda c: zero(f"{c}.total")
+    form = lambda c: zero(f"{c}.form")
+    digits, signs = F.length(F.regexp_replace("val", r"\D", "")), F.length(F.regexp_replace("val", r"[^0-9A-Z]", ""))
+    is_phone = (total("phone") >= 0.9) & (total("phone") >= total("idnr")) & digits.between(8, 15)
+    number = F.when((total("other") > total("phone")) & (total("other") > total("idnr")), None).when(is_phone, "phone").when((total("idnr") >= 0.9) & (signs >= 7), "idnr")
+    taken = lambda c: (total(c) >= 0.9) | (form(c) >= 0.5)
+    here = zero("address.ctx") >= 0.8  # what has no street word is taken only where its place says so
     kind = (
-        F.when(other, None)
-        .when((total["phone"] >= 0.9) & (total["phone"] >= total["idnr"]) & digits.between(8, 15), "phone")
-        .when((total["idnr"] >= 0.9) & (F.length(F.regexp_replace("val", r"[^0-9A-Z]", "")) >= 7), "idnr")
+        F.when(F.col("kind") == "number", number)
+        .when((F.col("kind") == "email") & taken("email") & (total("email") > total("noemail")), "email")
+        .when((F.col("kind") == "address") & (form("noaddress") < 1) & F.when(F.col("inst").contains(" thing "), (form("address") >= 0.5) & here).otherwise((form("address") >= 0.5) | here), "address")
     )
     trimmed = F.when(F.col("kind") == "phone", F.regexp_replace("val", r"[^0-9]+$", "")).otherwise(F.col("val"))
-    numbered = (
-        numbers.drop("kind")
-        .join(scores, "id", "left")
-        .withColumn("kind", kind)
+    found = (
+        judged.withColumn("kind", kind)
         .filter(F.col("kind").isNotNull())
         .select("doc_id", "kind", "beg", (F.col("beg") + F.length(trimmed)).alias("fin"), trimmed.alias("val"))
     )
-    formed = rows.filter("kind IN ('email', 'address')").select("doc_id", "kind", "beg", "fin", "val")
-    return formed.unionByName(named).unionByName(numbered)
+    return found.unionByName(named)
 
 
 def redact(docs: DataFrame, found: DataFrame) -> DataFrame:

@@ -115,13 +115,13 @@ def p9_edited(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.edited(p9_alignments(spark, sf_dir))
 
 
-def p10_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _p10_places(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every place of personal information."""
     return pii.find(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return p10_places(spark, sf_dir).select("doc_id", "kind", "val").distinct()
+    return _p10_places(spark, sf_dir).select("doc_id", "kind", "val").distinct()
 
 
 def p10_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
