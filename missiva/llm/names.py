@@ -215,6 +215,8 @@ class Name:
     place: str = ""
 
 
+#: A town's name may be of two words, as in Markt Hallthal; both begin with a capital.
+_TOWN = r"(?:[^\W\d_a-zäöüß][\w-]*\.? )?\w[\w-]*"
 _TOWN_LATIN = re.compile(r"(?:ensis|ense|ensium|iensis)$")
 
 
@@ -270,7 +272,7 @@ def parse(text: str) -> Name | None:
     body = _body(words)
     if body:
         return body
-    m = re.search(r" (?:von|aus|de) (\w[\w-]*)$", s)
+    m = re.search(rf" (?:von|aus|de) ({_TOWN})$", s)
     if m:
         place, s = town_key(m.group(1)), s[: m.start()]
     parts = [p.strip() for p in s.split(",") if p.strip()]
@@ -297,7 +299,7 @@ def parse(text: str) -> Name | None:
     if given and given[0].endswith(".") and given[0].rstrip(".").lower() in UNSURE_TITLES and len(given) > 1:
         title, given = given[0].rstrip(".").upper(), given[1:]
     for t in tail:
-        m = re.match(r"(.+?)\s(?:in|zu|von)\s(\w[\w-]*)$", t)
+        m = re.match(rf"(.+?)\s(?:in|zu|von)\s({_TOWN})$", t)
         if m:
             office, place = fold(m.group(1)), town_key(m.group(2))
         elif not office and len(t.split()) == 1:

@@ -113,8 +113,16 @@ def neighbours(asking: DataFrame, keys: DataFrame) -> DataFrame:
 
 PARSED = (
     "name string, s string, raw string, body boolean, g1 array<string>, g2 array<string>, full boolean, "
-    "title string, gen string, office string, place string"
+    "title string, gen string, office string, place string, initial string"
 )
+#: Initials written one for the other.
+_ALIKE = ("cj", "ki")
+
+
+def _initial(given: tuple[str, ...]) -> str:
+    """The letter a first given name is short for, if there is no more of it."""
+    plain = given[0].rstrip(".").lower() if given else ""
+    return plain.translate(str.maketrans(*_ALIKE)) if len(plain) == 1 else ""
 
 
 def parse(names: DataFrame) -> DataFrame:
@@ -126,7 +134,7 @@ def parse(names: DataFrame) -> DataFrame:
                 if p is None:
                     continue
                 if p.body:
-                    rows.append((text, p.town, p.raw, True, [p.body], [], True, "", "", "", ""))
+                    rows.append((text, p.town, p.raw, True, [p.body], [], True, "", "", "", "", ""))
                     continue
                 read = [list(N.given_readings(g)) for g in p.given]
                 full = bool(read) and not any(map(N.is_short, p.given))
@@ -134,7 +142,7 @@ def parse(names: DataFrame) -> DataFrame:
                 second = read[1] if len(read) > 1 else []
                 if rest:
                     second = [" ".join([x, *rest]) for x in second]
-                rows.append((text, p.surname, p.raw, False, read[0] if read else [], second, full, p.title, p.generation, p.office, p.place))
+                rows.append((text, p.surname, p.raw, False, read[0] if read else [], second, full, p.title, p.generation, p.office, p.place, _initial(p.given)))
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in PARSED.split(", ")])
 
     return names.mapInPandas(run, PARSED)
@@ -167,11 +175,11 @@ def entities(names: DataFrame) -> DataFrame:
     parsed = parse(names)
     joined = lambda c: F.array_join(F.array_sort(c), "/")
     node = F.concat_ws(
-        "|", "s", joined("g1"), joined("g2"), "gen", F.when(F.col("body"), "b"), F.when(~F.col("full"), F.concat_ws("|", "title", "office", "place"))
+        "|", "s", joined("g1"), joined("g2"), "gen", F.when(F.col("body"), "b"), F.when(~F.col("full"), F.concat_ws("|", "title", "office", "place", "initial"))
     )
     parsed = cut(parsed.withColumn("node", node))
     nodes = cut(
-        parsed.groupBy("node", "s", "body", "g1", "g2", "full", "gen").agg(
+        parsed.groupBy("node", "s", "body", "g1", "g2", "full", "gen", F.when(~F.col("full"), F.col("initial")).otherwise("").alias("initial")).agg(
             F.count("*").alias("spellings"),
             F.min("raw").alias("raw"),
             F.min("title").alias("title"),  # empty if one spelling has none
@@ -202,6 +210,8 @@ def entities(names: DataFrame) -> DataFrame:
         F.when(F.size("g2") > 0, F.col("g2")[0]).alias("p_g2"),
         F.col("gen").alias("p_gen"),
         F.col("raw").alias("p_raw"),
+        F.col("office").alias("p_office"),
+        F.col("place").alias("p_place"),
     )
     # Where a node's surname may be found: under its own key, or a neighbouring one if both are close as folded or as typed.
     own = nodes.withColumn("t", F.col("s")).withColumn("d", F.lit(0))
@@ -223,7 +233,8 @@ def entities(names: DataFrame) -> DataFrame:
         & F.when(F.col("d") == 0, says_more).otherwise(close & ((equal_second & same_gen) | says_more))
     )
     level = F.when(F.col("d") == 0, F.when(equal_second | same_gen, 2).otherwise(3)).otherwise(F.when(equal_second & same_gen, 0).otherwise(1) + F.col("d") * 4)
-    full_points = cut(_decide(up.select("node", "to", level.alias("level"), F.lit(0).alias("hint")), ["node"]))
+    equal = lambda c: (F.col(c) != "") & (F.col(c) == F.col(f"p_{c}"))
+    full_points = cut(_decide(up.select("node", "to", level.alias("level"), (equal("office") | equal("place")).cast("int").alias("hint")), ["node"]))
     # Titled only: M. Heinrich X may be M(argarethe) Heinrich X, if there is no other.
     letters = spark.createDataFrame([(t.upper(), r) for t in N.UNSURE_TITLES for r in N.given_readings(t + ".")], "title string, first string")
     titled = (
@@ -242,10 +253,14 @@ def entities(names: DataFrame) -> DataFrame:
     # Initials and abbreviations: the ends of the persons they can stand for have to be one.
     hints = parsed.filter("full AND NOT body").select(F.col("node").alias("to"), F.explode(F.array("office", "place")).alias("hint")).filter("hint <> ''")
     hints = hints.join(people_end.select("to", "end"), "to").select(F.col("end").alias("h_end"), F.col("hint").alias("h_word")).distinct()
-    short = placed.filter("NOT full AND NOT body").withColumn("first", F.explode("g1"))
+    # Last of all a short one may mean the person of a slip of its own surname.
+    back = nodes.filter("NOT full AND NOT body").join(near.select(F.col("t").alias("s"), F.col("s").alias("t"), "d"), "s").select(*own.columns)
+    short = placed.withColumn("last", F.lit(0)).unionByName(back.withColumn("last", F.lit(1))).filter("NOT full AND NOT body").withColumn("first", F.explode("g1"))
     straight = short.join(people_end, on).filter(second_fits & (same_gen | no_gen) & close)
     other = twofold.filter("NOT full").join(ends.select(F.col("node").alias("to"), "end"), "to", "left").withColumn("end", F.coalesce("end", "to"))
-    cands = straight.select("node", "end", (F.col("d") * 4 + F.when(same_gen, 0).otherwise(1)).alias("level"), "office", "place").unionByName(
+    other_letter = (F.col("initial") != "") & (F.translate(F.lower(F.substring("p_g1", 1, 1)), *_ALIKE) != F.col("initial"))
+    level = F.col("last") * 16 + F.col("d") * 4 + F.when(other_letter, 2).otherwise(0) + F.when(same_gen, 0).otherwise(1)
+    cands = straight.select("node", "end", level.alias("level"), "office", "place").unionByName(
         other.select("node", "end", F.lit(0).alias("level"), "office", "place")
     )
     cands = cands.distinct()

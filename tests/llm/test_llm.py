@@ -309,6 +309,23 @@ def test_entities(spark):
     assert got == {tuple(sorted(x)) for g in groups for x in itertools.combinations(g, 2)}
 
 
+def test_towns_of_two_words_and_like_initials(spark):
+    p = names.parse
+    assert p("Waundegger, Konrad aus Markt Otterfeld").surname == p("Konrad Waundegger").surname and p("Hans Meier, Kanzler in Bad Au").place == "badau"
+    groups = [
+        ["Friedrich Larchegger", "F. Larchegger", "Friedrich Larchegger von Markt Au"],
+        ["Valentin Larchegger", "V. Larchegger"],
+        ["Katharina Bostel", "C. Bostel", "K. Bostel aus Markt Au"],
+        ["Regula Wimpolt, Professor zu Moos", "Regula Wiempolt, Professor zu Moos", "R. Wiempolt", "Reg. Wiempolt"],
+        ["Regula Wiempol"],
+    ]
+    rows = spark.createDataFrame([(n,) for g in groups for n in g], "name string")
+    found = dict(tuple(r) for r in samename.entities(rows).collect())
+    for g in groups[:3]:
+        assert len({found[n] for n in g}) == 1, g
+    assert len({found[g[0]] for g in groups[:4]}) == 4 and found["Regula Wimpolt, Professor zu Moos"] == found["Regula Wiempolt, Professor zu Moos"]
+
+
 def test_slips_typed_in_several_ways(spark):
     right = [f"{g} Bullinger" for g in "Heinrich Anna Georg Konrad Barbara Ulrich Thomas Peter Maria Johann Jakob Elisabeth".split()]
     slip = ["Bullniger, Heinrich", "Heinrich Bullniger", "Heinrich Bullniger, Pfarrer"]
