@@ -43,31 +43,31 @@ class Trie:
                 node = node.setdefault(c, {})
             node[""] = k
 
-    def within(self, word: str, most: int) -> list[tuple[str, int]]:
-        """(key, distance) of all keys within most insertions, deletions, changes and transpositions of neighbours.
-        The automaton's state is a row of the distance matrix; branches whose row is all over most are cut."""
-        found, width = [], len(word) + 1
-        stack = [(self.root, tuple(range(width)), None, "")]
+    def within(self, word: str) -> list[tuple[str, int]]:
+        """(key, distance) of all keys within DISTANCE, that is two, insertions, deletions, changes and transpositions of
+        neighbours. The Levenshtein automaton is run bit-parallel: bit i of r0, r1 and r2 says that i letters of the word are
+        matched with no, one and two errors. Branches on which no state is left are cut."""
+        place: dict[str, int] = {}
+        for i, c in enumerate(word):
+            place[c] = place.get(c, 0) | (2 << i)
+        goal, all_ = 1 << len(word), (2 << len(word)) - 1
+        found = []
+        # node, its states, those one letter before (a transposition begins there), and the places of the last letter
+        stack = [(self.root, 1, 3 & all_, 7 & all_, 0, 0, 0)]
         while stack:
-            node, row, before, last = stack.pop()
+            node, r0, r1, r2, q0, q1, last = stack.pop()
             for c, child in node.items():
                 if c == "":
-                    if row[-1] <= most:
-                        found.append((child, row[-1]))
+                    if r2 & goal:
+                        found.append((child, 0 if r0 & goal else 1 if r1 & goal else 2))
                     continue
-                nxt = [row[0] + 1]
-                for j in range(1, width):
-                    w = word[j - 1]
-                    v = row[j - 1] + (w != c)
-                    if row[j] + 1 < v:
-                        v = row[j] + 1
-                    if nxt[j - 1] + 1 < v:
-                        v = nxt[j - 1] + 1
-                    if before is not None and j > 1 and w == last and word[j - 2] == c and before[j - 2] + 1 < v:
-                        v = before[j - 2] + 1
-                    nxt.append(v)
-                if min(nxt) <= most:
-                    stack.append((child, tuple(nxt), row, c))
+                b = place.get(c, 0)
+                swap = (b << 1) & last
+                n0 = (r0 << 1) & b
+                n1 = (((r1 << 1) & b) | r0 | (r0 << 1) | (n0 << 1) | ((q0 << 2) & swap)) & all_
+                n2 = (((r2 << 1) & b) | r1 | (r1 << 1) | (n1 << 1) | ((q1 << 2) & swap)) & all_
+                if n2:
+                    stack.append((child, n0, n1, n2, r0, r1, b))
         return found
 
 
@@ -101,7 +101,7 @@ def neighbours(asking: DataFrame, keys: DataFrame) -> DataFrame:
 
     def search(q: pd.DataFrame, k: pd.DataFrame) -> pd.DataFrame:
         trie = Trie(k["t"])
-        rows = [(s, t, d) for s in q["s"] for t, d in trie.within(s, DISTANCE) if t != s]
+        rows = [(s, t, d) for s in q["s"] for t, d in trie.within(s) if t != s]
         return pd.DataFrame(rows, columns=["s", "t", "d"])
 
     # The keys are few bytes but much work, so the number of tasks is said here and not left to their size.
