@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import json
+import urllib.request
 from collections.abc import Callable
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -137,6 +140,39 @@ def overlap_scorer(question: Column, text: Column) -> Column:
     return F.round(F.when(F.size(asked) > 0, F.size(F.array_intersect(asked, T.stems(text))) / F.size(asked)).otherwise(0.0), 6)
 
 
+def reachable(url: str, timeout: float = 2.0) -> bool:
+    """Whether an optional service answers its health request in time."""
+    try:
+        with urllib.request.urlopen(f"{url}/health", timeout=timeout) as response:
+            return response.status == 200
+    except OSError:
+        return False
+
+
+def service_scorer(url: str, timeout: float = 20.0) -> Callable[[Column, Column], Column] | None:
+    """A pair model behind HTTP as a scorer, none if it isn't reachable. Pairs go out in the batches they come in, those of one
+    question together; a batch that fails gives no scores, so its hits stay as they are."""
+    if not reachable(url):
+        return None
+
+    @F.pandas_udf("double")
+    def score(questions: pd.Series, texts: pd.Series) -> pd.Series:
+        out = pd.Series([None] * len(texts), index=texts.index, dtype="float64")
+        for question, rows in texts.groupby(questions):
+            body = json.dumps({"query": question, "docs": [{"id": str(i), "text": t or ""} for i, t in rows.items()]}).encode()
+            request = urllib.request.Request(f"{url}/rerank", body, {"Content-Type": "application/json"})
+            try:
+                with urllib.request.urlopen(request, timeout=timeout) as response:
+                    got = {s["id"]: s["score"] for s in json.load(response)["scores"]}
+            except (OSError, ValueError, KeyError):
+                continue
+            for i in rows.index:
+                out[i] = got.get(str(i))
+        return out
+
+    return score
+
+
 def rerank(
     hits: DataFrame, questions: DataFrame, letters: DataFrame, passages: DataFrame, scorer: Callable[[Column, Column], Column] | None = overlap_scorer, p: Params = DEFAULT
 ) -> DataFrame:

@@ -30,18 +30,25 @@ def jsonl_passages(spark, d) -> DataFrame:
     return back.groupBy("kind").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars")).withColumn("lines", F.lit(files.count_lines(spark, path)))
 
 
+GOLD = "year int, side string, nr int, id string"
+QUESTION = "id string, template string, lang string, text string, offen bigint, intern bigint, seed string"
+
+
+def _fixtures(spark, d) -> dict[str, DataFrame]:
+    """Gold sets and generated questions as pretty JSON in one folder, read again by their names."""
+    path = fresh_path(spark, "fixtures")
+    files.write_gold(evaluation.gold_year(spark, d), f"{path}/gold_year.json")
+    files.write_gold(evaluation.gold_tag_in(spark, d).withColumn("year", F.lit(None).cast("int")), f"{path}/gold_tag.json")
+    files.write_gold(evaluation.generated_questions(spark, d).withColumn("seed", F.lit(evaluation.SEED)), f"{path}/generated_questions.json")
+    return files.read_fixtures(spark, path, {"gold_": GOLD, "generated_": QUESTION})
+
+
 def gold_files(spark, d) -> DataFrame:
-    """Gold letters as pretty JSON, read again from their folder."""
-    path = fresh_path(spark, "gold")
-    files.write_gold(evaluation.gold_year(spark, d), path)
-    return files.read_gold(spark, path, "year int, side string, nr int, id string")
+    return _fixtures(spark, d)["gold_"]
 
 
 def question_files(spark, d) -> DataFrame:
-    """Generated questions as pretty JSON, with what they were generated from."""
-    path = fresh_path(spark, "questions")
-    files.write_gold(evaluation.generated_questions(spark, d).withColumn("seed", F.lit(evaluation.SEED)), path)
-    return files.read_gold(spark, path, "id string, template string, lang string, text string, offen bigint, intern bigint, seed string")
+    return _fixtures(spark, d)["generated_"]
 
 
 def vector_store(spark, d) -> DataFrame:
@@ -83,8 +90,8 @@ _ANSWERED = retrieval.SQL["answers"].rsplit("\nSELECT qid, CASE", 1)
 SQL = {
     "jsonl_corpus": evaluation._with(S.CORPUS, then="SELECT id, sichtbar, titel, date_iso, senders, subjects, regest, synthetic FROM let"),
     "jsonl_passages": retrieval._with(S.FULLTEXT, retrieval._WIN, then="SELECT kind, count(*) AS n, sum(length(trim(substr(t, b + 1, e - b)))) AS chars, (SELECT count(*) FROM win) AS lines FROM win GROUP BY kind"),
-    "gold_files": evaluation.SQL["gold_year"],
-    "question_files": f"SELECT *, '{evaluation.SEED}' AS seed FROM ({evaluation.SQL['generated_questions']})",
+    "gold_files": f"SELECT 'gold_year' AS source, year, side, nr, id FROM ({evaluation.SQL['gold_year']}) UNION ALL SELECT 'gold_tag', NULL, side, nr, id FROM ({evaluation.SQL['gold_tag_in']})",
+    "question_files": f"SELECT 'generated_questions' AS source, *, '{evaluation.SEED}' AS seed FROM ({evaluation.SQL['generated_questions']})",
     "vector_store": evaluation._with(S.CORPUS, S.VECTORS, then="SELECT count(*) AS served, TRUE AS consistent FROM lv JOIN pub USING (id)"),
     "baseline_once": evaluation.SQL["recall_precision"],
     "review_sheets": f"{_ANSWERED[0]},\nan AS (SELECT qid, CASE{_ANSWERED[1]})\n{_SHEET}",

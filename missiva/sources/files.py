@@ -30,12 +30,6 @@ def optional(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path) if exists(spark, path) else spark.createDataFrame([], schema)
 
 
-def read_fixtures(spark: SparkSession, folder: str, schema: str) -> DataFrame:
-    """All JSON files of a folder, one object each, with the file's name as source."""
-    rows = spark.read.schema(schema).option("multiLine", True).json(folder)
-    return rows.withColumn("source", F.regexp_extract(F.col("_metadata.file_name"), r"([^/]+)\.json$", 1))
-
-
 def read_matrix(spark: SparkSession, path: str, dim: int, rows_per_task: int = 50_000) -> DataFrame:
     """(row, embedding) of a flat file of little-endian 32-bit floats, dim to a row. A cut last row is left out. Spark's
     binary reader holds a file in one piece, so ranges of it are listed and each task reads its own."""
@@ -91,9 +85,17 @@ def write_gold(df: DataFrame, path: str) -> None:
 
 
 def read_gold(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Such objects again: a file may hold several, each beginning with a brace alone in its line."""
-    rows = spark.read.option("lineSep", "\n}").text(path).select(F.concat("value", F.lit("\n}")).alias("value"))
-    return rows.filter(F.trim(F.regexp_replace("value", r"[\s}]", "")) != "").select(F.from_json("value", schema).alias("x")).select("x.*")
+    """Such objects again, with source, the name of the .json file or folder they are in (null outside of one). A file may
+    hold several objects, each ending with a brace alone in its line."""
+    rows = spark.read.option("lineSep", "\n}").text(path).select(F.concat("value", F.lit("\n}")).alias("value"), F.col("_metadata.file_path").alias("place"))
+    rows = rows.filter(F.trim(F.regexp_replace("value", r"[\s}]", "")) != "")
+    source = F.nullif(F.regexp_extract("place", r"/([^/]+)\.json(?:/|$)", 1), F.lit("")).alias("source")
+    return rows.select(source, F.from_json("value", schema).alias("x")).select("source", "x.*")
+
+
+def read_fixtures(spark: SparkSession, folder: str, schemas: dict[str, str]) -> dict[str, DataFrame]:
+    """The JSON files of a folder by what their names begin with; other names are left alone."""
+    return {name: read_gold(spark, f"{folder}/{name}*.json", schema) for name, schema in schemas.items()}
 
 
 def review_sheet(rows: DataFrame) -> DataFrame:

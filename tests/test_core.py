@@ -2,6 +2,8 @@
 
 import datetime as dt
 import json
+import threading
+from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 from types import SimpleNamespace
 
 import numpy as np
@@ -199,6 +201,31 @@ def test_unscored_hits_stay(spark):
     assert R.rerank(hits, questions, letters, passages, None).select("id", "rank").collect() == hits.select("id", "rank").collect()
 
 
+def test_scores_of_a_service(spark):
+    class Service(BaseHTTPRequestHandler):
+        def do_GET(self):
+            self.send_response(200)
+            self.end_headers()
+
+        def do_POST(self):
+            asked = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+            self.send_response(500 if asked["query"] == "kaputt" else 200)
+            self.end_headers()
+            self.wfile.write(json.dumps({"scores": [{"id": d["id"], "score": len(d["text"]) / 10} for d in asked["docs"] if d["text"]]}).encode())
+
+        def log_message(self, *args):
+            pass
+
+    server = ThreadingHTTPServer(("127.0.0.1", 0), Service)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    url = f"http://127.0.0.1:{server.server_port}"
+    pairs = spark.createDataFrame([("a", "eins"), ("a", ""), ("b", "drei"), ("kaputt", "zwei"), ("b", None)], "q string, t string")
+    got = [r.s for r in pairs.select(R.service_scorer(url)(F.col("q"), F.col("t")).alias("s")).collect()]
+    server.shutdown()
+    server.server_close()
+    assert got == [0.4, None, 0.4, None, None] and R.service_scorer(url) is None
+
+
 def test_rows_are_numbered_over_all_tasks(spark):
     rows = [("a", i) for i in range(500)] + [("b", 1), (None, 7), (None, 8)]
     df = spark.createDataFrame(rows, "k string, v int").repartition(7)
