@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from missiva.llm import bpe, language, leakage, neighbours, pii, samename, splitting, termcounts
@@ -97,6 +97,19 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p6_passages(spark, sf_dir).filter("seq = 1").select("id", "kind").distinct()
 
 
+def p6_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What has to hold of the passages of each text: they cover it without a gap, fit, and overlap as asked."""
+    rows = p6_passages(spark, sf_dir).withColumn("size", F.length("passage"))
+    rows = rows.withColumn("new", F.col("size") - F.col("overlap") == F.col("end_at") - F.col("begin_at"))
+    w = Window.partitionBy("id", "kind", "begin_at").orderBy("end_at")  # a repeated id may have several texts
+    gap = F.col("begin_at") - F.lag("end_at").over(Window.partitionBy("id", "kind").orderBy("begin_at"))
+    rows = rows.withColumn("r", F.row_number().over(w)).filter("r = 1").withColumn("gap", gap)
+    return rows.groupBy("id", "kind").agg(
+        F.max("end_at").alias("signs"), (F.max("size") <= 800).alias("fits"), (F.min("begin_at") == 0).alias("begins"), F.bool_and("new").alias("whole"),
+        F.coalesce(F.bool_and(F.col("gap").between(0, 1)), F.lit(True)).alias("gapless"), (F.max("overlap") <= 151).alias("laps"),
+    )
+
+
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_column(table(spark, sf_dir, "documents"), "doc_id", "text")
 
@@ -159,6 +172,7 @@ QUERIES = {
     "p5_counts": p5_counts,
     "p6_found": p6_found,
     "p6_passages": p6_passages,
+    "p6_totals": p6_totals,
     "p8_ids": p8_ids,
     "p9_found": p9_found,
     "p9_alignments": p9_alignments,
@@ -201,6 +215,8 @@ SQL = {
     f"{_P1.format(space='letter', t='l')} UNION ALL {_P1.format(space='chunk', t='c')}",
     "p5_counts": _P5,
     "p5_found": f"SELECT feld, ref_id, mark FROM ({_P5}) WHERE mark IS NOT NULL",
+    "p6_totals": "SELECT id, kind, max(n)::INT AS signs, TRUE AS fits, TRUE AS begins, TRUE AS whole, TRUE AS gapless, TRUE AS laps FROM (SELECT id, kind, length(trim(regexp_replace(t, "
+    f"'{_WHITE}', ' ', 'g'))) AS n FROM (SELECT id, 'volltext' AS kind, volltext AS t FROM fulltext UNION ALL SELECT id, 'erlaeuterung', erlaeuterung FROM fulltext)) WHERE n > 800 GROUP BY id, kind",
     "p6_found": "SELECT DISTINCT id, kind FROM (SELECT id, 'volltext' AS kind, volltext AS t FROM fulltext UNION ALL SELECT id, 'erlaeuterung', erlaeuterung FROM fulltext) "
     f"WHERE length(trim(regexp_replace(t, '{_WHITE}', ' ', 'g'))) > 800",
 }

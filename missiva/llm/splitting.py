@@ -44,24 +44,32 @@ def strength(word: str, gap: str) -> int:
 def split(text: str | None, limit: int = 800, overlap: int = 150) -> list[tuple[int, int, int, str]]:
     """(begin, end, overlap, passage) in order: [begin, end) is the new part in the normalised text, overlap how many
     characters before begin stand in front of it. Without the overlaps the passages give the whole text again."""
-    words = _WORD.findall(text or "")
+    return [(b, e, o, p) for b, e, o, _, _, p in split_at(text, limit, overlap)]
+
+
+def split_at(text: str | None, limit: int = 800, overlap: int = 150) -> list[tuple[int, int, int, int, int, str]]:
+    """(begin, end, overlap, source begin, source end, passage): also where the new part stands in the text as it is."""
+    words = list(_WORD.finditer(text or ""))
     if not words:
         return []
     room = limit - overlap - 1
     atoms: list[str] = []
     strengths: list[int] = []
-    for word, gap in words:
+    source: list[int] = []
+    for m in words:
+        word, gap = m.groups()
         s = strength(word, gap)
         cuts = [word[i : i + room] for i in range(0, len(word), room)]
         atoms += cuts
         strengths += [-1] * (len(cuts) - 1) + [s]
+        source += range(m.start(), m.end(1), room)
     begin, at = [], 0
     for a, s in zip(atoms, strengths):
         begin.append(at)
         at += len(a) + (s >= 0)
     whole = "".join(a + (" " if s >= 0 else "") for a, s in zip(atoms, strengths)).rstrip(" ")
     if len(whole) <= limit:
-        return [(0, len(whole), 0, whole)]
+        return [(0, len(whole), 0, source[0], source[-1] + len(atoms[-1]), whole)]
     n = len(atoms)
     stop = [b + len(a) for b, a in zip(begin, atoms)]
     last = list(range(n))  # last atom of the piece that begins with this atom
@@ -93,13 +101,14 @@ def split(text: str | None, limit: int = 800, overlap: int = 150) -> list[tuple[
             front = max(0, b - overlap - 1)
             space = whole.find(" ", max(0, front - 1), b - 1)
             front = space + 1 if 0 <= space and front > 0 else front
-        out.append((b, e, b - front, whole[front:e]))
+        out.append((b, e, b - front, source[i], source[last[i]] + len(atoms[last[i]]), whole[front:e]))
         i = last[i] + 1
     return out
 
 
 def passages(df: DataFrame, key: str, kinds: list[str], limit: int = 800, overlap: int = 150) -> DataFrame:
-    """(key, kind, seq, begin_at, end_at, overlap, passage) of the texts in the columns kinds that are over the limit.
+    """(key, kind, seq, begin_at, end_at, overlap, source_begin, source_end, passage) of the texts in the columns kinds that
+    are over the limit; begin_at and end_at count in the text with single spaces, the source's in the text as stored.
     Oversized texts are chosen in the JVM, so that only they reach Python; repeated rows count once."""
     long = None
     for kind in kinds:
@@ -110,11 +119,11 @@ def passages(df: DataFrame, key: str, kinds: list[str], limit: int = 800, overla
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = [
-                (k, kind, seq, b, e, o, p)
+                (k, kind, seq, *found)
                 for k, kind, text in batch.itertuples(index=False)
-                for seq, (b, e, o, p) in enumerate(split(text, limit, overlap))
+                for seq, found in enumerate(split_at(text, limit, overlap))
             ]
-            yield pd.DataFrame(rows, columns=["k", "kind", "seq", "begin_at", "end_at", "overlap", "passage"])
+            yield pd.DataFrame(rows, columns=[c.split()[0] for c in schema.split(", ")])
 
-    schema = "k string, kind string, seq int, begin_at int, end_at int, overlap int, passage string"
+    schema = "k string, kind string, seq int, begin_at int, end_at int, overlap int, source_begin int, source_end int, passage string"
     return long.distinct().mapInPandas(run, schema).withColumnRenamed("k", key)

@@ -42,6 +42,12 @@ def test_split_is_a_round_trip(text):
     assert back == whole and all(o <= 151 for _, _, o, _ in parts)
 
 
+def test_passages_stand_in_their_source():
+    text = "  Erster\n\n Satz hier. " * 80 + "x" * 1700 + "\t ende "
+    for b, e, o, sb, se, p in splitting.split_at(text):
+        assert " ".join(text[sb:se].split()) == p[o:] and e - b == len(p) - o
+
+
 def test_split_prefers_strong_boundaries():
     text = ("wort " * 60 + "ende.\n\n") * 4
     assert all(p.endswith("ende.") for *_, p in splitting.split(text))
@@ -344,7 +350,7 @@ def test_trie_equals_brute_force():
     keys = sorted({"".join(rng.choice("abc") for _ in range(rng.randint(3, 7))) for _ in range(150)})
     trie = samename.Trie(keys)
     for w in rng.sample(keys, 25):
-        assert dict(trie.within(w, 2)) == {k: d for k in keys if (d := names.damerau(w, k, 2)) <= 2}
+        assert dict(trie.within(w)) == {k: d for k in keys if (d := names.damerau(w, k, 2)) <= 2}
 
 
 def test_wide_candidates_are_judged_by_form_and_place(spark):
