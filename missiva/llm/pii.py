@@ -141,7 +141,8 @@ _FORM = regex.compile(rf"^[^@＠\s(\[{{]*({_AT}|\s\w+\s)(.*)$", regex.S)
 _STREET_WORD = regex.compile(
     rf"(?i)(?:^(am|im|zum|zur|an|auf|in|bei|hinter|unter|vor|op|aan)\s|({'|'.join(sorted({w for ws in STREETS.values() for w in ws} | set(_APART.lower().split('|')), key=len, reverse=True))})(?=\s\d|,|\s\p{{L}}|$))"
 )
-_EMAIL_MARK = regex.compile(r"[@＠(\[{]|\s(?:AT|at|arobase|chiocciola|apenstaartje)\s")
+#: What every e-mail address has in it, by the words of _AT and EMAIL; only texts with one are searched for them.
+_EMAIL_MARK = regex.compile(r"[@＠]|[(\[{](?:at|ät|AT|ÄT)[)\]}]|\s(?:AT|at|arobase|chiocciola|apenstaartje)\s")
 NOT_STREET = regex.compile(r"^(?:Platz|Zeile|Hof|Turm|Weg|Markt|Bogen)\s|\b(?:Lesesaal|Raum|Saal|Kasten|Blatt|Zeile)\s")
 
 NUMBER = regex.compile(
