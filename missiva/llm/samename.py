@@ -263,7 +263,7 @@ def entities(names: DataFrame) -> DataFrame:
     cands = straight.select("node", "end", level.alias("level"), "office", "place").unionByName(
         other.select("node", "end", F.lit(0).alias("level"), "office", "place")
     )
-    cands = cands.distinct()
+    cands = cut(cands.distinct())
     hinted = (
         cands.select("node", "end", F.explode(F.array("office", "place")).alias("h_word"))
         .filter("h_word <> ''")
@@ -280,5 +280,6 @@ def entities(names: DataFrame) -> DataFrame:
 
 def pairs(found: DataFrame) -> DataFrame:
     """(name_a, name_b) of each two spellings of one entity; the problem asks for the pairs themselves."""
+    found = cut(found)  # else both sides would work it out
     a, b = found.toDF("name_a", "entity"), found.toDF("name_b", "entity")
     return a.join(b, "entity").filter("name_a < name_b").select("name_a", "name_b")
