@@ -43,6 +43,8 @@ VISITS = (5, 3, 2, 2, 1, 1, 1, 1)
 PER_CENTROID, SAMPLE_BYTES, LENGTH, BOUND = 32, 1 << 26, 256, 3.0
 #: Classes of one task where rows meet the centroids of their coarse cell or the vectors to be compared exactly.
 SALT = 16_384
+#: Cells of several pieces that are broadcast at most (12 bytes each).
+LISTED = 65_536
 SEED = 20_260
 #: Rows of one step of bit counts: 256 x 512 words are 1 MB.
 STEP = 256
@@ -308,7 +310,15 @@ def _nearest(rows: DataFrame, dim: int, k: int) -> DataFrame:
     homes = cut(homes)
     # Pieces of the cells that have more than one: at most a row for each PIECE classes.
     large = cut(homes.groupBy("cell").count().filter(F.col("count") > PIECE).select("cell", F.ceil(F.col("count") / PIECE).cast("int").alias("pieces")))
-    homes = homes.join(large, "cell", "left").withColumn("piece", F.pmod(F.xxhash64("rep"), F.coalesce("pieces", F.lit(1))).cast("int"))
+    count = large.count()
+
+    def cut_up(rows: DataFrame) -> DataFrame:
+        """Adds pieces, null for cells of one; usually there are no others, and a short list of them is broadcast."""
+        if not count:
+            return rows.withColumn("pieces", F.lit(None).cast("int"))
+        return rows.join(F.broadcast(large) if count <= LISTED else large, "cell", "left")
+
+    homes = cut_up(homes).withColumn("piece", F.pmod(F.xxhash64("rep"), F.coalesce("pieces", F.lit(1))).cast("int"))
 
     def home(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("rep").reset_index(drop=True)
@@ -341,8 +351,7 @@ def _nearest(rows: DataFrame, dim: int, k: int) -> DataFrame:
         crowd = [(c, m * len(VISITS), f) for c, m, f in plan]
         schema = Visitors.SCHEMA + ", from_cell bigint, from_piece int, cell bigint"
         visits = visits.unionByName(_choose(going.filter(divided), fine, crowd, schema, tour))
-    visits = visits.join(large, "cell", "left")
-    visits = visits.withColumn("piece", F.explode(F.sequence(F.lit(0), F.coalesce("pieces", F.lit(1)) - 1)))
+    visits = cut_up(visits).withColumn("piece", F.explode(F.sequence(F.lit(0), F.coalesce("pieces", F.lit(1)) - 1)))
     visits = visits.filter((F.col("cell") != F.col("from_cell")) | (F.col("piece") != F.col("from_piece")))
 
     def compare(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
