@@ -45,7 +45,7 @@ def _blocks(questions: DataFrame) -> Iterator[tuple[list, np.ndarray]]:
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
-    return x / np.linalg.norm(x, axis=1, keepdims=True)
+    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)  # a zero vector is similar to nothing
 
 
 def best(vectors: DataFrame, questions: DataFrame, keep: list[str], k: int, ties: str) -> DataFrame:

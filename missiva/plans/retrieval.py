@@ -45,7 +45,8 @@ def questions(spark: SparkSession) -> DataFrame:
 def _with_vectors(spark: SparkSession, vectors: DataFrame) -> DataFrame:
     """Each question gets the stored vector of its place in key order, as no text model is at hand."""
     first = vectors.orderBy("vec_no").limit(len(QUESTIONS)).select("vec_no", F.transform("embedding", lambda x: x.cast("double")).alias("vector"))
-    rows = [(q, t, r["vector"]) for (q, t), r in zip(QUESTIONS, first.orderBy("vec_no").collect())]
+    stored_ones = [r["vector"] for r in first.orderBy("vec_no").collect()]
+    rows = [(q, t, stored_ones[i] if i < len(stored_ones) else None) for i, (q, t) in enumerate(QUESTIONS)]
     return spark.createDataFrame(rows, "qid string, text string, vector array<double>")
 
 

@@ -20,8 +20,9 @@ from missiva.operators import nested as N
 from missiva.operators import orphans as O
 from missiva.operators import retrieve as R
 from missiva.operators import vectors as X
+from missiva.plans import retrieval as P
 from missiva.sources import files
-from missiva.sources.tables import latest, numbered, shared_dir
+from missiva.sources.tables import fingerprint, latest, numbered, shared_dir
 from missiva.streaming import embedding
 
 KEY = "50c1a0003c7be9d24c000012"
@@ -299,6 +300,60 @@ def test_measures(spark):
     assert {r.share: r.value for r in E.floor_quantile(values, "v", ["k"], [0.0, 0.5, 0.9, 1.0]).collect()} == {0.0: 1, 0.5: 3, 0.9: 4, 1.0: 5}
 
 
+def test_index_is_opened_and_not_rebuilt(spark, monkeypatch):
+    d = "/root/testdata/sf0.001"
+    first = P.index(spark, d, "subjects").subjects.count()
+
+    def fail(*_):
+        raise AssertionError("built again")
+
+    monkeypatch.setattr(A, "subject_postings", fail)
+    assert first and P.index(spark, d, "subjects").subjects.count() == first
+    assert fingerprint(spark, [d]) == fingerprint(spark, [d]) != fingerprint(spark, [d], "other")
+
+
+def test_gold_sets_are_numbered_rows(spark):
+    rows = [("10", "offen", 1), ("9", "offen", 1), ("9", "offen", 1), ("x", "offen", 1), ("11", "intern", 1), ("12", "unbekannt", 1), ("5", "offen", None)]
+    df = spark.createDataFrame(rows, "id string, sichtbar string, year int")
+    got = {(r.year, r.side, r.nr, r.id) for r in E.by_visibility(df, ["year"]).collect()}
+    assert got == {(1, "offen", 1, "9"), (1, "offen", 2, "10"), (1, "offen", 3, "x"), (1, "intern", 1, "11"), (1, "intern", 2, "12"), (None, "offen", 1, "5")}
+
+
+def test_tagged_and_untagged(spark):
+    letters = spark.createDataFrame(
+        [("1", "offen", "Ein TRAUM", ["Träume"]), ("2", "offen", "Traumbild", ["Eid"]), ("3", "intern", "Traum", []), ("4", "offen", None, ["Traum"]), ("5", "offen", "träumt", None)],
+        "id string, sichtbar string, regest string, subjects array<string>",
+    )
+    split = E.tagged_split(letters, {"Traum": "tr[äa]um", "Komet": "komet"})
+    assert {(r.term, r.id, r.tagged) for r in split.collect()} == {("Traum", "1", True), ("Traum", "2", False), ("Traum", "5", None)}
+    of = split.filter("tagged IS NOT NULL").withColumnRenamed("term", "qid")
+    hits = spark.createDataFrame([("Traum", "2"), ("Traum", "2"), ("Traum", "9")], "qid string, id string")
+    assert [(r.qid, r.untagged, r.untagged_recall) for r in E.untagged_recall(hits, of).collect()] == [("Traum", 1, 1.0)]
+    assert E.untagged_recall(hits, of.filter("tagged")).first()["untagged_recall"] is None
+
+
+def test_responses_and_split(spark):
+    sources = spark.createDataFrame(
+        [("q", 1, "Embedding", 0.5, True), ("q", 2, "Passage volltext", 0.4, True), ("q", 3, "Person, Jahr", None, False), ("q", 4, "Embedding", None, False), ("q", 5, "Schlagwort", 0.9, False)],
+        "qid string, rank int, reasons string, rerank double, in_context boolean",
+    )
+    cited, extra = R.cited_and_extra(sources)
+    assert [r["rank"] for r in cited.orderBy("rank").collect()] == [1, 2] and extra.count() == 3
+    assert [r["rank"] for r in R.embedding_only(sources).orderBy("rank").collect()] == [1, 2]
+
+
+def test_percent_and_slug(spark):
+    df = spark.createDataFrame([(0.666, "Kälte & Eis"), (None, None), (1.0, "")], "x double, s string")
+    assert [tuple(r) for r in df.select(E.percent(F.col("x")), E.slug(F.col("s"))).collect()] == [("66.6%", "klteeis"), (None, None), ("100.0%", "")]
+
+
+def test_abstracts_name_a_destination(spark):
+    df = spark.createDataFrame([(["Bern"], ["Basel"]), ([], ["Basel", "Au"]), ([], [])], "a array<string>, b array<string>")
+    none = F.array().cast("array<string>")
+    made = A.abstract(F.lit(None).cast("string"), none, none, F.col("a"), F.lit(""), none, F.col("b"))
+    assert [r[0] for r in df.select(made).collect()] == ["Brief, Bern.", "Brief, Zielort Basel / Au.", "Brief."]
+
+
 def test_files(spark, tmp_path):
     path = str(tmp_path / "m.bin")
     x = np.arange(12, dtype="<f4")
