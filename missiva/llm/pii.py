@@ -17,6 +17,7 @@ overlapping findings are replaced by the longer one.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from functools import reduce
 
@@ -155,17 +156,22 @@ NAME = regex.compile(rf"(?<![\p{{L}}\d-])({_GIVEN})[  ]({_INITIALS}{PARTICLES}?
 TURNED = regex.compile(rf"(?<![\p{{L}}\d-])({_SUR}),[  ]({_GIVEN})((?:[  ]\p{{Lu}}\.(?!\w))*)(?![\p{{L}}-])")
 _SAINT = regex.compile(r"(?:\bSt|\bSte|\bSankt|\bSanct|\bSaint|\bSainte|\bSan|\bSanta|\bSint|\bhl|\bHl)\.?\s$")
 
+_DIGIT, _DIGITS, _CAPITAL, _BLANK, _DOTS = re.compile(r"\d"), re.compile(r"\d+"), re.compile(r"[A-Z]"), re.compile(r"\s"), regex.compile(_DOT)
+#: What a number of seven digits and letters consists of; texts without such a stretch are not searched for numbers.
+_NUMERIC = re.compile(r"[A-Z\d+(](?:[A-Z\d]|[ \u00A0/–.()-]){6}")
+
 COLUMNS = "doc_id, kind string, beg int, fin int, val string, inst string, pats array<string>"
 
 
 def shape(number: str) -> str:
-    return regex.sub(r"[A-Z]", "A", regex.sub(r"\d", "9", number))
+    return _CAPITAL.sub("A", _DIGIT.sub("9", number))
 
 
 def _token(t: str) -> str:
     if "@" in t:
         return "@"
-    return regex.sub(r"\d+", "9", t.lower().strip("()[],;"))[:24]
+    t = t.lower().strip("()[],;")
+    return (t if t.isalpha() else _DIGITS.sub("9", t))[:24]
 
 
 def _around(text: str, beg: int, fin: int) -> list[str]:
@@ -182,8 +188,8 @@ def _around(text: str, beg: int, fin: int) -> list[str]:
 def _spelling(email: str) -> str:
     """How an address writes its signs, whatever its words."""
     m = _FORM.match(email)
-    dots = {regex.sub(r"\s", "", d).lower() for d in regex.findall(_DOT, m.group(2))} if m else set()
-    return f"{regex.sub(chr(92) + 's', '', m.group(1)).lower() if m else '?'}|{' '.join(sorted(dots)) or 'none'}"
+    dots = {_BLANK.sub("", d).lower() for d in _DOTS.findall(m.group(2))} if m else set()
+    return f"{_BLANK.sub('', m.group(1)).lower() if m else '?'}|{' '.join(sorted(dots)) or 'none'}"
 
 
 def _street_word(street: str) -> str:
@@ -241,7 +247,7 @@ def candidates(text: str) -> list[tuple]:
             if free(*m.span()) and not NOT_STREET.search(m.group()):
                 out.append(("address", m.start(), m.end(), m.group(), _street_word(m.group()), _place(text, *m.span())))
                 taken.append(m.span())
-    for m in NUMBER.finditer(text):
+    for m in NUMBER.finditer(text) if _NUMERIC.search(text) else ():
         value = m.group()
         digits = sum(c.isdigit() for c in value)
         if digits < 4 or sum(c.isalnum() for c in value) < 7 or not free(*m.span()):
