@@ -250,8 +250,9 @@ def _fine(placed: DataFrame, plan: list[tuple[int, int, int]]) -> DataFrame:
     return chosen.select("coarse", "fine", "raw").groupBy("coarse").applyInPandas(fit, "coarse int, middle binary")
 
 
-def _choose(rows: DataFrame, fine: DataFrame, plan: list[tuple[int, int, int]], schema: str, pick) -> DataFrame:
-    """Rows meet the fine centroids of their coarse cell, as many tasks to a cell as its rows ask for."""
+def _choose(rows: DataFrame, fine: DataFrame, plan: list[tuple[int, int, int]], dim: int, schema: str, pick) -> DataFrame:
+    """Rows meet the fine centroids of their coarse cell, as many tasks to a cell as its rows ask for. A cell of whose
+    classes none was sampled stays one fine cell."""
     spark = rows.sparkSession
     salts = F.broadcast(spark.createDataFrame([(c, -(-m // SALT)) for c, m, _ in plan], "coarse int, salts int"))  # at most TOP rows
     left = rows.join(salts, "coarse").withColumn("salt", F.pmod(F.xxhash64("rep"), F.col("salts")).cast("int")).drop("salts")
@@ -260,7 +261,7 @@ def _choose(rows: DataFrame, fine: DataFrame, plan: list[tuple[int, int, int]],
     def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(a):
             return pd.DataFrame(columns=[c.split()[0] for c in schema.split(", ")])
-        return pick(a, np.frombuffer(b["r_middle"].iloc[0], np.float32))
+        return pick(a, np.frombuffer(b["r_middle"].iloc[0], np.float32) if len(b) else np.zeros(dim, np.float32))
 
     return _meet(left, right, ["coarse", "salt"], run, schema)
 
@@ -306,7 +307,7 @@ def _nearest(rows: DataFrame, dim: int, k: int) -> DataFrame:
     coarse = placed.withColumn("coarse", F.col("near")[0])
     homes = coarse.filter(~divided).select("rep", "raw", "near", number("coarse").alias("cell"))
     if plan:
-        homes = homes.unionByName(_choose(coarse.filter(divided), fine, plan, "rep bigint, raw binary, near array<int>, cell bigint", settle))
+        homes = homes.unionByName(_choose(coarse.filter(divided), fine, plan, dim, "rep bigint, raw binary, near array<int>, cell bigint", settle))
     homes = cut(homes)
     # Pieces of the cells that have more than one: at most a row for each PIECE classes.
     large = cut(homes.groupBy("cell").count().filter(F.col("count") > PIECE).select("cell", F.ceil(F.col("count") / PIECE).cast("int").alias("pieces")))
@@ -350,7 +351,7 @@ def _nearest(rows: DataFrame, dim: int, k: int) -> DataFrame:
         # A coarse cell is visited by more classes than it has; tasks are planned for all of them.
         crowd = [(c, m * len(VISITS), f) for c, m, f in plan]
         schema = Visitors.SCHEMA + ", from_cell bigint, from_piece int, cell bigint"
-        visits = visits.unionByName(_choose(going.filter(divided), fine, crowd, schema, tour))
+        visits = visits.unionByName(_choose(going.filter(divided), fine, crowd, dim, schema, tour))
     visits = cut_up(visits).withColumn("piece", F.explode(F.sequence(F.lit(0), F.coalesce("pieces", F.lit(1)) - 1)))
     visits = visits.filter((F.col("cell") != F.col("from_cell")) | (F.col("piece") != F.col("from_piece")))
 

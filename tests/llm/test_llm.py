@@ -405,3 +405,24 @@ def test_prefilters_lose_nothing():
         assert [(b, e) for k, b, e, *_ in pii.candidates(t) if k == "address"] == whole
     found = [(k, v) for t in ("Uwe apenstaartje archief punt nl", "wohnt Lange Zeilen Beim Bache 5,\u00a012345 Eck") for k, _, _, v, *_ in pii.candidates(t)]
     assert ("email", "Uwe apenstaartje archief punt nl") in found and ("address", "Lange Zeilen Beim Bache 5") in found
+
+
+def test_extra_columns_with_clashing_names(spark):
+    """Columns called like those an operator makes for itself change nothing."""
+    clash = lambda df, *names: df.withColumns({n: F.lit("clash") for n in names})
+    rng = np.random.default_rng(9)
+    vectors = spark.createDataFrame([(i, 8, rng.standard_normal(8).tolist(), None) for i in range(30)], "vec_no bigint, dim int, embedding array<float>, updated_at timestamp")
+    near = lambda df: sorted(tuple(r) for r in neighbours.nearest(df).collect())
+    assert near(clash(vectors, "key", "rep", "raw", "cell", "piece", "h1", "members", "near", "__rank")) == near(vectors)
+    docs = spark.createDataFrame([(1, "Reisepass 756.1234.5678.97, Uwe Norz (uwe@haus.example) " + " ".join(f"wort{i}" for i in range(20))), (2, None)], "doc_id bigint, text string")
+    items = spark.createDataFrame([(7, " ".join(f"wort{i}" for i in range(15)))], "item_id bigint, text string")
+    leaks = lambda d, i: [tuple(r) for r in leakage.leaks(d, i).collect()]
+    assert leaks(clash(docs, "h", "at", "k", "item_id", "run"), clash(items, "doc_id", "k")) == leaks(docs, items) != []
+    found = lambda d: sorted(tuple(r) for r in pii.find(d).collect())
+    assert found(clash(docs, "kind", "beg", "fin", "val", "inst", "pats", "id", "cls", "salt")) == found(docs) != []
+    texts = spark.createDataFrame([("a", "Satz eins. " * 100, None)], "id string, volltext string, erlaeuterung string")
+    assert splitting.passages(clash(texts, "k", "kind", "text", "seq", "passage"), "id", ["volltext", "erlaeuterung"]).collect() == splitting.passages(texts, "id", ["volltext", "erlaeuterung"]).collect() != []
+    assert bpe.encode_column(clash(docs, "ids"), "doc_id", "text").collect() == bpe.encode_column(docs, "doc_id", "text").collect()
+    tagged = docs.select(F.lit("t").alias("tbl"), F.col("doc_id").cast("string").alias("id"), F.lit("de").alias("label"), "text")
+    f = language.Field()
+    assert language.tag(clash(tagged, "seq", "lang", "words", "begin_at"), f).collect() == language.tag(tagged, f).collect()
