@@ -55,10 +55,15 @@ def fingerprint(spark: SparkSession, paths: list[str], *more) -> str:
 
 
 def stored(spark: SparkSession, name: str, build: Callable[[], DataFrame]) -> DataFrame:
-    """The table kept under this name in the shared folder; built and written if it isn't there in full."""
+    """The table kept under this name in the shared folder; built if it isn't there. It is written beside its place and
+    renamed when complete, so that no other session sees or replaces part of it."""
     path = f"{shared_dir(spark)}/{name}"
-    if not exists(spark, f"{path}/_SUCCESS"):
-        build().write.mode("overwrite").parquet(path)
+    if not exists(spark, path):
+        draft = f"{path}-{uuid.uuid4().hex}"
+        build().write.parquet(draft)
+        fs, p = hadoop(spark, draft)
+        if exists(spark, path) or not fs.rename(p, hadoop(spark, path)[1]):
+            fs.delete(p, True)  # another session was first
     return spark.read.parquet(path)
 
 
