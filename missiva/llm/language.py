@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from missiva.sources.tables import shared_dir
+from missiva.sources.tables import stored
 
 LANGS = ("de", "en", "fr", "it", "la", "nl")
 LABELS = (*LANGS, "x")
@@ -309,12 +309,8 @@ def stored_fit(spark: SparkSession, texts: list[tuple[str, str]]) -> Field:
     fitted once however many queries ask for it."""
     parameters = (WORDS, TEXTS, ROUNDS, SPACE, SEED, LABELS)
     name = hashlib.sha256(repr((parameters, sorted(texts))).encode("utf-8", "surrogatepass")).hexdigest()
-    path = f"{shared_dir(spark)}/language-field-{name}"
-    p = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
-    if not p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p):
-        field = fit(texts)
-        spark.createDataFrame([(bytearray(pickle.dumps(field)),)], "field binary").coalesce(1).write.mode("overwrite").parquet(path)
-    return pickle.loads(bytes(spark.read.schema("field binary").parquet(path).first()["field"]))
+    kept = stored(spark, f"language-field-{name}", lambda: spark.createDataFrame([(bytearray(pickle.dumps(fit(texts))),)], "field binary").coalesce(1))
+    return pickle.loads(bytes(kept.first()["field"]))
 
 
 def tag(docs: DataFrame, field: Field) -> DataFrame:
