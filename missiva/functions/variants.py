@@ -44,25 +44,25 @@ def elements(v: Column) -> Column:
     )
 
 
-def scalar(v: Column) -> Column:
-    """The text of a string, number or boolean; null for objects, arrays, nulls and blank strings."""
+def _scalar(u: Column) -> Column:
+    """The same of a value without envelope."""
     return let(
-        bare(v),
-        lambda u: F.when(
-            ~F.schema_of_variant(u).rlike("^(OBJECT|ARRAY|VOID)")
-            & (F.trim(F.try_variant_get(u, "$", "string")) != ""),
-            F.try_variant_get(u, "$", "string"),
-        ),
+        F.try_variant_get(u, "$", "string"),
+        lambda t: F.when((F.trim(t) != "") & ~F.schema_of_variant(u).rlike("^(OBJECT|ARRAY|VOID)"), t),
     )
 
 
+def scalar(v: Column) -> Column:
+    """The text of a string, number or boolean; null for objects, arrays, nulls and blank strings."""
+    return let(bare(v), _scalar)
+
+
 def normal_id(text: Column) -> Column:
     """24 lower-case digits; a text that holds no id is kept trimmed, a blank one is null."""
-    found = F.regexp_extract(text, ID_PATTERN, 1)
-    plain = F.regexp_replace(text, r"^\s+|\s+$", "")
-    return F.lower(F.when(found != "", found).when(plain != "", plain))
+    plain = lambda: F.nullif(F.regexp_replace(text, r"^\s+|\s+$", ""), F.lit(""))
+    return F.lower(let(F.regexp_extract(text, ID_PATTERN, 1), lambda found: F.when(found != "", found).otherwise(plain())))
 
 
 def reference(v: Column) -> Column:
     """An id in any notation: string, ObjectId("..."), {"$oid": ...}."""
-    return normal_id(F.coalesce(F.try_variant_get(bare(v), "$['$oid']", "string"), scalar(v)))
+    return let(bare(v), lambda u: let(F.coalesce(F.try_variant_get(u, "$['$oid']", "string"), _scalar(u)), normal_id))

@@ -86,7 +86,7 @@ def labels(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def resolved(letters: DataFrame, spark: SparkSession, sf_dir: str, field: str) -> DataFrame:
     """(brief_id, labels, variants): a keyword field's ids replaced by their labels in order, unresolved ones dropped;
     variants are the distinct further labels. Joined on the id, so the dictionary is broadcast only if Spark finds it small."""
-    ids = letters.select("brief_id", F.posexplode(L.keyword_ids(F.col("schlagworte"))[field]).alias("pos", "ref_id"))
+    ids = letters.select("brief_id", V.parse(F.col("schlagworte")).alias("s")).select("brief_id", F.posexplode(L.keyword_ids(F.col("s"))[field]).alias("pos", "ref_id"))
     hit = ids.join(labels(spark, sf_dir, L.TARGETS[field]), "ref_id")
     per = hit.groupBy("brief_id").agg(F.sort_array(F.collect_list(F.struct("pos", "short", "variants"))).alias("x"))
     return per.select(

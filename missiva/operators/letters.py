@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from missiva.functions import variants as V
@@ -13,16 +13,16 @@ TARGETS = {"personen": "people", "orte": "orts", "sachen": "saches", "verfasser"
 KEYWORDS = ("personen", "orte", "sachen")
 
 
-def keyword_ids(json_text) -> dict:
-    """array<string> of normal-form ids per keyword field; null elements where an element holds no id."""
-    v = V.parse(json_text)
-    return {f: F.transform(V.elements(V.member(v, f)), V.reference) for f in KEYWORDS}
+def keyword_ids(keywords: Column) -> dict[str, Column]:
+    """keywords, a parsed field: array<string> of normal-form ids per keyword field; null elements where an element holds
+    no id. Parse into a column of its own first, else the text is parsed for each field."""
+    return {f: F.transform(V.elements(V.member(keywords, f)), V.reference) for f in KEYWORDS}
 
 
 def references(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(brief_id, exported_at, feld, ref_id) of the counting revisions, a row per distinct reference of a letter.
     Empty references, null array elements and missing structs give no row."""
-    letters = current_letters(spark, sf_dir, "exported_at", "schlagworte", "verfasser")
+    letters = current_letters(spark, sf_dir, "exported_at", "schlagworte", "verfasser").withColumn("schlagworte", V.parse(F.col("schlagworte")))
     ids = keyword_ids(F.col("schlagworte"))
     ids["verfasser"] = F.transform(F.col("verfasser"), lambda e: V.normal_id(e["v"]["person"]["v"]))
     per_field = F.array(

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from missiva.functions import text as T
+from missiva.functions import variants as V
 from missiva.operators import answer as W
 from missiva.operators import archive as A
 from missiva.operators import evaluate as E
@@ -99,7 +100,7 @@ def etl_abstract(spark, d):
 def etl_kinds(spark, d):
     """Kinds of letters by label: the tables have labels already, so each subject's id stands as a kind here as well."""
     a = A.unwrapped(spark, d).select("brief_id", "textsorte")
-    coded = A.unwrapped(spark, d).select("brief_id", F.get(L.keyword_ids(F.col("schlagworte"))["sachen"], F.lit(0)).alias("textsorte")).filter("textsorte IS NOT NULL")
+    coded = A.unwrapped(spark, d).select("brief_id", F.get(L.keyword_ids(V.parse(F.col("schlagworte")))["sachen"], F.lit(0)).alias("textsorte")).filter("textsorte IS NOT NULL")
     return A.kinds(spark, d, a.withColumn("coded", F.lit(False)).unionByName(coded.withColumn("coded", F.lit(True)))).select("brief_id", "coded", "textsorte")
 
 
