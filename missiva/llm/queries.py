@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from missiva.functions import variants as V
 from missiva.llm import bpe, language, leakage, neighbours, pii, samename, splitting, termcounts
 from missiva.operators import letters
 from missiva.plans.records import REFS_SQL
@@ -58,7 +59,7 @@ def p5_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts of all keyword ids. Letters are loaded as they came: first what was there when nine tenths had been
     loaded; then those a newer revision is on its way for are withdrawn; then the rest, which restores, changes and adds
     letters."""
-    briefs = table(spark, sf_dir, "briefs").filter("brief_id IS NOT NULL")
+    briefs = table(spark, sf_dir, "briefs").filter("brief_id IS NOT NULL").withColumn("schlagworte", V.parse(F.col("schlagworte")))
     terms = F.flatten(
         F.array(*(_tagged(feld, ids) for feld, ids in letters.keyword_ids(F.col("schlagworte")).items()))
     )
