@@ -34,6 +34,8 @@ def strength(word: str, gap: str) -> int:
     lines = gap.count("\n")
     if lines >= 2:
         return 4
+    if word[-1].isalnum():  # neither a sentence nor a clause ends here
+        return 1 if lines else 0
     if _SENTENCE.search(word) and not _SHORT.match(word):
         return 3 if lines else 2
     if lines:
@@ -75,19 +77,23 @@ def split_at(text: str | None, limit: int = 800, overlap: int = 150) -> list[tup
     last = list(range(n))  # last atom of the piece that begins with this atom
     first = list(range(n))  # first atom of the piece that ends with this atom
     alive = [True] * n
-    heap: list[tuple[int, int, int, int]] = []
+    # Strength, size, first and last atom of a union in one number, so that the heap compares numbers.
+    wide = n.bit_length()
+    mask = (1 << wide) - 1
+    heap: list[int] = []
 
     def offer(i: int) -> None:
         j = last[i] + 1
         if j < n and (size := stop[last[j]] - begin[i]) <= room:
-            heapq.heappush(heap, (strengths[j - 1], size, i, last[j]))
+            heapq.heappush(heap, ((strengths[j - 1] + 1) * (room + 1) + size << 2 * wide) | i << wide | last[j])
 
     for i in range(n):
         offer(i)
     while heap:
-        _, _, i, e = heapq.heappop(heap)
+        key = heapq.heappop(heap)
+        i, e = key >> wide & mask, key & mask
         j = last[i] + 1
-        if not alive[i] or j >= n or not alive[j] or last[j] != e:
+        if not alive[i] or j >= n or last[j] != e or not alive[j]:
             continue
         alive[j], last[i], first[e] = False, e, i
         offer(i)
