@@ -17,10 +17,7 @@ from missiva.functions import text as T
 from missiva.operators.archive import DEFAULT, Params
 
 #: What is answered without a model.
-STATISTIC_ANSWER = (
-    "Diese Frage betrifft das gesamte Archiv (Zählung oder Statistik) und kann aus einzelnen Briefen nicht beantwortet werden. "
-    "Für Zahlen über den Gesamtbestand nutzen Sie bitte die Suche und Filter der ThBw-Datenbank."
-)
+STATISTIC_ANSWER = "Diese Frage betrifft das gesamte Archiv (Zählung oder Statistik) und kann aus einzelnen Briefen nicht beantwortet werden."
 NOTHING_FOUND = "Zu dieser Frage findet sich im Archiv kein hinreichend relevanter Brief."
 _CITED = re.compile(r"Brief\s+(?:Nr\.?\s*)?(\d{3,6})", re.I)
 _REFUSAL = re.compile(T.REFUSAL_START, re.I)
