@@ -35,13 +35,13 @@ def sampled(pool: DataFrame, key: str, n: int, seed: str) -> DataFrame:
 
 
 def spelled(letters: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(sender, recipient, id): letters of a pair under any spelling of either name."""
-    forms = lambda c, x: pairs.select("sender", "recipient", F.explode(T.name_spellings(F.col(c))).alias(x))
-    sent = letters.select("id", F.explode("senders").alias("s_name"))
-    got = letters.select("id", F.explode("recipients").alias("r_name"))
-    a = forms("sender", "s_name").join(sent, "s_name").select("sender", "recipient", "id").distinct()
-    b = forms("recipient", "r_name").join(got, "r_name").select("sender", "recipient", "id").distinct()
-    return a.join(b, ["sender", "recipient", "id"], "left_semi")
+    """(sender, recipient, id): letters of a pair under any spelling of either name. Both names are matched at once: matched
+    on one name, a sender of a tenth of the letters would bring each of them to each of its pairs."""
+    forms = pairs.select("sender", "recipient", F.explode(T.name_spellings(F.col("sender"))).alias("s_name"))
+    forms = forms.select("*", F.explode(T.name_spellings(F.col("recipient"))).alias("r_name"))
+    named = letters.select("id", "recipients", F.explode(F.array_distinct("senders")).alias("s_name"))
+    named = named.select("id", "s_name", F.explode(F.array_distinct("recipients")).alias("r_name"))
+    return named.join(forms, ["s_name", "r_name"]).select("sender", "recipient", "id").distinct()
 
 
 def tagged_split(letters: DataFrame, terms: dict[str, str]) -> DataFrame:

@@ -319,6 +319,37 @@ def test_gold_sets_are_numbered_rows(spark):
     assert got == {(1, "offen", 1, "9"), (1, "offen", 2, "10"), (1, "offen", 3, "x"), (1, "intern", 1, "11"), (1, "intern", 2, "12"), (None, "offen", 1, "5")}
 
 
+def joined_rows(df):
+    """Rows that the joins of a plan gave in all, once it was run."""
+    df.collect()
+
+    def walk(node):
+        kind = node.getClass().getSimpleName()
+        below = [node.executedPlan()] if kind == "AdaptiveSparkPlanExec" else [node.plan()] if kind.endswith("QueryStageExec") else [node.children().apply(i) for i in range(node.children().size())]
+        return (node.metrics().apply("numOutputRows").value() if "Join" in kind else 0) + sum(map(walk, below))
+
+    return walk(df._jdf.queryExecution().executedPlan())
+
+
+def test_letters_of_a_pair_under_any_spelling(spark):
+    rows = [
+        ("1", ["Meier, Hans"], ["Vogt"]), ("2", ["[Meier, Hans]", "Meier, Hans"], ["[Vogt]", "Vogt", "Vogt"]), ("3", ["Huber", "[Meier], Hans"], ["Vogt"]),
+        ("4", ["Meier, Hans"], ["Huber"]), ("5", ["Huber"], ["Vogt"]), ("6", ["Meier, Hans"], []), ("7", [], ["Vogt"]), ("8", ["[Meier,  Hans]"], ["Vogt"]),
+    ]
+    letters = spark.createDataFrame(rows, "id string, senders array<string>, recipients array<string>")
+    pairs = spark.createDataFrame([("Meier, Hans", "Vogt"), ("[Meier,  Hans]", "Vogt")], "sender string, recipient string")
+    got = sorted(tuple(r) for r in E.spelled(letters, pairs).collect())
+    assert got == [("Meier, Hans", "Vogt", i) for i in "123"] + [("[Meier,  Hans]", "Vogt", i) for i in "1238"]
+
+
+def test_a_sender_of_many_pairs_meets_each_letter_once(spark):
+    rows = [(str(i), ["Meier"], [f"Vogt {i}"]) for i in range(300)]
+    letters = spark.createDataFrame(rows, "id string, senders array<string>, recipients array<string>")
+    pairs = letters.selectExpr("senders[0] AS sender", "recipients[0] AS recipient")
+    found = E.spelled(letters, pairs)
+    assert found.count() == 300 and joined_rows(found) == 300
+
+
 def test_tagged_and_untagged(spark):
     letters = spark.createDataFrame(
         [("1", "offen", "Ein TRAUM", ["Träume"]), ("2", "offen", "Traumbild", ["Eid"]), ("3", "intern", "Traum", []), ("4", "offen", None, ["Traum"]), ("5", "offen", "träumt", None)],
